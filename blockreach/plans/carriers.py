@@ -149,8 +149,8 @@ def grid_blocks(spark: SparkSession, folder: str) -> DataFrame:
 STOPS_SQL = """
 raw_stops AS (
   SELECT f.feed_idx, CAST(s_suppkey AS VARCHAR) AS stop_id,
-         CAST(((s_suppkey - CASE WHEN s_suppkey % 7 = 6 THEN 1 ELSE 0 END) * 47) + 13.7 AS VARCHAR) AS stop_lat,
-         CAST((((s_suppkey - CASE WHEN s_suppkey % 7 = 6 THEN 1 ELSE 0 END) * 7919) % 40000) / 10.0 + 0.03 AS VARCHAR) AS stop_lon,
+         CAST(((s_suppkey - CASE WHEN s_suppkey % 7 = 6 THEN 1 ELSE 0 END) * 47) + 13.7::DOUBLE AS VARCHAR) AS stop_lat,
+         CAST((((s_suppkey - CASE WHEN s_suppkey % 7 = 6 THEN 1 ELSE 0 END) * 7919) % 40000) / 10.0 + 0.03::DOUBLE AS VARCHAR) AS stop_lon,
          CASE WHEN s_suppkey % 11 = 0 THEN '1' WHEN s_suppkey % 11 = 1 THEN '' ELSE '0' END AS location_type
   FROM supplier, (VALUES (0), (1)) AS f(feed_idx)),
 raw_trips AS (

@@ -15,16 +15,21 @@ from blockreach.functions import geometry as G
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
+def once(value: Column) -> Column:
+    """Evaluate an array expression once per row instead of inlining it into every later use."""
+    return F.explode(F.array(value))
+
+
 def with_box(df: DataFrame, edges: str = "edges") -> DataFrame:
     """Add the bounding box columns of an edge array."""
-    return df.withColumn("_box", G.bounds(F.col(edges))).select(
+    return df.withColumn("_box", once(G.bounds(F.col(edges)))).select(
         "*", *[F.col(f"_box.{b}").alias(b) for b in BOX]
     ).drop("_box")
 
 
 def with_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     """Polygons with flat ``edges`` and box columns."""
-    return with_box(polygons.withColumn("edges", G.ring_edges(F.col(rings))))
+    return with_box(polygons.withColumn("edges", once(G.ring_edges(F.col(rings)))))
 
 
 def table_bounds(df: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def select_by_place(blocks: DataFrame, place: DataFrame, mode: str = "representa
     """
     parts = place.select(F.col("edges").alias("place_edges"), *[F.col(b).alias(f"{b}_r") for b in BOX])
     if mode == "representative_point":
-        points = blocks.withColumn("_p", G.interior_point(F.col("edges")))
+        points = blocks.withColumn("_p", once(G.interior_point(F.col("edges"))))
         points = points.withColumns({f"_{b}": F.col(b) for b in BOX}).withColumns({
             "minx": F.col("_p.x"), "maxx": F.col("_p.x"), "miny": F.col("_p.y"), "maxy": F.col("_p.y"),
         })

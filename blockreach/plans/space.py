@@ -85,14 +85,14 @@ lengths AS (SELECT block_id, sum(m) AS street_m,
   coalesce(sum(m) FILTER (WHERE speed <= 35), 0.0) AS slow_m, sum(m * speed) AS speed_m FROM pieces GROUP BY block_id),
 nodes AS (SELECT block_id, 1.0 + CASE WHEN c < {LAST} THEN 1 ELSE 0 END + CASE WHEN c > 0 THEN 1 ELSE 0 END + CASE WHEN r > 0 THEN 1 ELSE 0 END AS degree FROM grid)"""
 OVERLAP_SQL = f"""plots AS (SELECT p_partkey, c, block_id, {GROUP_SQL} AS landuse_group, p_partkey % 5 = 0 AS is_building, 50.0 + (p_partkey % 3) * 50 AS w FROM grid),
-overlaps AS (
+common AS (
   SELECT block_id, landuse_group, is_building, least(w, 75.0) * 50 AS area_m2 FROM plots WHERE landuse_group <> 'other' OR is_building
   UNION ALL SELECT b.block_id, a.landuse_group, a.is_building, (a.w - 75.0) * 50 FROM plots a JOIN plots b ON b.p_partkey = a.p_partkey + 1
   WHERE a.w > 75 AND a.c < {LAST} AND (a.landuse_group <> 'other' OR a.is_building)),
 shares AS (SELECT block_id, {', '.join(f"least(coalesce(sum(area_m2) FILTER (WHERE landuse_group = '{g}'), 0.0) / 10000.0, 1.0) AS {g}" for g in T.LANDUSE_GROUPS)}
-  FROM overlaps WHERE landuse_group <> 'other' GROUP BY block_id),
+  FROM common WHERE landuse_group <> 'other' GROUP BY block_id),
 entropies AS (SELECT *, -({' + '.join(f"CASE WHEN {g} > 0 THEN {g} * ln({g}) ELSE 0.0 END" for g in T.LANDUSE_GROUPS)}) / ln(6) AS entropy FROM shares),
-buildings AS (SELECT block_id, least(sum(area_m2) / 10000.0, 1.0) AS footprint, count(*) / 0.01 AS density FROM overlaps WHERE is_building GROUP BY block_id)"""
+buildings AS (SELECT block_id, least(sum(area_m2) / 10000.0, 1.0) AS footprint, count(*) / 0.01 AS density FROM common WHERE is_building GROUP BY block_id)"""
 WITH = f"WITH {C.GRID_SQL}, {ADJ_SQL}, {PIECES_SQL}, {OVERLAP_SQL}"
 
 
@@ -129,7 +129,7 @@ def _(spark, folder):
     return rounded(cut.groupBy("block_id", "highway_type").agg(F.sum("length_m").alias("length_m")))
 
 
-@query("sp09_polygon_overlaps", f"{WITH} SELECT block_id, landuse_group, is_building, {q6('area_m2')} AS area_m2 FROM overlaps")
+@query("sp09_polygon_overlaps", f"{WITH} SELECT block_id, landuse_group, is_building, {q6('area_m2')} AS area_m2 FROM common")
 def _(spark, folder):
     return rounded(be.land_overlaps(land(spark, folder), polygons(spark, folder)).select("block_id", "landuse_group", "is_building", "area_m2"))
 

@@ -15,11 +15,20 @@ from pyspark.sql import Column, functions as F
 ON_EDGE_M = 1e-6
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _pairs(items: Column, combine) -> Column:
     """``combine`` over consecutive items of an array."""
-    n = F.size(items)
-    short = F.greatest(n - 1, F.lit(0))
-    return F.zip_with(F.slice(items, 1, short), F.slice(items, F.least(F.lit(2), n + 1), short), combine)
+
+    def zipped(them: Column) -> Column:
+        n = F.size(them)
+        short = F.greatest(n - 1, F.lit(0))
+        return F.zip_with(F.slice(them, 1, short), F.slice(them, F.least(F.lit(2), n + 1), short), combine)
+
+    return _bind(items, zipped)
 
 
 def line_edges(points: Column) -> Column:
@@ -145,7 +154,8 @@ def clipped_length(seg: Column, edges: Column) -> Column:
 
     def inside(span: Column) -> Column:
         mid = (span.t1 + span.t2) / 2
-        return covers_point(edges, seg.x1 + mid * (seg.x2 - seg.x1), seg.y1 + mid * (seg.y2 - seg.y1))
+        x, y = seg.x1 + mid * (seg.x2 - seg.x1), seg.y1 + mid * (seg.y2 - seg.y1)
+        return _bind(F.struct(x.alias("x"), y.alias("y")), lambda p: covers_point(edges, p.x, p.y))
 
     kept = F.filter(_spans(seg, edges), inside)
     return length * F.aggregate(kept, F.lit(0.0), lambda s, p: s + (p.t2 - p.t1))
@@ -162,16 +172,19 @@ def _boundary_sum(own: Column, other: Column, x0: Column, y0: Column, shared: bo
 
         def keep(span: Column) -> Column:
             mid = (span.t1 + span.t2) / 2
-            x, y = e.x1 + mid * dx, e.y1 + mid * dy
+            spot = F.struct((e.x1 + mid * dx).alias("x"), (e.y1 + mid * dy).alias("y"))
+            return _bind(spot, lambda p: inside_or_along(p.x, p.y))
+
+        def inside_or_along(x: Column, y: Column) -> Column:
             inside = contains_point(other, x, y)
             if not shared:
                 return inside
-            same_way = F.exists(
-                other,
-                lambda o: _touches_edge(o, x, y) & ((o.x2 - o.x1) * dx + (o.y2 - o.y1) * dy > 0)
-                & (F.abs((o.x2 - o.x1) * dy - (o.y2 - o.y1) * dx) <= 1e-9 * (F.abs(dx) + F.abs(dy)) * (F.abs(o.x2 - o.x1) + F.abs(o.y2 - o.y1))),
-            )
-            return inside | same_way
+            return inside | F.exists(other, lambda o: _touches_edge(o, x, y) & runs_along(o))
+
+        def runs_along(o: Column) -> Column:
+            ox, oy = o.x2 - o.x1, o.y2 - o.y1
+            small = 1e-9 * (F.abs(dx) + F.abs(dy)) * (F.abs(ox) + F.abs(oy))
+            return (ox * dx + oy * dy > 0) & (F.abs(ox * dy - oy * dx) <= small)
 
         kept = F.filter(_spans(e, other), keep)
         cross = (e.x1 - x0) * dy - (e.y1 - y0) * dx
@@ -241,7 +254,10 @@ def interior_point(edges: Column) -> Column:
     middle = (F.array_min(ys) + F.array_max(ys)) / 2
     below = F.array_max(F.filter(ys, lambda y: y <= middle))
     above = F.array_min(F.filter(ys, lambda y: y > middle))
-    scan = (below + above) / 2
+    return _bind((below + above) / 2, lambda scan: _widest_middle(edges, scan))
+
+
+def _widest_middle(edges: Column, scan: Column) -> Column:
     crossed = F.filter(edges, lambda e: (e.y1 > scan) != (e.y2 > scan))
     xs = F.array_sort(F.transform(crossed, lambda e: e.x1 + (scan - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)))
     spans = F.filter(

@@ -48,5 +48,5 @@ def feed_key(feed_idx: Column, raw_id: Column) -> Column:
 
 
 def stop_place(x: Column, y: Column) -> Column:
-    """Physical stop: the position to 0.1 m, as a struct key."""
-    return F.struct(F.bround(x, 1).alias("x"), F.bround(y, 1).alias("y"))
+    """Physical stop: the position to 0.1 m (half to even), as a struct key."""
+    return F.struct((F.rint(x * 10) / 10).alias("x"), (F.rint(y * 10) / 10).alias("y"))

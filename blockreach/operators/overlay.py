@@ -86,6 +86,8 @@ def _paired(left: DataFrame, right: DataFrame, how: str, extra: Column | None =
         return F.array_distinct(F.concat(F.array(_size_class()), F.filter(known, lambda v: v > F.col("own"))))
 
     a = _filed(left.withColumn("own", _size_class()), levels(right_sizes))
+    # The tests on a pair are costly, so the work is spread over all cores also for small inputs.
+    a = a.repartition(left.sparkSession.sparkContext.defaultParallelism, "level", "cx", "cy")
     b = _filed(plain_right.withColumn("own", _size_class()), levels(left_sizes))
     b = b.withColumnsRenamed({**{n: f"{n}_r" for n in BOX}, "own": "own_r"})
     size = F.pow(F.lit(2.0), a["level"])
@@ -93,13 +95,13 @@ def _paired(left: DataFrame, right: DataFrame, how: str, extra: Column | None =
         (F.col("minx") <= F.col("maxx_r")) & (F.col("maxx") >= F.col("minx_r"))
         & (F.col("miny") <= F.col("maxy_r")) & (F.col("maxy") >= F.col("miny_r"))
     )
-    once = (
+    seen_once = (
         (a["level"] == F.greatest(F.col("own"), F.col("own_r")))
         & (a["cx"] == F.floor(F.greatest(F.col("minx"), F.col("minx_r")) / size))
         & (a["cy"] == F.floor(F.greatest(F.col("miny"), F.col("miny_r")) / size))
     )
     same_cell = (a["level"] == b["level"]) & (a["cx"] == b["cx"]) & (a["cy"] == b["cy"])
-    on = same_cell & meets & once
+    on = same_cell & meets & seen_once
     if extra is not None:
         on = on & extra
     joined = a.join(b, on, how)
@@ -131,14 +133,14 @@ def line_segments(lines: DataFrame, line: str = "line") -> DataFrame:
 def clip_lines(lines: DataFrame, polygons: DataFrame) -> DataFrame:
     """Segments with every polygon they run through and the ``length_m`` inside it."""
     pairs = box_pairs(line_segments(lines), polygons)
-    out = pairs.withColumn("length_m", G.clipped_length(F.col("seg"), F.col("edges")))
+    out = pairs.withColumn("length_m", once(G.clipped_length(F.col("seg"), F.col("edges"))))
     return out.where(F.col("length_m") > 0).drop("seg", "edges", "rings", *BOX, *[f"{b}_r" for b in BOX])
 
 
 def overlap_polygons(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of polygons with ``area_m2 > 0`` in common. Both sides need ``edges`` and box columns."""
     pairs = box_pairs(left, right.withColumnRenamed("edges", "edges_r").drop("rings"))
-    out = pairs.withColumn("area_m2", G.overlap_area(F.col("edges"), F.col("edges_r")))
+    out = pairs.withColumn("area_m2", once(G.overlap_area(F.col("edges"), F.col("edges_r"))))
     return out.where(F.col("area_m2") > 0).drop("edges", "edges_r", "rings", *BOX, *[f"{b}_r" for b in BOX])
 
 

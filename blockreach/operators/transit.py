@@ -74,9 +74,10 @@ def boarding_stops(stops: DataFrame, project=None) -> DataFrame:
     kept = kept.where(lon.isNotNull() & lat.isNotNull())
     xy = project(lon, lat) if project else F.struct(lon.alias("x"), lat.alias("y"))
     key = S.feed_key(F.col("feed_idx"), F.col("stop_id")).alias("stop_key")
-    return kept.select("feed_idx", key, xy.alias("xy")).select(
-        "feed_idx", "stop_key", "xy.x", "xy.y",
-        F.bround("xy.x", 1).alias("px"), F.bround("xy.y", 1).alias("py"),
+    placed = kept.select("feed_idx", key, xy.alias("xy"))
+    placed = placed.withColumn("place", S.stop_place(F.col("xy.x"), F.col("xy.y")))
+    return placed.select(
+        "feed_idx", "stop_key", "xy.x", "xy.y", F.col("place.x").alias("px"), F.col("place.y").alias("py")
     )
 
 

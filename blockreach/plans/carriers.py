@@ -257,7 +257,7 @@ MODEL_FEATURES = (
 MODEL_SQL = """
 items AS (
   SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS routes, sum(l_quantity) AS qty,
-         avg(l_extendedprice) AS price, sum(l_extendedprice) AS total, avg(l_discount) AS discount, avg(l_tax) AS tax
+         max(l_extendedprice) AS price, sum(l_extendedprice) AS total, sum(l_discount) AS discount, sum(l_tax) AS tax
   FROM lineitem GROUP BY l_orderkey),
 model AS (
   SELECT 'city_' || CAST(o_custkey % 10 AS VARCHAR) AS city, lpad(CAST(o_orderkey AS VARCHAR), 15, '0') AS block_id,
@@ -267,7 +267,7 @@ model AS (
          o_totalprice / 1000.0 AS Y,
          CAST(coalesce(n, 0) AS DOUBLE) AS pt_stop_count, CAST(coalesce(routes, 0) AS DOUBLE) AS pt_route_count,
          coalesce(qty, 0.0) AS pt_weekday_departures, round(coalesce(price, 10000.0), 4) AS pt_nearest_stop_dist_m,
-         round(coalesce(total, 0.0) / 100.0, 4) AS be_street_length_m, round(coalesce(discount, 0.0) * 10, 4) AS be_bikeable_street_share,
+         round(coalesce(total, 0.0) / 100.0, 4) AS be_street_length_m, round(coalesce(discount, 0.0), 4) AS be_bikeable_street_share,
          CAST(o_orderkey % 97 AS DOUBLE) / 97.0 AS be_compactness,
          o_totalprice AS acs_population, round(coalesce(tax, 0.0), 4) AS acs_poverty_share,
          CAST(20000 + o_custkey * 3 AS DOUBLE) AS acs_median_household_income
@@ -281,8 +281,8 @@ def model_table(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("routes"),
-            F.sum("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("price"),
-            F.sum("l_extendedprice").alias("total"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"),
+            F.sum("l_quantity").alias("qty"), F.max("l_extendedprice").alias("price"),
+            F.sum("l_extendedprice").alias("total"), F.sum("l_discount").alias("discount"), F.sum("l_tax").alias("tax"),
         )
     )
     orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_totalprice")
@@ -305,7 +305,7 @@ def model_table(spark: SparkSession, folder: str) -> DataFrame:
         part("qty").alias("pt_weekday_departures"),
         F.round(part("price", 10000.0), 4).alias("pt_nearest_stop_dist_m"),
         F.round(part("total") / 100.0, 4).alias("be_street_length_m"),
-        F.round(part("discount") * 10, 4).alias("be_bikeable_street_share"),
+        F.round(part("discount"), 4).alias("be_bikeable_street_share"),
         ((key % 97).cast("double") / 97.0).alias("be_compactness"),
         F.col("o_totalprice").alias("acs_population"),
         F.round(part("tax"), 4).alias("acs_poverty_share"),

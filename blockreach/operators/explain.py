@@ -42,10 +42,17 @@ def sample_by_share(df: DataFrame, max_rows: int, seed: int = 42, key: str = "no
     total = sizes.agg(F.sum("size_")).first()[0] or 0
     if max_rows <= 0 or total <= max_rows:
         return df
-    quota = sizes.withColumn("quota_", F.greatest(F.bround(F.col("size_") * (max_rows / total)).cast("bigint"), F.lit(1)))
-    # Ranks come from range-partitioned positions, so a city with most rows is not sorted in one task.
+    quota = sizes.select("city", F.greatest(F.bround(F.col("size_") * (max_rows / total)).cast("bigint"), F.lit(1)).alias("quota_"))
+    return _capped(_shuffled(sample_by_quota(df, quota, seed, key), key, seed), max_rows).select(*df.columns)
+
+
+def sample_by_quota(df: DataFrame, quota: DataFrame, seed: int = 42, key: str = "node_id") -> DataFrame:
+    """``quota_`` rows of each city, drawn in hash order.
+
+    Ranks come from range-partitioned positions, so a city with most rows is not sorted in one task.
+    """
     ranked = tied_ranks(_shuffled(df, key, seed), "draw_", ["city"], "place_").join(quota, "city")
-    return _capped(ranked.where("place_ <= quota_").drop("place_", "quota_", "size_"), max_rows).select(*df.columns)
+    return ranked.where("place_ <= quota_").select(*df.columns)
 
 
 def sample_per_city(df: DataFrame, per_city: int, max_rows: int = 0, seed: int = 42, key: str = "node_id") -> DataFrame:

@@ -154,9 +154,10 @@ def _(spark, folder):
 
 
 @query("ml22_target_by_split", f"""WITH {LABELLED} SELECT split, count(Y) AS count, {q6('avg(Y)')} AS mean, {q6('stddev_samp(Y)')} AS std, {q6('min(Y)')} AS min, {q6('max(Y)')} AS max,
-  {q6('quantile_cont(Y, 0.25)')} AS p25, {q6('quantile_cont(Y, 0.5)')} AS p50, {q6('quantile_cont(Y, 0.75)')} AS p75 FROM labelled GROUP BY split""")
+  {q6('quantile_cont(Y, 0.25)', 8)} AS p25, {q6('quantile_cont(Y, 0.5)', 8)} AS p50, {q6('quantile_cont(Y, 0.75)', 8)} AS p75 FROM labelled GROUP BY split""")
 def _(spark, folder):
-    return rounded(sp.target_by_split(labelled(spark, folder)))
+    df = sp.target_by_split(labelled(spark, folder))
+    return rounded(df, "p25", "p50", "p75").withColumns({c: r6(F.col(c), 8) for c in ("p25", "p50", "p75")})
 
 
 @query("ml22_train_mean_baseline", f"""WITH {LABELLED}, m AS (SELECT avg(Y) AS m FROM labelled WHERE split = 'train') SELECT split, {q6('sqrt(avg((Y - m) ** 2))')} AS rmse,

@@ -21,7 +21,9 @@ def clock_minutes(text: Column) -> Column:
     """``H:M:S`` text to minutes after midnight; hours past 24 are kept, bad text is null."""
     parts = F.split(text, ":")
     hour, minute, second = (to_number(F.get(parts, F.lit(i))) for i in range(3))
-    return hour * 60 + minute + second / 60
+    # Nearly all times are plain digits, which need no further checks.
+    h, m, s = (F.split_part(text, F.lit(":"), F.lit(i)).cast("double") for i in (1, 2, 3))
+    return F.when(text.rlike(r"^\d+:\d+:\d+$"), h * 60 + m + s / 60).otherwise(hour * 60 + minute + second / 60)
 
 
 def is_peak(minutes: Column) -> Column:

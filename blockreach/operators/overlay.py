@@ -8,6 +8,8 @@ the boxes' intersection, so no pair is seen twice and no de-duplication shuffle
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from blockreach.functions import geometry as G
@@ -45,8 +47,12 @@ def in_box(minx: float, miny: float, maxx: float, maxy: float) -> Column:
     return (F.col("minx") <= maxx) & (F.col("maxx") >= minx) & (F.col("miny") <= maxy) & (F.col("maxy") >= miny)
 
 
+SMALLEST_M = 1e-3
+POINT_CLASS = math.ceil(math.log2(SMALLEST_M))
+
+
 def _size_class() -> Column:
-    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(1e-3))
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(SMALLEST_M))
     return F.ceil(F.log2(side)).cast("int")
 
 
@@ -68,18 +74,22 @@ def _filed(df: DataFrame, levels: Column) -> DataFrame:
     )
 
 
-def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, left_sizes: list[int] | None = None) -> DataFrame:
     """Inner join of two tables with box columns on "boxes meet"; other column names must differ.
 
-    The right side's box columns come back as ``minx_r`` and so on.
+    The right side's box columns come back as ``minx_r`` and so on. ``left_sizes`` names the size
+    classes of the left side where they are known, which saves a pass over it.
     """
     right = right.withColumnsRenamed({b: f"{b}_r" for b in BOX})
-    return _paired(left, right, "inner")
+    return _paired(left, right, "inner", left_sizes=left_sizes)
 
 
-def _paired(left: DataFrame, right: DataFrame, how: str, extra: Column | None = None) -> DataFrame:
+def _paired(
+    left: DataFrame, right: DataFrame, how: str, extra: Column | None = None, left_sizes: list[int] | None = None
+) -> DataFrame:
     plain_right = right.withColumnsRenamed({f"{b}_r": b for b in BOX})
-    left_sizes, right_sizes = _classes(left), _classes(plain_right)
+    left_sizes = _classes(left) if left_sizes is None else left_sizes
+    right_sizes = _classes(plain_right)
 
     def levels(others: list[int]) -> Column:
         known = F.array([F.lit(v) for v in others]) if others else F.array().cast("array<int>")
@@ -115,7 +125,7 @@ def _point_boxes(points: DataFrame) -> DataFrame:
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Inner join of points (``x``, ``y``) with the polygons strictly containing them."""
-    pairs = box_pairs(_point_boxes(points), polygons)
+    pairs = box_pairs(_point_boxes(points), polygons, [POINT_CLASS])
     inside = pairs.where(G.contains_point(F.col("edges"), F.col("x"), F.col("y")))
     return inside.drop("edges", "rings", *BOX, *[f"{b}_r" for b in BOX])
 
@@ -156,7 +166,7 @@ def select_by_place(blocks: DataFrame, place: DataFrame, mode: str = "representa
         points = points.withColumns({f"_{b}": F.col(b) for b in BOX}).withColumns({
             "minx": F.col("_p.x"), "maxx": F.col("_p.x"), "miny": F.col("_p.y"), "maxy": F.col("_p.y"),
         })
-        kept = _paired(points, parts, "left_semi", G.contains_point(F.col("place_edges"), F.col("_p.x"), F.col("_p.y")))
+        kept = _paired(points, parts, "left_semi", G.contains_point(F.col("place_edges"), F.col("_p.x"), F.col("_p.y")), [POINT_CLASS])
         return kept.withColumns({b: F.col(f"_{b}") for b in BOX}).drop("_p", *[f"_{b}" for b in BOX])
     if mode == "intersects":
         hits = _paired(blocks, parts, "left_semi", G.polygons_meet(F.col("edges"), F.col("place_edges")))

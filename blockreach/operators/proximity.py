@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from blockreach.session import cut_lineage
 
 FANOUT = 4  # a cell is cut into FANOUT x FANOUT children
-LEAF_SIZE = 128  # positions a leaf may hold
+LEAF_SIZE = 128  # positions a leaf may hold for sums within radii
+NEAREST_LEAF_SIZE = 16  # and for nearest points, where a leaf is always searched
 MAX_DEPTH = 10
 
 
@@ -232,6 +233,8 @@ def radius_sums(
     every = pieces.select(
         origin_id, "lo", "hi", *[F.col(m).cast("double").alias(m) for m in measures]
     ).unionByName(nothing)
+    # First per reach interval, which leaves a few rows per origin; then per radius.
+    every = every.groupBy(origin_id, "lo", "hi").agg(*[F.sum(m).alias(m) for m in measures])
     return every.groupBy(origin_id).agg(*[
         F.sum(F.when((F.col("lo") <= i) & (F.col("hi") > i), F.col(m)).otherwise(0.0)).alias(name(m, r))
         for m in measures
@@ -282,7 +285,7 @@ def nearest(
     than the farthest spot of the best cell, so each origin carries a handful of cells per level.
     Origins whose key has no points are absent.
     """
-    tree = build_tree(points, by, (), id_col=point_id)
+    tree = build_tree(points, by, (), id_col=point_id, leaf_size=NEAREST_LEAF_SIZE)
     keys = list(by)
     x, y = F.col("x"), F.col("y")
     tops = tree.nodes.where("level = 0").select(*keys, F.struct("cx", "cy", "minx", "miny", "maxx", "maxy").alias("top"))

@@ -16,6 +16,7 @@ from blockreach.functions import schedule as S
 from blockreach.functions.numeric import safe_divide, to_number
 from blockreach.operators.overlay import points_in_polygons
 from blockreach.operators.proximity import nearest, radius_matches, radius_sums
+from blockreach.session import cut_lineage
 
 # Catchment radii, the distance that stands for "no stop", and other defaults.
 CATCHMENT_M = (400, 800, 1200, 2000, 3000)
@@ -87,10 +88,11 @@ def reduce_schedule(
     """From raw schedule tables (all text, with ``feed_idx``) to the reduced :class:`Service`."""
     events = departures(stop_times, trips, active_services(calendar, trips))
     # Both reductions combine on the map side, so a stop with a third of all departures is no hot spot.
-    per_route = events.groupBy("stop_key", "route_key").agg(
+    # The first one feeds nearly every feature and is written once instead of being recomputed.
+    per_route = cut_lineage(events.groupBy("stop_key", "route_key").agg(
         F.count(F.lit(1)).alias("departures"), F.count_if("is_peak").alias("peak"),
         F.min("departure_min").alias("first"), F.max("departure_min").alias("last"),
-    )
+    ))
     used = boarding_stops(stops, project).join(per_route.select("stop_key").distinct(), "stop_key", "left_semi")
     kinds = routes.select(
         S.feed_key(F.col("feed_idx"), F.col("route_id")).alias("route_key"), "route_type",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blockreach.functions import tags as T
 from blockreach.functions.naming import node_id
 from blockreach.operators import target as tg
-from blockreach.operators.proximity import nearest, radius_sums
+from blockreach.operators.proximity import radius_sums
 from blockreach.plans import carriers as C
 from blockreach.plans.registry import q6, query, r6, rounded
 
@@ -88,3 +88,10 @@ def city_scores(spark, folder):
         r6(F.col(n), 4 if n.startswith("jobs_") and not n.startswith("jobs_norm") else 6).alias(n) if t == "double" else F.col(n)
         for n, t in df.dtypes
     ])
+
+
+@query("jn13_sites_within_radius", f"WITH {REACH_SQL} SELECT b.block_id, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE {_D} <= {r}000) AS DOUBLE) AS sites_{r}km" for r in KM) + " FROM blocks b, jobs d GROUP BY b.block_id")
+def _(spark, folder):
+    sites = C.job_sites(spark, folder).withColumn("sites", F.lit(1.0))
+    return radius_sums(C.blocks(spark, folder), "block_id", sites, ["sites"], C.RADII_M, lambda m, r: f"{m}_{int(r / 1000)}km")

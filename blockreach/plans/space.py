@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockreach.functions import geometry as G, projection as P, tags as T
 from blockreach.operators import built_env as be, graph as gr, overlay as ov, target as tg
-from blockreach.operators.proximity import nearest
 from blockreach.plans import carriers as C
 from blockreach.plans.registry import q6, query, r6, rounded
 
@@ -434,3 +433,37 @@ def _(spark, folder):
     df = df.withColumn("m", P.to_utm(F.col("lon"), F.col("lat"), F.col("epsg")))
     df = df.withColumn("g", P.from_utm(F.col("m.x"), F.col("m.y"), F.col("epsg")))
     return rounded(df.select("block_id", "g.lon", "g.lat"))
+
+
+# --- irregular shapes and overlay pairs -------------------------------------------------------
+
+def triangles(spark: SparkSession, folder: str) -> DataFrame:
+    """A right triangle with legs 30 + size and 40 + size in each block, with a small square hole."""
+    x0, y0, s = F.col("x0"), F.col("y0"), F.col("p_size").cast("double")
+    shell = C.ring((x0, y0), (x0 + s + 30.0, y0), (x0, y0 + s + 40.0))
+    hole = C.ring((x0 + 2, y0 + 2), (x0 + 2, y0 + 7), (x0 + 7, y0 + 7), (x0 + 7, y0 + 2))
+    return ov.with_edges(C.grid(spark, folder).select("block_id", F.array(shell, hole).alias("rings")))
+
+
+TRIANGLE_SQL = f"""WITH {C.GRID_SQL}, t AS (SELECT block_id, (p_size + 30.0) * (p_size + 40.0) / 2 - 25 AS area, p_size + 30.0 + p_size + 40.0
+  + sqrt((p_size + 30.0) ** 2 + (p_size + 40.0) ** 2) + 20 AS perimeter FROM grid)"""
+
+
+@query("sp02_polygon_perimeters", f"{TRIANGLE_SQL} SELECT block_id, {q6('area')} AS area_m2, {q6('perimeter')} AS perimeter_m FROM t")
+def _(spark, folder):
+    df = triangles(spark, folder)
+    return rounded(df.select("block_id", G.polygon_area(F.col("rings")).alias("area_m2"), G.polygon_perimeter(F.col("edges")).alias("perimeter_m")))
+
+
+@query("sp03_compactness", f"{TRIANGLE_SQL} SELECT block_id, {q6('4 * pi() * area / (perimeter * perimeter)')} AS compactness FROM t")
+def _(spark, folder):
+    return rounded(be.block_shapes(triangles(spark, folder)).select("block_id", F.col("be_compactness").alias("compactness")))
+
+
+@query("jn12_overlay_pieces", f"""{WITH}, a AS (SELECT block_id, count(*) AS n_plots, sum(area_m2) AS area FROM common GROUP BY block_id), l AS (SELECT block_id, sum(m) AS m FROM pieces GROUP BY block_id)
+  SELECT block_id, n_plots, {q6('area')} AS area_m2, {q6('m')} AS length_m FROM a JOIN l USING (block_id)""")
+def _(spark, folder):
+    p = polygons(spark, folder)
+    plots = be.land_overlaps(land(spark, folder), p).groupBy("block_id").agg(F.count(F.lit(1)).alias("n_plots"), F.sum("area_m2").alias("area_m2"))
+    lines = ov.clip_lines(streets(spark, folder).drop("p_partkey"), p.select(*be.BLOCK)).groupBy("block_id").agg(F.sum("length_m").alias("length_m"))
+    return rounded(plots.join(lines, "block_id"))

@@ -287,3 +287,17 @@ def _(spark, folder):
   count_if(pt_tram_stops_within_800m + pt_metro_stops_within_800m + pt_train_stops_within_800m > 0) AS n_blocks_with_rail_mode_stop_within_800m FROM f""")
 def _(spark, folder):
     return rounded(tr.transit_summary(rounded(transit_features(spark, folder))))
+
+
+@query("wn07_first_of_place", f"{WITH} SELECT px, py, {q6('x')} AS x, {q6('y')} AS y FROM places")
+def _(spark, folder):
+    return rounded(service(spark, folder).places, "px", "py")
+
+
+@query("set04_routes_in_catchment", f"""{WITH}, calls AS (SELECT DISTINCT px, py, route_key FROM service_events)
+  SELECT block_id, count(DISTINCT route_key) AS n_routes FROM reach JOIN calls USING (px, py) WHERE d <= 800 GROUP BY block_id""")
+def _(spark, folder):
+    reduced = service(spark, folder)
+    calls = tr.place_routes(reduced).join(reduced.places, ["px", "py"])
+    met = tr.radius_matches(block_centres(spark, folder), "block_id", calls, "route_key", [800.0])
+    return met.groupBy("block_id").agg(F.count_distinct("route_key").alias("n_routes"))

@@ -265,21 +265,29 @@ def catchments(origins: DataFrame, service: Service, radii: Sequence[int] = CATC
 def connected_blocks(service: Service, stop_block: DataFrame) -> DataFrame:
     """Number of other blocks sharing at least one route with each block.
 
-    Blocks with the same set of routes have the same neighbours, so routes are joined to *route sets*
-    rather than to blocks: the join grows with the distinct sets, not with the square of the blocks
-    on a long route.
+    Blocks are numbered and every route holds its blocks as bitmaps; the union of a block's routes is
+    then an OR of bitmaps, done once per distinct set of routes. No pairs of blocks are formed, so a
+    route serving most of the blocks costs a few bitmaps instead of a square.
     """
     calls = service.by_route.join(stop_block.select("stop_key", "block_id"), "stop_key").select("block_id", "route_key").distinct()
-    sets = calls.groupBy("block_id").agg(F.array_sort(F.collect_set("route_key")).alias("routes"))
-    kinds = sets.groupBy("routes").agg(F.count(F.lit(1)).alias("blocks"))
-    by_route = kinds.withColumn("route_key", F.explode("routes"))
-    linked = (
-        by_route.select("routes", "route_key")
-        .join(by_route.select(F.col("routes").alias("other"), "blocks", "route_key"), "route_key")
-        .groupBy("routes", "other")
-        .agg(F.first("blocks").alias("blocks"))
+    sets = cut_lineage(
+        calls.groupBy("block_id")
+        .agg(F.array_sort(F.collect_set("route_key")).alias("routes"))
+        .withColumn("number", F.monotonically_increasing_id() + 1)
+    )
+    served = (
+        sets.select("number", F.explode("routes").alias("route_key"))
+        .groupBy("route_key", F.bitmap_bucket_number("number").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("blocks"))
+    )
+    kinds = sets.select("routes").distinct().withColumn("route_key", F.explode("routes"))
+    reached = (
+        kinds.join(served, "route_key")
+        .groupBy("routes", "bucket")
+        .agg(F.bitmap_or_agg("blocks").alias("blocks"))
+        .groupBy("routes")
+        .agg((F.sum(F.bitmap_count("blocks")) - 1).cast("double").alias("pt_connected_blocks_same_route"))
     )
-    reached = linked.groupBy("routes").agg((F.sum("blocks") - 1).cast("double").alias("pt_connected_blocks_same_route"))
     return sets.join(reached, "routes").select("block_id", "pt_connected_blocks_same_route")
 
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm import bpe, token_files
-from blockreach.llm.common import table
+from blockreach.llm import bpe, decontaminate, language, simhash, token_files
+from blockreach.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,29 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every document."""
     return bpe.encode_documents(table(spark, folder, "documents"), vocabulary_path(), with_text=False)
+
+
+def language_model(spark: SparkSession, documents: DataFrame) -> language.LanguageModel | None:
+    """Learned from documents whose id remainder is not 1."""
+    return language.learn(documents, id_remainder(documents["doc_id"], 3) != 1)
+
+
+@query("op4_language")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    documents = table(spark, folder, "documents")
+    found = language.identify(documents, language_model(spark, documents))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm import bpe, decontaminate, language, simhash, token_files
+from blockreach.llm import bpe, decontaminate, language, simhash, token_files, toxicity
 from blockreach.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,15 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return files.read(files.lookup(files.documents), "ids_crc32 bigint", token_files.crc32_of_ids).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels of documents whose id remainder is not 2."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels").select("doc_id", "toxic")
+    sample = toxicity.sample_labelled(documents, labels.where(id_remainder(F.col("doc_id"), 4) != 2))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return toxicity.score_documents(documents, toxicity.learn(sample)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op3_bpe")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every document."""

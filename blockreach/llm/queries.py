@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm import bpe, decontaminate, language, simhash, token_files, toxicity
+from blockreach.llm import bpe, decontaminate, language, secrets, simhash, token_files, toxicity
 from blockreach.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
+
+
+@query("op9_secrets")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, with linked parts of credentials."""
+    return secrets.find_secrets(table(spark, folder, "documents")).drop("base", "linked")

@@ -175,17 +175,20 @@ class PieceCache:
     """Encodings of white-space-free pieces, made together for all new pieces of a batch."""
 
     def __init__(self, encode, limit: int = CACHE_PIECES) -> None:
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.limit, self.known, self.long = encode, limit, {}, []
 
     def lookup(self, pieces: set[bytes]) -> dict[bytes, object]:
         """The encoding of every piece of the batch."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-        found = dict(zip(new, self.encode(new), strict=True)) if new else {}
-        out = self.known | found if any(len(p) > CACHED_PIECE_BYTES for p in found) else None
-        self.known.update((p, v) for p, v in found.items() if len(p) <= CACHED_PIECE_BYTES)
-        return self.known if out is None else out
+        known = self.known
+        for piece in self.long:
+            del known[piece]
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > self.limit:
+            self.known = known = {p: known[p] for p in pieces if p in known}
+        if new:
+            known.update(zip(new, self.encode(new), strict=True))
+        self.long = [p for p in new if len(p) > CACHED_PIECE_BYTES]
+        return known
 
 
 def normalise(text: str) -> str:
@@ -203,12 +206,7 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[tuple[byt
     out: list[tuple[bytes, bytes] | None] = [None] * len(pieces)
     if number:
         ids, starts = merge_words(vocabulary, [w.encode() for w in number])
-        number["\n"] = -1
-        occurring = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-        sizes = np.where(occurring < 0, 0, np.diff(starts)[occurring])
-        ends = np.cumsum(sizes)
-        flat = ids[np.arange(ends[-1]) + np.repeat(np.where(occurring < 0, 0, starts[occurring]) - (ends - sizes), sizes)]
-        bounds = [0, *ends[occurring < 0].tolist(), int(ends[-1])]
+        flat, bounds = spread(found, number, ids, starts)
         raw, words = flat.astype("<u4").tobytes(), list(map(vocabulary.token_bytes.__getitem__, flat.tolist()))
         out = [(raw[4 * a:4 * b], b" ".join(words[a:b])) if a < b else None for a, b in zip(bounds, bounds[1:])]
     for i in special:
@@ -216,6 +214,25 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[tuple[byt
     return out
 
 
+def spread(found: list[str], number: dict[str, int], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Ids of the ``found`` words in their order, and the bounds of the pieces that line feeds part.
+
+    Word ``w`` has the ids from ``starts[number[w]]`` up to the next start.
+    """
+    occurring = np.array([number.get(w, -1) for w in found], np.int64)
+    sizes = np.where(occurring < 0, 0, np.diff(starts)[occurring])
+    flat, ends = gather(ids, np.where(occurring < 0, 0, starts[occurring]), sizes)
+    return flat, [0, *ends[occurring < 0].tolist(), len(flat)]
+
+
+def gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``ids[start:start + size]`` one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    at += np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    return ids[at], ends
+
+
 def encode_special(vocabulary: Vocabulary, text: str) -> tuple[bytes, bytes]:
     """A piece with strings of added tokens."""
     got: list[tuple[bytes, bytes] | None] = []

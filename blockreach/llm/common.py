@@ -6,7 +6,9 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -72,6 +74,16 @@ def text_slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[t
         yield start, len(texts)
 
 
+def array_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[pa.Array]:
+    """Consecutive parts of a string column of about ``limit`` bytes each (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]]) -> DataFrame:
     """Run the function that ``make`` builds once per task over every Arrow batch of ``df``."""
 

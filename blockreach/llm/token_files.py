@@ -17,21 +17,25 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm.bpe import PieceCache
-from blockreach.llm.common import SLICE_CHARS, open_folder, remove, shared_folder, text_slices
+from blockreach.llm.bpe import gather, spread
+from blockreach.llm.common import SLICE_CHARS, array_slices, open_folder, remove, shared_folder
 
 KEYS_PER_BUCKET = 100_000
 LEVEL_ROOM = 1.6  # bits per remaining key at each level
 MAX_LEVELS = 60
+WORD_END = "</w>"
+KNOWN_WORDS = 400_000
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -79,35 +83,85 @@ def find_slots(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return slots
 
 
-def library_encoder(path: str) -> Callable[[], Callable[[list[str | None]], list[np.ndarray]]]:
-    """Encoder of texts with the tokenizers library.
+# Pieces of these characters are unchanged by NFC, and without an apostrophe (which may start a contraction)
+# their words are runs of letters, single digits and runs of signs.
+PLAIN_PIECE = "^[!-&(-~À-ÖØ-öø-ÿ]+$"
+PLAIN_WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\\n]+|\\n")
 
-    White space only separates words here, so the library encodes each distinct piece between ASCII white
-    space once per batch; texts that may hold strings of added tokens go to it whole.
+
+Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def library_encoder(path: str) -> Callable[[], Encoder]:
+    """Encoder of texts with the tokenizers library: the ids of all texts, and where each text ends.
+
+    White space only separates words here, so texts are cut at ASCII white space and the library encodes
+    each distinct piece of a batch: plain pieces as their words, all words not yet known in one call, and
+    other pieces one by one. Texts that may hold strings of added tokens go to the library whole.
     """
 
-    def make() -> Callable[[list[str | None]], list[np.ndarray]]:
+    def make() -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-
-        def pieces_to_ids(pieces: list[bytes]) -> list[bytes]:
-            coded = tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-            return [np.array(c.ids, "<u4").tobytes() for c in coded]
-
-        cache = PieceCache(pieces_to_ids)
-
-        def encode(texts: list[str | None]) -> list[np.ndarray]:
-            whole = {i for i, t in enumerate(texts) if t and "<|" in t}
-            pieces = [[] if i in whole else (t or "").encode("utf-8", "replace").split() for i, t in enumerate(texts)]
-            known = cache.lookup(set().union(*pieces))
-            out = [b"".join(map(known.__getitem__, own)) for own in pieces]
-            for i in whole:
-                out[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-            return [np.frombuffer(ids, "<u4") for ids in out]
+        vocabulary = tokenizer.get_vocab()
+        closes = np.zeros(1 + max(vocabulary.values()), bool)
+        closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        # Words seen so far by number, their ids one after the other, and where each word's ids start.
+        number: dict[str, int] = {}
+        known_ids, known_starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+        def encode_plain(pieces: list[str]) -> tuple[np.ndarray, list[int]]:
+            nonlocal known_ids, known_starts
+            found = PLAIN_WORDS.findall("\n".join(pieces).lower())
+            new = [w for w in dict.fromkeys(found) if w not in number and w != "\n"]
+            if len(number) + len(new) > KNOWN_WORDS:
+                number.clear()
+                known_ids, known_starts = known_ids[:0], known_starts[:1]
+                new = [w for w in dict.fromkeys(found) if w != "\n"]
+            if new:
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(closes[ids]) + 1
+                if len(ends) != len(new):
+                    raise ValueError("A word is not closed by a word end; the vocabulary is of another kind.")
+                number.update(zip(new, range(len(number), len(number) + len(new))))
+                known_starts = np.r_[known_starts, ends + len(known_ids)]
+                known_ids = np.r_[known_ids, ids]
+            return spread(found, number, known_ids, known_starts)
+
+        def encode_whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            coded = [c.ids for c in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for ids in coded for i in ids], np.uint32), np.array([len(ids) for ids in coded], np.int64)
+
+        def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            texts = pc.fill_null(texts, "")
+            whole = pc.match_substring(texts, "<|")
+            split = pc.ascii_split_whitespace(pc.if_else(whole, "", texts))
+            coded = split.flatten().dictionary_encode()
+            pieces, order = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+            plain = pc.match_substring_regex(coded.dictionary, PLAIN_PIECE).to_numpy(zero_copy_only=False)
+            sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+            ids = np.zeros(0, np.uint32)
+            if plain.any():
+                ids, bounds = encode_plain(pieces[plain].tolist())
+                starts[plain], sizes[plain] = bounds[:-1], np.diff(bounds)
+            if not plain.all():
+                odd, odd_sizes = encode_whole(pieces[~plain].tolist())
+                starts[~plain], sizes[~plain] = len(ids) + np.cumsum(odd_sizes) - odd_sizes, odd_sizes
+                ids = np.r_[ids, odd]
+            flat, piece_ends = gather(ids, starts[order], sizes[order])
+            ends = np.r_[0, piece_ends][split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+            if pc.any(whole).as_py():
+                at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+                own, own_sizes = encode_whole(texts.take(pa.array(at)).to_pylist())
+                flat = np.insert(flat, np.repeat(ends[at], own_sizes), own)
+                added = np.zeros(len(ends), np.int64)
+                added[at] = own_sizes
+                ends = ends + np.cumsum(added)
+            return flat, ends
 
         return encode
 
@@ -187,7 +241,7 @@ class TokenFiles:
 
 
 def write_token_files(
-    df: DataFrame, encoder: Callable[[], Callable[[list[str | None]], list[np.ndarray]]], vocabulary_size: int,
+    df: DataFrame, encoder: Callable[[], Encoder], vocabulary_size: int,
     end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> TokenFiles:
     """Encode ``df`` in ascending id order, each document closed by ``end_id``, and write shards and index."""
@@ -208,18 +262,19 @@ def write_token_files(
                 continue
             if out is None:
                 out, encode = fs.open_output_stream(f"{path}/data/{name}"), encoder()
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            places, copies, counts = [], [], []
-            for a, b in text_slices(texts, SLICE_CHARS):
-                for key, ids in zip(keys[a:b], encode(texts[a:b])):
-                    if end_id is not None:
-                        ids = np.append(ids, end_id)
-                    out.write(ids.astype(f"<u{width}").tobytes())
-                    copy, last = (copy + 1 if key == last else 0), key
-                    places.append(at)
-                    copies.append(copy)
-                    counts.append(len(ids))
-                    at += len(ids)
+            keys, copies, counts = batch.column(0).to_pylist(), [], []
+            for part in array_slices(batch.column(1), 2 * SLICE_CHARS):
+                ids, ends = encode(part)
+                sizes = np.diff(ends, prepend=0)
+                if end_id is not None:
+                    ids, sizes = np.insert(ids, ends, end_id), sizes + 1
+                out.write(ids.astype(f"<u{width}").tobytes())
+                counts += sizes.tolist()
+            for key in keys:
+                copy, last = (copy + 1 if key == last else 0), key
+                copies.append(copy)
+            places = at + np.cumsum(counts) - counts
+            at += sum(counts)
             numbers = range(number, number := number + len(keys))
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard] * len(keys), pa.int64()), "file": pa.array([name] * len(keys)), "number": pa.array(numbers, pa.int64()),

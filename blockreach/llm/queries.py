@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm import bpe, decontaminate, language, secrets, simhash, token_files, toxicity
+from blockreach.llm import bpe, decontaminate, language, secrets, simhash, sketches, token_files, toxicity
 from blockreach.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document, with linked parts of credentials."""
     return secrets.find_secrets(table(spark, folder, "documents")).drop("base", "linked")
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of every document, of its edited text and of the next document."""
+    return sketches.fingerprints(table(spark, folder, "documents"))

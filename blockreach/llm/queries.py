@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm import bpe, decontaminate, language, secrets, simhash, sketches, token_files, toxicity
-from blockreach.llm.common import id_remainder, table
+from blockreach.llm import bpe, decontaminate, language, secrets, sharding, simhash, sketches, token_files, toxicity, warc
+from blockreach.llm.common import id_remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,75 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Sketches of every document, of its edited text and of the next document."""
     return sketches.fingerprints(table(spark, folder, "documents"))
+
+
+@query("op7_shards", f"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents
+), levels AS (
+  SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, h >> (60 - depth) AS node FROM d, range(0, 41) AS r(depth)
+), sizes AS (
+  SELECT depth, node, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS n FROM levels GROUP BY depth, node
+)
+SELECT doc_id, n_bytes, arg_min(depth || ':' || node, depth) AS shard, min(depth) AS depth, arg_min(shard_bytes, depth) AS shard_bytes
+FROM levels JOIN sizes USING (depth, node)
+WHERE shard_bytes <= {sharding.SHARD_BYTES} OR n = 1
+GROUP BY doc_id, n_bytes
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard of every document."""
+    return sharding.shard_rows(table(spark, folder, "documents"))
+
+
+# Damage of the audited replica: a flipped letter in one page of 40, one page of 60 unreadable.
+FLIPPED, LOST = 40, 60
+
+
+@query("op8_warc_audit", f"""
+WITH p AS (
+  SELECT page_id, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         CAST(ceil((SELECT count(*) FROM pages) / {warc.FILE_RECORDS}) AS BIGINT) AS files
+  FROM pages
+), w AS (
+  SELECT page_id, h, h % greatest(files, 1) AS file,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) ||
+         'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS head, html
+  FROM p
+), s AS (
+  SELECT page_id, h, file, head, html, sha256(head || html || chr(13) || chr(10) || chr(13) || chr(10)) AS digest,
+         strlen(head) + strlen(html) + 4 AS size
+  FROM w
+), a AS (
+  SELECT page_id, h, file, digest, CAST(sum(size) OVER (PARTITION BY file ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end", size FROM s
+), l AS (
+  SELECT *, "end" - size AS start FROM a
+), r16 AS (
+  SELECT file, start >> 16 AS node, sha256(string_agg(start || ':' || "end" || ':' || digest, ',' ORDER BY start)) AS hash FROM l GROUP BY 1, 2
+), r20 AS (
+  SELECT file, node >> 4 AS node, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM r16 GROUP BY 1, 2
+), r24 AS (
+  SELECT file, node >> 4 AS node, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM r20 GROUP BY 1, 2
+), roots AS (
+  SELECT file, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS root FROM r24 GROUP BY 1
+)
+SELECT page_id, file, CAST(start AS BIGINT) AS start, "end", digest, root,
+       CASE WHEN h % {LOST} = 1 THEN 'missing' WHEN h % {FLIPPED} = 0 THEN 'corrupt' ELSE 'same' END AS status
+FROM l JOIN roots USING (file)
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit of a damaged replica of the archived pages: every record with its place, its file's root and its status."""
+    pages = table(spark, folder, "pages")
+    stored = written(warc.archived(pages), "archive")
+    bits = sharding.leading_bits(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    # The replica's flipped pages end with another character of the same size.
+    damaged = pages.withColumn("html", F.when(bits % FLIPPED == 0, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("#"))).otherwise(F.col("html")))
+    replica = written(warc.archived(damaged).where(bits % LOST != 1), "replica")
+    trees = warc.tree(stored), warc.tree(replica)
+    found = warc.differing_records(stored, replica, *trees).where("status <> 'extra'")
+    roots = trees[0][-1].select("file", F.col("hash").alias("root"))
+    return (
+        stored.join(found, ["file", "start"], "left").join(roots, "file")
+        .select("page_id", "file", "start", "end", "digest", "root", F.coalesce("status", F.lit("same")).alias("status"))
+    )

@@ -166,3 +166,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         stored.join(found, ["file", "start"], "left").join(roots, "file")
         .select("page_id", "file", "start", "end", "digest", "root", F.coalesce("status", F.lit("same")).alias("status"))
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    # The pipeline module imports this one.
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

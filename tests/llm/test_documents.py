@@ -1,15 +1,13 @@
 """Language, near-duplicates and decontamination against brute force and held-out labels."""
 
-import hashlib
 import random
-import re
 import zlib
 
 import numpy as np
-import xxhash
 
 from blockreach.llm import decontaminate, language, simhash
 from blockreach.llm.queries import op4, op5, op6
+from tests_llm_brute import brute_components, brute_contamination, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,33 +57,6 @@ def test_kernel_counts_common_ngrams():
 
 # near-duplicates
 
-def brute_fingerprint(text):
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", low)
-    if not words:
-        return 0
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i:i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
-    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
-
-
-def brute_components(prints):
-    """Smallest id reachable over links of at most three bits."""
-    ids = list(prints)
-    parent = {i: i for i in ids}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    return {i: root(i) for i in ids}
-
-
 def test_near_duplicates_equal_brute_force(spark):
     prints = {d: brute_fingerprint(t) for d, t in documents(spark)}
     components = brute_components(prints)
@@ -157,29 +128,6 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark):
 
 # decontamination
 
-def brute_contamination(texts, items, window=10):
-    def words(t):
-        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-
-    patterns = {}
-    for item, text in items:
-        w = words(text)
-        n = min(window, len(w))
-        for at in range(len(w) - n + 1 if w else 0):
-            patterns.setdefault(tuple(w[at:at + n]), set()).add(str(item))
-    out = []
-    for text in texts:
-        w, hit, found = words(text), set(), set()
-        for n in {len(p) for p in patterns}:
-            for at in range(len(w) - n + 1):
-                if own := patterns.get(tuple(w[at:at + n])):
-                    hit |= set(range(at, at + n))
-                    found |= own
-        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return out
-
-
 def columns(rows):
     return {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows}
 

@@ -1,50 +1,15 @@
 """Secrets against a brute-force search with Python's patterns."""
 
-import hashlib
 import random
-import re
 
 from blockreach.llm import secrets as S
 from blockreach.llm.queries import op9
-
-ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-WEAK = {3: re.compile(S.WEAK_ACCESS), 4: re.compile(S.WEAK_KEY), 5: re.compile(S.ENDPOINT)}
-
-
-def brute(text):
-    text = text or ""
-    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-    base += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
-    weak = [(m.start(), kind, m.end()) for kind, p in WEAK.items() for m in p.finditer(text) if not any(b[0] < m.end() and m.start() < b[2] for b in base)]
-
-    def near(s, kinds):
-        return any(o[1] in kinds and max(o[0] - s[2], s[0] - o[2]) <= S.SCOPE for o in base + weak)
-
-    linked = [s for s in weak if (s[1] == 3 and near(s, S.SECRETS)) or (s[1] == 4 and near(s, S.IDENTIFIERS)) or (s[1] == 5 and near(s, S.SECRETS) and near(s, S.IDENTIFIERS))]
-
-    def joined(spans):
-        return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
-
-    counts = tuple(sum(s[1] == k for s in base) for k in S.BASE)
-    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + linked)), sorted(base + linked)
-
+from tests_llm_brute import brute_redacted, brute_spans
 
 def columns(row):
     return tuple(row[c] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans"))
 
 
-def brute_redacted(text, spans):
-    out, at = "", 0
-    for a, _, b in spans:
-        if a >= at:
-            out += text[at:a] + S.MARK
-        at = max(at, b)
-    return out + text[at:]
-
-
 def odd_texts():
     rng = random.Random(8)
     bits = ["token", "PASSWD", "api_key", "apikey", "secret", " = ", ":", "=", '"', "'", "abcdef", "a1b2c3", "x" * 5, "AKIA", "AKIA" + "Q7" * 8, "ASIA" + "Z9" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "0123456789abcdef" * 2, "https://host.example/x", "10.0.0.1", " é🙂 ", "\n", " ", " words between " * 12, "ſecret=abcdefgh", "toKen=abcdefgh"]
@@ -59,7 +24,7 @@ def test_spans_equal_brute_force(spark):
     got = {r["doc_id"]: columns(r) for r in rows}
     linked = 0
     for i, t in enumerate(texts):
-        want, spans = brute(t)
+        want, spans = brute_spans(t)
         assert got[i] == want, (i, t)
         linked += sum(s[1] in S.WEAK for s in spans)
     assert linked > 50 and got[None][0] == 1
@@ -73,7 +38,7 @@ def test_redaction_equals_brute_force(spark):
     assert out.columns == df.columns
     for r in out.collect():
         text = texts[r["doc_id"]]
-        want = text if text is None else brute_redacted(text, brute(text)[1])
+        want = text if text is None else brute_redacted(text, brute_spans(text)[1])
         assert r["text"] == want and r["n_chars"] == len(want or "") and r["key"] == "clash"
 
 
@@ -81,4 +46,4 @@ def test_query_over_documents(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     rows = op9(spark, folder).collect()
-    assert {r["doc_id"]: columns(r) for r in rows} == {d: brute(t)[0] for d, t in texts.items()}
+    assert {r["doc_id"]: columns(r) for r in rows} == {d: brute_spans(t)[0] for d, t in texts.items()}

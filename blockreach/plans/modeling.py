@@ -129,16 +129,35 @@ def _(spark, folder):
     return sp.quantile_bins(df, {"x_m": 8, "y_m": 8}, ["city"]).select("node_id", F.col("x_m_bin").alias("x_bin"), F.col("y_m_bin").alias("y_bin"))
 
 
-@query("ml02_spatial_split")
+def split_sql(seed: int) -> str:
+    """CTEs from ``edges`` on, ending with ``labels (city, cell, split)``; the quotas are 15 % each."""
+    def region(name: str, grid: str, number: int) -> str:
+        return f"""{name}_first AS (SELECT city, x, y FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY md5(city || ':' || cell || ':{number}')) AS k FROM {grid}) WHERE k = 1),
+  {name}_walk AS (SELECT city, x, y, 0 AS hops FROM {name}_first UNION SELECT g.city, g.x, g.y, w.hops + 1 FROM {name}_walk w JOIN {grid} g ON g.city = w.city AND abs(g.x - w.x) + abs(g.y - w.y) = 1 WHERE w.hops < 64),
+  {name}_hops AS (SELECT city, x, y, min(hops) AS hops FROM {name}_walk GROUP BY ALL),
+  {name} AS (SELECT g.*, coalesce(sum(n) OVER (PARTITION BY g.city ORDER BY h.hops NULLS LAST, md5(g.city || ':' || cell || ':{number}') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < round(total * 0.15) AS taken
+    FROM {grid} g LEFT JOIN {name}_hops h ON h.city = g.city AND h.x = g.x AND h.y = g.y)"""
+
+    bins = lambda c: " + ".join(f"CASE WHEN {c}_m > {c}{i} THEN 1 ELSE 0 END" for i in range(1, 8))
+    return f"""edges AS (SELECT city, {', '.join(f'quantile_cont(x_m, {i}/8.0) AS x{i}, quantile_cont(y_m, {i}/8.0) AS y{i}' for i in range(1, 8))} FROM model GROUP BY city),
+  binned AS (SELECT node_id, city, {bins('x')} AS x, {bins('y')} AS y FROM model JOIN edges USING (city)),
+  placed AS (SELECT *, x * (max(y) OVER (PARTITION BY city) + 1) + y AS cell FROM binned),
+  grid AS (SELECT city, cell, x, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY city) AS total FROM placed GROUP BY city, cell, x, y),
+  {region('tested', 'grid', seed)}, rest AS (SELECT city, cell, x, y, n, total FROM tested WHERE NOT taken), {region('validated', 'rest', seed + 1)},
+  labels AS (SELECT city, cell, 'test' AS split FROM tested WHERE taken UNION ALL SELECT city, cell, CASE WHEN taken THEN 'val' ELSE 'train' END FROM validated)"""
+
+
+@query("ml02_spatial_split", f"WITH RECURSIVE {C.MODEL_SQL}, {split_sql(42)} SELECT node_id, cell AS spatial_cell, split FROM placed JOIN labels USING (city, cell)")
 def _(spark, folder):
-    return sp.spatial_splits(C.model_table(spark, folder))
+    labels = sp.spatial_splits(C.model_table(spark, folder))
+    return labels.select(node_id(F.col("city"), F.col("block_id")).alias("node_id"), "spatial_cell", "split")
 
 
-@query("ml03_pooled_split")
+@query("ml03_pooled_split", f"WITH RECURSIVE {C.MODEL_SQL}, {split_sql(1000)} SELECT node_id, city, split, count(*) OVER (PARTITION BY split) AS n_split FROM placed JOIN labels USING (city, cell)")
 def _(spark, folder):
     labels = sp.spatial_splits(C.model_table(spark, folder), seed=1000)
-    pooled = labels.withColumn("node_id", node_id(F.col("city"), F.col("block_id")))
-    return pooled.groupBy("city", "split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("spatial_cell").alias("n_cells"))
+    pooled = labels.select(node_id(F.col("city"), F.col("block_id")).alias("node_id"), "city", "split")
+    return pooled.join(pooled.groupBy("split").agg(F.count(F.lit(1)).alias("n_split")), "split")
 
 
 @query("ml05_leave_one_city_out", f"""WITH {LABELLED}, c AS (SELECT 'city_' || i AS heldout_city, CAST(i AS INTEGER) AS fold FROM range(10) t(i))

@@ -113,13 +113,18 @@ def multi_city(tables: dict[str, DataFrame], feature_columns: dict[str, Sequence
 
 
 def swap_target(dataset: DataFrame, values: DataFrame, target_column: str, value_column: str) -> DataFrame:
-    """Replace the label by another view of it, matched on ``node_id``."""
+    """Replace the label by another view of it, matched on ``node_id``; every row must have exactly one."""
+    checks.require_unique(values, "node_id", what="target view")
+    if not dataset.join(values, "node_id", "left_anti").isEmpty():
+        raise ValueError("The target view lacks rows of the dataset.")
     return dataset.drop(target_column).join(
         values.select("node_id", F.col(value_column).alias(target_column)), "node_id"
     )
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join in which every left row may have at most one partner."""
+def join_checked(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", one_to_one: bool = False) -> DataFrame:
+    """Join in which every left row may have at most one partner; with ``one_to_one`` right rows too."""
+    if one_to_one:
+        checks.require_unique(left, *on, what="left side")
     checks.require_unique(right, *on, what="right side")
     return left.join(right, list(on), how)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from blockreach.functions import geometry as G
@@ -176,40 +179,15 @@ def attach(points: DataFrame, point_id: str, nodes: DataFrame, measures: Sequenc
     )
 
 
-def bounded_distances(edges: DataFrame, starts: DataFrame, limit: float) -> DataFrame:
-    """Shortest distances ``(start, node, d)`` from every start node, up to ``limit``.
-
-    Label correcting in rounds: only labels improved in the last round are extended, and a path is
-    dropped once it exceeds the limit. Each round is written to the checkpoint folder.
-    """
-    best = cut_lineage(starts.select(F.col("node").alias("start"), "node").distinct().withColumns(
-        {"d": F.lit(0.0), "fresh": F.lit(True)}
-    ))
-    out_edges = cut_lineage(edges.where(F.col("w") <= limit).select(F.col("src").alias("node"), F.col("dst").alias("next"), "w"))
-    while True:
-        tried = (
-            best.where("fresh")
-            .join(out_edges, "node")
-            .select("start", F.col("next").alias("node"), (F.col("d") + F.col("w")).alias("d"))
-            .where(F.col("d") <= limit)
-        )
-        merged = (
-            best.select("start", "node", "d", F.col("d").alias("known"))
-            .unionByName(tried.withColumn("known", F.lit(None).cast("double")))
-            .groupBy("start", "node")
-            .agg(F.min("d").alias("d"), F.min("known").alias("known"))
-        )
-        best = cut_lineage(merged.select(
-            "start", "node", "d", (F.col("known").isNull() | (F.col("d") < F.col("known"))).alias("fresh")
-        ))
-        if best.where("fresh").isEmpty():
-            return best.select("start", "node", "d")
+# Origins of a tile that one task walks from; denser tiles are split.
+TILE_ORIGINS = 2048
 
 
 def reachability_sums(
     edges: DataFrame,
     origins: DataFrame,
     destinations: DataFrame,
+    places: DataFrame,
     measures: Sequence[str],
     radii: Sequence[float],
     name,
@@ -217,24 +195,88 @@ def reachability_sums(
 ) -> DataFrame:
     """Sums of destination values within network distance ``max(r - origin offset, 0)``, for every r.
 
-    ``origins``: ``origin_id, node, offset``; ``destinations``: ``node, offset, measures...``.
+    ``origins``: ``origin_id, node, offset``; ``destinations``: ``node, offset, measures...``; ``places``:
+    ``node, x, y`` of every node. No edge may be shorter than the straight line between its ends, so
+    all paths within the largest radius stay in the tile of an origin and the ring of that width around
+    it. Each tile gets its edges and destinations once, dense tiles once per part of their origins, and
+    walks from its origins there; only the sums leave.
     """
-    distances = bounded_distances(edges, origins, float(max(radii)))
-    values = destinations.groupBy("node", "offset").agg(*[F.sum(m).cast("double").alias(m) for m in measures])
-    # Per start node and total distance first: origins sharing a node then read a short list.
-    found = (
-        distances.join(values, "node")
-        .groupBy("start", (F.col("d") + F.col("offset")).alias("total"))
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .where(F.col("total") <= float(max(radii)))
+    limit = float(max(radii))
+    count = len(measures)
+    # Nodes travel as 64-bit hashes; two of the nodes around one tile would have to collide to matter.
+    node = F.xxhash64("node").alias("node")
+    at = places.select(node, "x", "y")
+    tile = lambda c: F.floor(F.col(c) / limit)
+    placed = origins.select(origin_id, node, F.col("offset").cast("double").alias("w")).join(at, "node").select(
+        tile("x").alias("tx"), tile("y").alias("ty"), origin_id, F.col("node").alias("a"), "w"
+    )
+    parts = placed.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / TILE_ORIGINS).cast("int").alias("parts"))
+
+    def around(df: DataFrame) -> DataFrame:
+        span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - limit) / limit), F.floor((F.col(c) + limit) / limit)))
+        return df.join(at, "node").withColumn("tx", span("x")).withColumn("ty", span("y")).join(parts, ["tx", "ty"]).withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        )
+
+    no_values = F.array().cast("array<double>")
+    roads = around(edges.where(F.col("w") <= limit).select(F.xxhash64("src").alias("node"), F.xxhash64("dst").alias("b"), F.col("w").cast("double").alias("w")))
+    values = around(
+        destinations.groupBy("node", "offset").agg(*[F.sum(m).cast("double").alias(m) for m in measures])
+        .select(node, F.col("offset").cast("double").alias("w"), F.array(*measures).alias("v"))
+    )
+    asked = placed.join(parts, ["tx", "ty"]).withColumn("part", F.pmod(F.xxhash64(origin_id, "a"), F.col("parts")).cast("int"))
+    key = ["tx", "ty", "part"]
+    empty_id = F.lit(None).cast(dict(origins.dtypes)[origin_id]).alias(origin_id)
+    rows = (
+        asked.select(*key, F.lit(0).alias("kind"), origin_id, "a", F.lit(0).cast("bigint").alias("b"), "w", no_values.alias("v"))
+        .unionByName(roads.select(*key, F.lit(1).alias("kind"), empty_id, F.col("node").alias("a"), "b", "w", no_values.alias("v")))
+        .unionByName(values.select(*key, F.lit(2).alias("kind"), empty_id, F.col("node").alias("a"), F.lit(0).cast("bigint").alias("b"), "w", "v"))
+    )
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        kind = group["kind"].to_numpy()
+        starts, links, goods = (group[kind == k] for k in range(3))
+        nodes, number = np.unique(np.concatenate([starts["a"], links["a"], links["b"], goods["a"]]), return_inverse=True)
+        n0, n1 = len(starts), len(links)
+        own, src, dst, held = np.split(number, [n0, n0 + n1, n0 + 2 * n1])
+        beside: list[list[tuple[int, float]]] = [[] for _ in nodes]
+        for u, v, w in zip(src.tolist(), dst.tolist(), links["w"].tolist()):
+            beside[u].append((v, w))
+        order = np.argsort(held, kind="stable")
+        begin = np.searchsorted(held[order], np.arange(len(nodes) + 1))
+        offset = goods["w"].to_numpy()[order]
+        worth = np.array(goods["v"].tolist(), float).reshape(len(goods), count)[order]
+        out = np.zeros((n0, count, len(radii)))
+        offsets = starts["w"].to_numpy()
+        for start in np.unique(own).tolist():
+            best, done, queue = {start: 0.0}, [], [(0.0, start)]
+            while queue:
+                d, u = heapq.heappop(queue)
+                if d > best[u]:
+                    continue
+                done.append((u, d))
+                for v, w in beside[u]:
+                    if (t := d + w) <= limit and t < best.get(v, limit * 2 + 1):
+                        best[v] = t
+                        heapq.heappush(queue, (t, v))
+            reached, far = np.array([u for u, _ in done]), np.array([d for _, d in done])
+            sizes = begin[reached + 1] - begin[reached]
+            take = np.repeat(begin[reached] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            total = np.repeat(far, sizes) + offset[take]
+            ranked = np.argsort(total, kind="stable")
+            running = np.vstack([np.zeros(count), np.cumsum(worth[take[ranked]], axis=0)])
+            for i in np.flatnonzero(own == start):
+                reach = np.maximum(np.array(radii, float) - offsets[i], 0.0)
+                out[i] = running[np.searchsorted(total[ranked], reach, "right")].T
+        named = {f"s{m}_{r}": out[:, m, r] for m in range(count) for r in range(len(radii))}
+        return pd.DataFrame({origin_id: starts[origin_id].to_numpy()} | named)
+
+    columns = [(f"s{i}_{j}", name(m, r)) for i, m in enumerate(measures) for j, r in enumerate(radii)]
+    schema = ", ".join([f"`{origin_id}` {dict(origins.dtypes)[origin_id]}", *[f"{c} double" for c, _ in columns]])
+    found = rows.groupBy(*key).applyInPandas(walk, schema)
+    return origins.select(origin_id).join(found, origin_id, "left").select(
+        origin_id, *[F.coalesce(c, F.lit(0.0)).alias(out) for c, out in columns]
     )
-    asked = origins.select(origin_id, F.col("node").alias("start"), F.col("offset").alias("own"))
-    joined = asked.join(found, "start", "left")
-    return joined.groupBy(origin_id).agg(*[
-        F.sum(F.when(F.col("total") <= F.greatest(F.lit(float(r)) - F.col("own"), F.lit(0.0)), F.col(m)).otherwise(0.0)).alias(name(m, r))
-        for m in measures
-        for r in radii
-    ])
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

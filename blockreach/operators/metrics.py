@@ -10,8 +10,14 @@ from blockreach.functions.numeric import safe_divide
 from blockreach.operators.quantiles import tied_ranks
 
 
+def present(name: str) -> Column:
+    """A column whose nulls stop the job: metrics over fewer rows than given would pass unseen."""
+    return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"Null value in {name}."))).otherwise(F.col(name))
+
+
 def regression_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """RMSE, MAE and R² per group; R² is zero without variance."""
+    """RMSE, MAE and R² per group; R² is zero without variance, and nulls are an error."""
+    df = df.withColumns({c: present(c) for c in ("y_true", "y_pred")})
     e = F.col("y_true") - F.col("y_pred")
     sums = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop("y_true").alias("v"),
@@ -29,6 +35,7 @@ def full_metrics(df: DataFrame, by: Sequence[str], train_mean: Column) -> DataFr
     ``train_mean`` is the baseline prediction (a literal, or a column constant within a group).
     """
     keys = list(by)
+    df = df.withColumns({c: present(c) for c in ("y_true", "y_pred")})
     y, p = F.col("y_true"), F.col("y_pred")
     e, b = y - p, y - train_mean
     ranked = tied_ranks(tied_ranks(df, "y_true", keys, "ry"), "y_pred", keys, "rp")

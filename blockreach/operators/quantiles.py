@@ -15,30 +15,38 @@ from pyspark.sql import DataFrame, Window, functions as F
 from blockreach.session import cut_lineage
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join in which null keys meet null keys; the columns of ``left``, then the others of ``right``."""
+    named = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & left[c].eqNullSafe(named[f"__{c}"])
+    return left.join(named, same, how).drop(*[f"__{c}" for c in on])
+
+
 def value_positions(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """``(by..., value, ties, before)``: copies of each distinct value and the rows below it in its group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    ranged = counts.repartitionByRange(parts, *by, value).withColumn("range", F.spark_partition_id())
+    ranged = counts.repartitionByRange(*by, value).withColumn("range", F.spark_partition_id())
     ranged = cut_lineage(ranged)  # pins the sampled range borders
     sizes = ranged.groupBy(*by, "range").agg(F.sum("ties").alias("n"))
     earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(*by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("inside", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
-    return placed.join(offsets, [*by, "range"]).select(*by, value, "ties", (F.col("offset") + F.col("inside")).alias("before"))
+    return join_null_safe(placed, offsets, [*by, "range"], "inner").select(*by, value, "ties", (F.col("offset") + F.col("inside")).alias("before"))
 
 
 def tied_ranks(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
-    """Add the 1-based rank of ``value`` in its group, ties sharing their average rank."""
+    """Add the 1-based rank of ``value`` in its group, ties sharing their average rank; a null value has a null rank."""
     ranks = value_positions(df, value, by).select(*by, value, (F.col("before") + (F.col("ties") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*by, value])
+    return join_null_safe(df, ranks, [*by, value])
 
 
 def percentile_rank(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
-    """Add the average rank divided by the group size."""
+    """Add the average rank divided by the number of values in the group; null for a null value."""
     sizes = df.groupBy(*by).agg(F.count(value).alias("size_"))
-    ranked = tied_ranks(df, value, by, "rank_").join(sizes, list(by))
+    ranked = join_null_safe(tied_ranks(df, value, by, "rank_"), sizes, by)
     return ranked.withColumn(out, F.col("rank_") / F.col("size_")).drop("rank_", "size_")
 
 

@@ -43,7 +43,9 @@ def active_services(calendar: DataFrame | None, trips: DataFrame) -> DataFrame:
         return every
     runs = sum((F.coalesce(to_number(F.col(d)), F.lit(0.0)) for d in WEEKDAYS[1:]), F.coalesce(to_number(F.col(WEEKDAYS[0])), F.lit(0.0)))
     running = calendar.where(runs > 0).select("feed_idx", "service_id").where(F.col("service_id").isNotNull()).distinct()
-    return running.unionByName(every.join(calendar.select("feed_idx").distinct(), "feed_idx", "left_anti"))
+    # In a union of feeds, a weekday column that a feed lacks is null in all its rows.
+    usable = calendar.groupBy("feed_idx").agg(F.least(*[F.count(d) for d in WEEKDAYS]).alias("n")).where("n > 0")
+    return running.join(usable.select("feed_idx"), "feed_idx", "left_semi").unionByName(every.join(usable.select("feed_idx"), "feed_idx", "left_anti"))
 
 
 def departures(stop_times: DataFrame, trips: DataFrame, active: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from blockreach.functions.numeric import log1p_floor
 from blockreach.operators.dataset import swap_target
-from blockreach.operators.quantiles import percentile_rank
+from blockreach.operators.quantiles import join_null_safe, percentile_rank
 from blockreach.operators.target import GLOBAL_VIEWS, global_target
 
 # View names, city-context sources, and words marking skewed magnitudes.
@@ -52,7 +52,7 @@ def city_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def city_zscore(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Features centred and scaled within their city; zero where a city has no spread."""
-    joined = df.join(city_moments(df, features), "city")
+    joined = join_null_safe(df, city_moments(df, features), ["city"])
     scaled = {
         c: F.when(F.col(f"s__{c}") > 0, (F.col(c) - F.col(f"m__{c}")) / F.col(f"s__{c}")).otherwise(0.0) for c in features
     }
@@ -69,7 +69,7 @@ def city_context(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, lis
         "city",
         *[e for c in sources for e in (F.col(f"m__{c}").alias(f"city_mean__{c}"), F.coalesce(f"s__{c}", F.lit(0.0)).alias(f"city_std__{c}"))],
     )
-    return df.join(moments, "city").select(*df.columns, *names), [*features, *names]
+    return join_null_safe(df, moments, ["city"]).select(*df.columns, *names), [*features, *names]
 
 
 def feature_view(df: DataFrame, features: Sequence[str], view: str) -> tuple[DataFrame, list[str]]:

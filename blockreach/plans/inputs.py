@@ -328,10 +328,12 @@ def _(spark, folder):
 
 # --- engines ----------------------------------------------------------------------------------
 
-ENGINE_RADII = (1000.0,)
-_NEAR = "(abs(a.c - b.c) + abs(a.r - b.r)) * 100 <= 1000"
-ENGINE_SQL = ", ".join([f"sum(CASE WHEN {_NEAR} THEN b.p_size ELSE 0 END)::DOUBLE AS jobs_1km"] + [
-    f"count(*) FILTER (WHERE {_NEAR} AND k.category = '{c}')::DOUBLE AS amen_{c}_1km" for c in T.CATEGORIES])
+ENGINE_RADII = C.RADII_M
+_BLOCKS = "(abs(a.c - b.c) + abs(a.r - b.r)) * 100"
+ENGINE_SQL = ", ".join(e for r in ENGINE_RADII for e in [f"sum(jobs) FILTER (WHERE {_BLOCKS} <= {r})::DOUBLE AS jobs_{int(r / 1000)}km"] + [
+    f"coalesce(sum({c}) FILTER (WHERE {_BLOCKS} <= {r}), 0)::DOUBLE AS amen_{c}_{int(r / 1000)}km" for c in T.CATEGORIES])
+ENGINE_SQL = f"""WITH {C.GRID_SQL}, {C.AMENITIES_SQL}, b AS (SELECT c, r, p_size AS jobs, {', '.join(f"(k.category = '{c}')::INTEGER AS {c}" for c in T.CATEGORIES)} FROM grid LEFT JOIN categorised k USING (p_partkey))
+  SELECT a.block_id, {ENGINE_SQL} FROM grid a JOIN b ON abs(a.c - b.c) <= 50 AND abs(a.r - b.r) <= 50 GROUP BY a.block_id"""
 
 
 def engine_inputs(spark: SparkSession, folder: str):
@@ -340,14 +342,14 @@ def engine_inputs(spark: SparkSession, folder: str):
     return centres, centres.join(kinds, "p_partkey").select("x", "y", "category")
 
 
-@query("gr09_block_graph_engine", f"WITH {C.GRID_SQL}, {C.AMENITIES_SQL} SELECT a.block_id, {ENGINE_SQL} FROM grid a JOIN grid b ON abs(a.c - b.c) <= 10 AND abs(a.r - b.r) <= 10 LEFT JOIN categorised k ON k.p_partkey = b.p_partkey GROUP BY a.block_id")
+@query("gr09_block_graph_engine", ENGINE_SQL)
 def _(spark, folder):
     centres, amenities = engine_inputs(spark, folder)
     points = centres.select("block_id", "x", "y")
     return engine.block_graph(points, space.polygons(spark, folder), points, centres.select("block_id", "jobs"), amenities, space.adjacency(spark, folder), ENGINE_RADII)
 
 
-@query("gr09_road_engine", f"WITH {C.GRID_SQL}, {C.AMENITIES_SQL} SELECT a.block_id, {ENGINE_SQL} FROM grid a JOIN grid b ON abs(a.c - b.c) <= 10 AND abs(a.r - b.r) <= 10 LEFT JOIN categorised k ON k.p_partkey = b.p_partkey GROUP BY a.block_id")
+@query("gr09_road_engine", ENGINE_SQL)
 def _(spark, folder):
     centres, amenities = engine_inputs(spark, folder)
     return engine.road_network(centres.select("block_id", "x", "y"), space.raw_streets(spark, folder), centres, amenities, ENGINE_RADII)

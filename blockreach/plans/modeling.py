@@ -60,15 +60,16 @@ def _(spark, folder):
     return rounded(ds.multi_city(tables, {c: X for c in CITIES}).select("city", "node_id", "Y"))
 
 
-@query("jn08_checked_join", f"WITH {LABELLED} SELECT node_id, {q6('acs_population')} AS acs_population FROM labelled")
+@query("jn08_checked_join", f"WITH {LABELLED} SELECT node_id, CASE WHEN o_orderkey % 7 <> 0 THEN {q6('acs_population')} END AS acs_population FROM labelled")
 def _(spark, folder):
     df = labelled(spark, folder)
-    return rounded(ds.join_checked(df.select("node_id"), df.select("node_id", "acs_population"), ["node_id"]))
+    wide = df.where("o_orderkey % 7 <> 0").select("node_id", "acs_population")
+    return rounded(ds.join_checked(df.select("node_id"), wide, ["node_id"], one_to_one=True))
 
 
-@query("jn09_swap_target", f"WITH {SCORED} SELECT s.node_id, {q6('y_pred')} AS \"Y\", {q6('acs_population')} AS acs_population FROM scored s JOIN model m ON s.node_id = m.node_id")
+@query("jn09_swap_target", f"WITH {SCORED} SELECT s.node_id, {q6('y_pred')} AS \"Y\", {q6('acs_population')} AS acs_population FROM scored s JOIN model m ON s.node_id = m.node_id WHERE o_orderkey % 3 <> 0")
 def _(spark, folder):
-    df = labelled(spark, folder).select("node_id", "Y", "acs_population")
+    df = labelled(spark, folder).where("o_orderkey % 3 <> 0").select("node_id", "Y", "acs_population")
     return rounded(ds.swap_target(df, scored(spark, folder), "Y", "y_pred"))
 
 
@@ -273,20 +274,29 @@ def _(spark, folder):
 
 # --- views ------------------------------------------------------------------------------------
 
-RANK_SQL = "(rank() OVER (PARTITION BY city ORDER BY Y) + (count(*) OVER (PARTITION BY city, Y) - 1) / 2.0) / count(*) OVER (PARTITION BY city)"
+# Every eleventh target and every thirteenth city is missing.
+GAPS_SQL = f"{C.MODEL_SQL}, gaps AS (SELECT node_id, CASE WHEN o_orderkey % 13 <> 0 THEN city END AS city, CASE WHEN o_orderkey % 11 <> 0 THEN Y END AS Y FROM model)"
+RANK_SQL = "CASE WHEN Y IS NOT NULL THEN (rank() OVER (PARTITION BY city ORDER BY Y NULLS LAST) + (count(*) OVER (PARTITION BY city, Y) - 1) / 2.0) / count(Y) OVER (PARTITION BY city) END"
 
 
-@query("wn02_city_rank", f"WITH {C.MODEL_SQL} SELECT node_id, {q6(RANK_SQL)} AS y_rank FROM model")
+def gaps(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return C.model_table(spark, folder).select(
+        "node_id", F.when(key % 13 != 0, F.col("city")).alias("city"), F.when(key % 11 != 0, F.col("Y")).alias("Y"))
+
+
+@query("wn02_city_rank", f"WITH {GAPS_SQL} SELECT node_id, {q6(RANK_SQL)} AS y_rank FROM gaps")
 def _(spark, folder):
-    return rounded(qt.percentile_rank(C.model_table(spark, folder).select("node_id", "city", "Y"), "Y", ["city"], "y_rank").select("node_id", "y_rank"))
+    return rounded(qt.percentile_rank(gaps(spark, folder), "Y", ["city"], "y_rank").select("node_id", "y_rank"))
 
 
 Z_SQL = ", ".join(f"{q6(f'CASE WHEN stddev_samp({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w ELSE 0.0 END')} AS {c}" for c in X)
 
 
-@query("wn03_city_zscore", f"WITH {C.MODEL_SQL} SELECT node_id, {Z_SQL} FROM model WINDOW w AS (PARTITION BY city)")
+@query("wn03_city_zscore", f"WITH {C.MODEL_SQL}, partly AS (SELECT * REPLACE (CASE WHEN o_orderkey % 13 <> 0 THEN city END AS city) FROM model) SELECT node_id, {Z_SQL} FROM partly WINDOW w AS (PARTITION BY city)")
 def _(spark, folder):
-    return rounded(vw.city_zscore(C.model_table(spark, folder).select("node_id", "city", *X), X).drop("city"))
+    city = F.when(F.col("o_orderkey") % 13 != 0, F.col("city")).alias("city")
+    return rounded(vw.city_zscore(C.model_table(spark, folder).select("node_id", city, *X), X).drop("city"))
 
 
 SOURCES = [c for c in vw.CONTEXT_SOURCES if c in X]
@@ -314,9 +324,9 @@ def _(spark, folder):
     return rounded(df.select("node_id", *names))
 
 
-@query("ml13_city_rank_view", f"WITH {C.MODEL_SQL} SELECT node_id, {q6(RANK_SQL)} AS \"Y\" FROM model")
+@query("ml13_city_rank_view", f"WITH {GAPS_SQL} SELECT node_id, {q6(RANK_SQL)} AS \"Y\" FROM gaps")
 def _(spark, folder):
-    return rounded(vw.target_view(C.model_table(spark, folder).select("node_id", "city", "Y"), "city_rank").select("node_id", "Y"))
+    return rounded(vw.target_view(gaps(spark, folder), "city_rank").select("node_id", "Y"))
 
 
 @query("ml11_train_standardised", f"WITH {LABELLED}, s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in X)} FROM labelled WHERE split = 'train') SELECT node_id, {', '.join(f'{q6(f'({c} - m_{c}) / s_{c}')} AS {c}' for c in X)} FROM labelled, s")

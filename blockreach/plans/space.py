@@ -319,17 +319,17 @@ def _(spark, folder):
     return rounded(hung.select("node.mx", "node.my", F.col("offset").alias("offset_m"), "jobs"))
 
 
-GR7_RADII = (300.0, 500.0)
+GR7_RADII = (1000.0, 2000.0, 3000.0, 4000.0, 5000.0)
 
 
 @query("gr07_network_reach", f"""{GWITH} SELECT a.block_id, {', '.join(f"coalesce(sum(b.p_size) FILTER (WHERE (abs(a.c - b.c) + abs(a.r - b.r)) * 100 + 5 <= greatest({r} - 10, 0)), 0.0)::DOUBLE AS jobs_{int(r)}" for r in GR7_RADII)}
-  FROM grid a JOIN grid b ON abs(a.c - b.c) <= 5 AND abs(a.r - b.r) <= 5 GROUP BY a.block_id""")
+  FROM grid a JOIN grid b ON abs(a.c - b.c) <= 50 AND abs(a.r - b.r) <= 50 GROUP BY a.block_id""")
 def _(spark, folder):
     edges = roads(spark, folder)
     nodes = gr.node_points(edges)
     origins = gr.snap(lattice_points(spark, folder, 0.0, 10.0), "block_id", nodes).withColumnRenamed("dist", "offset")
     destinations = gr.attach(lattice_points(spark, folder, 3.0, 4.0), "block_id", nodes, ["jobs"])
-    return gr.reachability_sums(edges, origins, destinations, ["jobs"], GR7_RADII, lambda m, r: f"{m}_{int(r)}")
+    return gr.reachability_sums(edges, origins, destinations, nodes, ["jobs"], GR7_RADII, lambda m, r: f"{m}_{int(r)}")
 
 
 @query("gr02_block_graph", f"{WITH} SELECT src_block_id AS src, dst_block_id AS dst, 100.0 AS w FROM adjacency UNION ALL SELECT dst_block_id, src_block_id, 100.0 FROM adjacency")

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from blockreach.functions.naming import STATE_FIPS
 
-# How many job rows are looked at, and the share that must lie in the expected state.
-JOB_SAMPLE_ROWS = 1000
+# Fixed value: the share of job rows that must lie in the expected state.
 JOB_STATE_SHARE = 0.95
 
 
@@ -55,13 +54,11 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def in_state(rows: DataFrame, state: str) -> bool:
-    """Whether the leading rows of a job file lie in a state; unknown states accept, empty files do not."""
+    """Whether the rows of a job file lie in a state; unknown states accept, empty files do not."""
     fips = STATE_FIPS.get(state.strip().lower())
     if fips is None:
         return True
-    share = rows.select("w_geocode").limit(JOB_SAMPLE_ROWS).agg(
-        F.avg(F.col("w_geocode").startswith(fips).cast("double"))
-    ).first()[0]
+    share = rows.agg(F.avg(F.col("w_geocode").startswith(fips).cast("double"))).first()[0]
     return share is not None and share >= JOB_STATE_SHARE
 
 
@@ -84,7 +81,18 @@ def choose_job_source(
 def find_job_source(spark: SparkSession, root: str, city: str, state: str, prefer_state: bool = True) -> tuple[str, DataFrame]:
     """Choose among ``state/{state}``, ``city/{city}`` and ``{city}`` below ``root``."""
     folders = {"state": f"{root}/state/{state}", "city": f"{root}/city/{city}", "legacy_city": f"{root}/{city}"}
-    return choose_job_source({k: read_text_table(spark, f"{v}/wac_JT00_*.csv") for k, v in folders.items()}, state, prefer_state)
+    return choose_job_source({k: read_first_vintage(spark, f"{v}/wac_JT00_*.csv") for k, v in folders.items()}, state, prefer_state)
+
+
+def read_first_vintage(spark: SparkSession, pattern: str) -> DataFrame | None:
+    """The first file in order of name that matches; ``None`` where none does."""
+    try:
+        files = spark.read.format("binaryFile").load(pattern).agg(F.min("path")).first()  # names only, no content
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return read_text_table(spark, files[0]) if files[0] else None
 
 
 def tract_ids(rows: DataFrame) -> DataFrame:

@@ -116,36 +116,45 @@ def test_source_offset_shortens_the_radius(spark):
     edges = spark.createDataFrame([(0, 1, 100.0), (1, 0, 100.0), (1, 2, 100.0), (2, 1, 100.0)], "src int, dst int, w double")
     origins = spark.createDataFrame([("o", 0, 75.0), ("on", 2, 400.0)], "block_id string, node int, offset double")
     values = spark.createDataFrame([(2, 0.0, 5.0)], "node int, offset double, jobs double")
-    got = {r.block_id: r for r in gr.reachability_sums(edges, origins, values, ["jobs"], [150.0, 300.0], lambda m, r: f"r{int(r)}").collect()}
+    places = spark.createDataFrame([(0, 0.0, 0.0), (1, 100.0, 0.0), (2, 200.0, 0.0)], "node int, x double, y double")
+    got = {r.block_id: r for r in gr.reachability_sums(edges, origins, values, places, ["jobs"], [150.0, 300.0], lambda m, r: f"r{int(r)}").collect()}
     assert (got["o"].r150, got["o"].r300) == (0.0, 5.0)
     # An offset beyond every radius still reaches values at the node itself.
     assert (got["on"].r150, got["on"].r300) == (5.0, 5.0)
 
 
-def test_bounded_distances_match_dijkstra(spark):
+def test_reachability_sums_match_dijkstra(spark, monkeypatch):
     import heapq
 
+    monkeypatch.setattr(gr, "TILE_ORIGINS", 9)
     rng = random.Random(5)
+    xy = [(rng.uniform(0, 1500), rng.uniform(0, 900)) for _ in range(120)]
     links = {}
-    for _ in range(160):
-        a, b = rng.sample(range(60), 2)
-        links[(min(a, b), max(a, b))] = rng.uniform(20, 200)
+    for a in range(120):
+        for b in sorted(range(120), key=lambda k: math.dist(xy[a], xy[k]))[1:5]:
+            links[(min(a, b), max(a, b))] = math.dist(xy[a], xy[b]) * rng.uniform(1, 1.6)
     both = [(a, b, w) for (a, b), w in links.items()] + [(b, a, w) for (a, b), w in links.items()]
     edges = spark.createDataFrame(both, "src int, dst int, w double")
-    got = {(r.start, r.node): r.d for r in gr.bounded_distances(edges, spark.createDataFrame([(0,), (7,)], "node int"), 350.0).collect()}
-    want = {}
-    for s in (0, 7):
-        best, heap = {s: 0.0}, [(0.0, s)]
+    places = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(xy)], "node int, x double, y double")
+    values = [(rng.randrange(120), rng.uniform(0, 30), float(rng.randint(1, 9))) for _ in range(90)]
+    asked = [(f"o{i}", rng.randrange(120), rng.uniform(0, 40)) for i in range(70)]
+    radii = [150.0, 350.0]
+    out = gr.reachability_sums(
+        edges, spark.createDataFrame(asked, "block_id string, node int, offset double"),
+        spark.createDataFrame(values, "node int, offset double, jobs double"), places, ["jobs"], radii, lambda m, r: f"r{int(r)}")
+    got = {r.block_id: (r.r150, r.r350) for r in out.collect()}
+    assert len(got) == len(asked)
+    for name, start, own in asked:
+        best, heap = {start: 0.0}, [(0.0, start)]
         while heap:
             d, u = heapq.heappop(heap)
-            if d > best[u]:
-                continue
             for a, b, w in both:
-                if a == u and d + w <= 350.0 and d + w < best.get(b, 1e9):
+                if a == u and d + w < best.get(b, math.inf):
                     best[b] = d + w
                     heapq.heappush(heap, (d + w, b))
-        want.update({(s, n): d for n, d in best.items()})
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        want = tuple(sum(v for n, o, v in values if best.get(n, math.inf) + o <= max(r - own, 0)) for r in radii)
+        assert got[name] == pytest.approx(want)
+
 
 
 def test_components_of_a_long_path_and_a_star(spark):

@@ -150,3 +150,39 @@ def test_quantiles_match_linear_interpolation(spark):
     got = {r.k: r.q for r in qt.quantiles(df, "v", ["k"], [0.0, 0.1, 0.5, 0.75, 1.0]).collect()}
     assert got["g"] == pytest.approx(list(np.quantile([v for v in values if v is not None], [0, 0.1, 0.5, 0.75, 1])))
     assert got["h"] == [4.0] * 5
+
+
+def test_no_rows_are_lost(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "x", None), ("c", None, 2.0), ("d", None, 5.0)], "node_id string, city string, Y double")
+    ranked = {r["node_id"]: r["r"] for r in qt.percentile_rank(df, "Y", ["city"], "r").collect()}
+    assert ranked == {"a": 1.0, "b": None, "c": 0.5, "d": 1.0}
+    assert vw.city_zscore(df, ["Y"]).count() == 4
+    with pytest.raises(ValueError, match="lacks rows"):
+        ds.swap_target(df, df.where("node_id <> 'a'").withColumn("v", F.lit(1.0)), "Y", "v")
+    with pytest.raises(ValueError, match="duplicate"):
+        ds.swap_target(df, df.unionByName(df).withColumn("v", F.lit(1.0)), "Y", "v")
+    with pytest.raises(ValueError, match="left side"):
+        ds.join_checked(df.unionByName(df), df, ["node_id"], one_to_one=True)
+    scored = spark.createDataFrame([(1.0, None), (2.0, 1.0)], "y_true double, y_pred double")
+    with pytest.raises(Exception, match="Null value in y_pred"):
+        mt.regression_metrics(scored).collect()
+
+
+def test_first_vintage_and_share_over_all_rows(spark, tmp_path):
+    for year, jobs in ((2019, 5), (2020, 7)):
+        folder = tmp_path / "city" / "denver"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"wac_JT00_{year}.csv").write_text(f"w_geocode,C000\n080310001001000,{jobs}\n")
+    scope, rows = text.find_job_source(spark, str(tmp_path), "denver", "co")
+    assert scope == "city" and [r["jobs"] for r in text.jobs_by_block(rows).collect()] == [5.0]
+    mixed = spark.createDataFrame([("08" + str(i),) for i in range(2000)] + [("36" + str(i),) for i in range(400)], "w_geocode string")
+    assert not text.in_state(mixed, "co") and text.in_state(mixed.limit(0), "nowhere")
+
+
+def test_calendar_of_a_feed_without_a_weekday_column(spark):
+    trips = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (1, "d")], "feed_idx int, service_id string")
+    days = tr.WEEKDAYS
+    whole = spark.createDataFrame([(0, "a", *["1"] * 5), (0, "b", *["0"] * 5)], "feed_idx int, service_id string, " + ", ".join(f"{d} string" for d in days))
+    part = spark.createDataFrame([(1, "c", *["0"] * 4)], "feed_idx int, service_id string, " + ", ".join(f"{d} string" for d in days[:4]))
+    both = whole.unionByName(part, allowMissingColumns=True)
+    assert sorted(r["service_id"] for r in tr.active_services(both, trips).collect()) == ["a", "c", "d"]

@@ -56,9 +56,24 @@ def _size_class() -> Column:
     return F.ceil(F.log2(side)).cast("int")
 
 
-def _classes(df: DataFrame) -> list[int]:
-    """The size classes in use: a few dozen integers at most."""
-    return sorted(r[0] for r in df.select(_size_class().alias("s")).distinct().collect())
+# A level at which the right side files few shapes gets so many copies of them, and the left rows that
+# meet them there are dealt to the copies: a large shape over most rows is not left to one task.
+MOST_COPIES = 64
+COPIED_SHAPES = 4096
+
+
+def _classes(df: DataFrame) -> dict[int, int]:
+    """Shapes by size class: a few dozen numbers at most."""
+    return {r["s"]: r["count"] for r in df.groupBy(_size_class().alias("s")).count().collect()}
+
+
+def _copies(left_sizes: list[int], right_counts: dict[int, int]) -> Column:
+    """Copies of the right side's shapes at each level, as a column of ``level``."""
+    out = F.lit(1)
+    for level in {*left_sizes, *right_counts}:
+        held = sum(n for s, n in right_counts.items() if s == level or (s < level and level in left_sizes))
+        out = F.when(F.col("level") == level, F.lit(max(1, min(MOST_COPIES, COPIED_SHAPES // max(1, held))))).otherwise(out)
+    return out
 
 
 def _filed(df: DataFrame, levels: Column) -> DataFrame:
@@ -88,17 +103,18 @@ def _paired(
     left: DataFrame, right: DataFrame, how: str, extra: Column | None = None, left_sizes: list[int] | None = None
 ) -> DataFrame:
     plain_right = right.withColumnsRenamed({f"{b}_r": b for b in BOX})
-    left_sizes = _classes(left) if left_sizes is None else left_sizes
-    right_sizes = _classes(plain_right)
+    left_sizes = sorted(_classes(left)) if left_sizes is None else left_sizes
+    right_counts = _classes(plain_right)
+    copies = _copies(left_sizes, right_counts)
 
     def levels(others: list[int]) -> Column:
         known = F.array([F.lit(v) for v in others]) if others else F.array().cast("array<int>")
         return F.array_distinct(F.concat(F.array(_size_class()), F.filter(known, lambda v: v > F.col("own"))))
 
-    a = _filed(left.withColumn("own", _size_class()), levels(right_sizes))
-    # The tests on a pair are costly, so the work is spread over all cores also for small inputs.
-    a = a.repartition(left.sparkSession.sparkContext.defaultParallelism, "level", "cx", "cy")
+    a = _filed(left.withColumn("own", _size_class()), levels(sorted(right_counts)))
+    a = a.withColumn("copy", F.pmod(F.xxhash64("minx", "miny", "maxx", "maxy"), copies))
     b = _filed(plain_right.withColumn("own", _size_class()), levels(left_sizes))
+    b = b.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("copy", F.col("copy").cast("bigint"))
     b = b.withColumnsRenamed({**{n: f"{n}_r" for n in BOX}, "own": "own_r"})
     size = F.pow(F.lit(2.0), a["level"])
     meets = (
@@ -110,12 +126,13 @@ def _paired(
         & (a["cx"] == F.floor(F.greatest(F.col("minx"), F.col("minx_r")) / size))
         & (a["cy"] == F.floor(F.greatest(F.col("miny"), F.col("miny_r")) / size))
     )
-    same_cell = (a["level"] == b["level"]) & (a["cx"] == b["cx"]) & (a["cy"] == b["cy"])
+    same_cell = (a["level"] == b["level"]) & (a["cx"] == b["cx"]) & (a["cy"] == b["cy"]) & (a["copy"] == b["copy"])
     on = same_cell & meets & seen_once
     if extra is not None:
         on = on & extra
     joined = a.join(b, on, how)
-    drop = [a["level"], a["cx"], a["cy"], b["level"], b["cx"], b["cy"]] if how == "inner" else ["level", "cx", "cy"]
+    keys = ("level", "cx", "cy", "copy")
+    drop = [side[k] for side in (a, b) for k in keys] if how == "inner" else list(keys)
     return joined.drop(*drop).drop("own", "own_r")
 
 

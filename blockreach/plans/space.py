@@ -172,10 +172,10 @@ def _(spark, folder):
 
 
 @query("jn16_blocks_near_study_area", f"""WITH {C.GRID_SQL}, study AS (SELECT * FROM grid WHERE c < 3 AND r < 2)
-  SELECT DISTINCT g.block_id FROM grid g JOIN study s ON greatest(abs(g.x0 - s.x0) - 100, 0) ** 2 + greatest(abs(g.y0 - s.y0) - 100, 0) ** 2 <= 350 ** 2""")
+  SELECT DISTINCT g.block_id FROM grid g JOIN study s ON greatest(abs(g.x0 - s.x0) - 100, 0) ** 2 + greatest(abs(g.y0 - s.y0) - 100, 0) ** 2 <= 5000 ** 2""")
 def _(spark, folder):
     every = polygons(spark, folder)
-    return ov.blocks_near(every, every.where("c < 3 AND r < 2"), 350.0).select("block_id")
+    return ov.blocks_near(every, every.where("c < 3 AND r < 2"), 5000.0).select("block_id")
 
 
 @query("gr01_rook_adjacency", f"{WITH} SELECT * FROM adjacency")

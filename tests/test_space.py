@@ -175,3 +175,15 @@ def test_unknown_block_edges_are_ignored(spark):
 
 def test_built_feature_contract():
     assert len(be.built_feature_names()) == len(set(be.built_feature_names())) == 35
+
+
+def test_one_large_shape_is_dealt_to_many_keys(spark):
+
+    blocks = spark.range(40_000).select(F.col("id").cast("string").alias("block_id"), (F.col("id") % 200 * 100.0).alias("x"), (F.floor(F.col("id") / 200) * 100.0).alias("y"))
+    blocks = blocks.withColumns({"minx": F.col("x"), "maxx": F.col("x") + 100, "miny": F.col("y"), "maxy": F.col("y") + 100})
+    place = spark.createDataFrame([(0.0, 0.0, 19_900.0, 19_900.0)], "minx_r double, miny_r double, maxx_r double, maxy_r double")
+    left = ov._filed(blocks.withColumn("own", ov._size_class()), F.array(F.lit(15)))
+    keys = left.withColumn("copy", F.pmod(F.xxhash64("minx", "miny", "maxx", "maxy"), ov._copies([7], {15: 1}))).groupBy("level", "cx", "cy", "copy").count()
+    sizes = [r["count"] for r in keys.collect()]
+    assert len(sizes) >= 64 and max(sizes) < 1000
+    assert ov.box_pairs(blocks.select("block_id", *ov.BOX), place.withColumnsRenamed({f"{b}_r": b for b in ov.BOX})).select("block_id").distinct().count() == 40_000

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from blockreach.functions.naming import direction, family_code, family_name, family_title, feature_label
 from blockreach.functions.numeric import minmax, undo_log1p
 from blockreach.operators.metrics import top_per_group
-from blockreach.operators.quantiles import medians, tied_ranks
+from blockreach.operators.quantiles import medians, quantiles, tied_ranks
 from blockreach.session import cut_lineage
 
 # Weights of the selection priority.
@@ -63,6 +63,11 @@ def sample_per_city(df: DataFrame, per_city: int, max_rows: int = 0, seed: int =
 
 # --- estimates --------------------------------------------------------------------------------
 
+def draw_background(df: DataFrame, draws: int, seed: int = 42, key: str = "node_id") -> DataFrame:
+    """``draws`` rows in the order of a hash of their key, so from all cities and the same at every size."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key)), key).limit(draws)
+
+
 def shapley_values(model, rows: DataFrame, features: Sequence[str], background: DataFrame, draws: int = 8, seed: int = 42) -> DataFrame:
     """Sampled Shapley values: ``(node_id, feature, feature_value, shap, base_value)``.
 
@@ -72,7 +77,7 @@ def shapley_values(model, rows: DataFrame, features: Sequence[str], background:
     """
     rng = random.Random(seed)
     names = list(features)
-    picked = background.select(*names).limit(draws).collect()  # at most ``draws`` rows
+    picked = draw_background(background, draws, seed).select(*names).collect()  # at most ``draws`` rows
     plans = []
     for i in range(draws):
         order = names[:]
@@ -130,18 +135,14 @@ def occlusion_importance(model, table: DataFrame, features: Sequence[str], steps
 
 def partial_dependence(
     model, reference: DataFrame, features: Sequence[str], curve_features: Sequence[str], grid_size: int = 25,
-    logged: Sequence[str] = (), max_rows: int = 20_000,
+    logged: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean, 10 % and 90 % predictions along a grid of each feature, all other columns as they are.
-
-    The reference is a bounded sample (``max_rows``), as the curves are drawn over one.
-    """
+    """Mean, 10 % and 90 % predictions over all rows along a grid of each feature, other columns as they are."""
     names = list(features)
-    rows = reference.select(*names)
-    if max_rows > 0:
-        rows = rows.orderBy(F.xxhash64(*names), *names).limit(max_rows)
-    rows = cut_lineage(rows)
-    ends = rows.agg(*[F.percentile(f, F.array(F.lit(0.05), F.lit(0.95), F.lit(0.0), F.lit(1.0))).alias(f) for f in curve_features]).first()
+    rows = cut_lineage(reference.select(*names))
+    long = rows.unpivot([], list(curve_features), "feature", "value")
+    # Four numbers per curve.
+    ends = {r["feature"]: r["q"] for r in quantiles(long, "value", ["feature"], [0.05, 0.95, 0.0, 1.0]).collect()}
     curves = []
     for f in curve_features:
         low, high, least, most = (float(v) for v in ends[f])
@@ -152,10 +153,9 @@ def partial_dependence(
     spread = rows.withColumn("c", F.explode(F.array(*curves)))
     values = F.array([F.when(F.col("c.feature") == n, F.col("c.value")).otherwise(F.col(n)) for n in names])
     scored = model.transform(spread.withColumn("features", array_to_vector(values)))
-    out = scored.groupBy("c.feature", "c.value").agg(
-        F.avg("y_pred").alias("mean_prediction"),
-        F.percentile("y_pred", F.array(F.lit(0.1), F.lit(0.9))).alias("q"),
-    )
+    scored = cut_lineage(scored.select("c.feature", "c.value", "y_pred"))
+    means = scored.groupBy("feature", "value").agg(F.avg("y_pred").alias("mean_prediction"))
+    out = means.join(quantiles(scored, "y_pred", ["feature", "value"], [0.1, 0.9]), ["feature", "value"])
     raw = F.when(F.col("feature").isin(list(logged)), undo_log1p(F.col("value"))).otherwise(F.col("value"))
     return out.select(
         "feature", F.col("value").alias("feature_value_model_scale"), raw.alias("feature_value_raw_scale"),

@@ -127,11 +127,11 @@ def graph_features(df: DataFrame, edges: DataFrame, features: Sequence[str], kin
     return out, names
 
 
-def graph_run(df: DataFrame, edges: DataFrame, features: Sequence[str], target: str, kind: str = "mean"):
+def graph_run(df: DataFrame, edges: DataFrame, features: Sequence[str], target: str, kind: str = "mean", penalty: float = 1e-6):
     """Linear regression on two-step graph-smoothed features: the model, its predictions and feature list."""
     table, names = graph_features(df, edges, features, kind)
     table = cut_lineage(with_vector(table, names))
     model = LinearRegression(
-        featuresCol="features", labelCol=target, predictionCol="y_pred", regParam=1e-6, solver="normal"
+        featuresCol="features", labelCol=target, predictionCol="y_pred", regParam=penalty, solver="normal"
     ).fit(table.where("split = 'train'"))
     return model, table, names

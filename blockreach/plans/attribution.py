@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockreach.functions.naming import family_code
@@ -213,11 +214,33 @@ def fitted(spark: SparkSession, folder: str):
     return md.fit_boosting(md.with_vector(df.where("split = 'train'"), pm.X), "Y", pm.QUICK), df
 
 
-@query("ml14_shapley_values")
+LINEAR = {"pt_stop_count": 2.0, "be_compactness": 30.0, "acs_population": -0.01}
+LINEAR_SQL = " + ".join(f"{v} * {c}" for c, v in LINEAR.items())
+
+
+def linear_model(spark: SparkSession, folder: str):
+    """A regression fitted on a target that is linear in three features, and the model table."""
+    df = cut_lineage(pm.labelled(spark, folder).select("node_id", "city", "split", *LINEAR))
+    target = sum((v * F.col(c) for c, v in LINEAR.items()), F.lit(1.0))
+    train = md.with_vector(df.withColumn("T", target), list(LINEAR))
+    return LinearRegression(featuresCol="features", labelCol="T", predictionCol="y_pred", solver="normal").fit(train), df
+
+
+@query("ml14_shapley_values", f"""WITH {pm.LABELLED}, drawn AS (SELECT * FROM labelled WHERE split = 'train' ORDER BY md5('42:' || node_id), node_id LIMIT 8),
+  z AS (SELECT {', '.join(f'avg({c}) AS z_{c}' for c in LINEAR)}, avg({LINEAR_SQL} + 1) AS base_value FROM drawn)
+  """ + " UNION ALL ".join(f"SELECT node_id, '{c}' AS feature, {q6(c, 3)} AS feature_value, {q6(f'{v} * ({c} - z_{c})', 3)} AS shap, {q6('base_value', 3)} AS base_value FROM labelled, z WHERE split = 'test'" for c, v in LINEAR.items()))
 def _(spark, folder):
+    model, df = linear_model(spark, folder)
+    return rounded(ex.shapley_values(model, df.where("split = 'test'"), list(LINEAR), df.where("split = 'train'")), digits=3)
+
+
+@query("ml14_boosted_attributions", f"WITH {pm.LABELLED} SELECT node_id, true AS adds_up FROM labelled WHERE split = 'test'")
+def _(spark, folder):
+    """Attributions of every test row add up to its prediction."""
     model, df = fitted(spark, folder)
-    rows = ex.sample_by_share(df.where("split = 'test'"), 100)
-    return ex.shapley_values(model, rows, pm.X, df.where("split = 'train'").orderBy("node_id"))
+    rows = df.where("split = 'test'")
+    total = ex.shapley_values(model, rows, pm.X, df.where("split = 'train'")).groupBy("node_id").agg((F.sum("shap") + F.max("base_value")).alias("total"))
+    return model.transform(md.with_vector(rows, pm.X)).join(total, "node_id").select("node_id", (F.abs(F.col("total") - F.col("y_pred")) <= 1e-6).alias("adds_up"))
 
 
 @query("ml17_attribution_clusters")
@@ -226,13 +249,53 @@ def _(spark, folder):
     return table.groupBy("cluster_id", "cluster_label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y_pred").alias("mean_y_pred"), F.lit(quality).alias("silhouette"))
 
 
+GROUPS = 5
+
+
+@query("ml17_planted_clusters", f"WITH {pm.LABELLED} SELECT node_id, CAST(o_orderkey % {GROUPS} AS INTEGER) AS cluster_id, 'C' || (o_orderkey % {GROUPS}) AS cluster_label FROM labelled")
+def _(spark, folder):
+    """Well-parted groups come back, numbered by mean prediction."""
+    key = F.col("o_orderkey")
+    rows = pm.labelled(spark, folder).select("node_id", "city", "o_orderkey")
+    planted = F.array(*[F.struct(F.lit(f"f_{i}").alias("feature"), (F.when(key % GROUPS == i, 10.0).otherwise(0.0) + (key % 7) * 0.01).alias("shap")) for i in range(GROUPS)])
+    long = rows.withColumn("s", F.explode(planted)).select("node_id", "city", "s.*")
+    predicted = rows.select("node_id", (key % GROUPS * 10.0 + key % 3).alias("y_pred"))
+    return ex.cluster_attributions(long, predicted, starts=4)[0].select("node_id", "cluster_id", "cluster_label")
+
+
+@query("ml18_two_column_projection", f"""WITH {pm.LABELLED}, z AS (SELECT node_id, (pt_stop_count - avg(pt_stop_count) OVER ()) / stddev_samp(pt_stop_count) OVER () AS a,
+    (acs_population - avg(acs_population) OVER ()) / stddev_samp(acs_population) OVER () AS b, corr(pt_stop_count, acs_population) OVER () AS r FROM labelled)
+  SELECT node_id, {q6('abs(a + sign(r) * b) / sqrt(2)')} AS pc1, {q6('abs(a - sign(r) * b) / sqrt(2)')} AS pc2, {q6('(1 + abs(r)) / 2')} AS pc1_share FROM z""")
+def _(spark, folder):
+    """Two standardised columns have the diagonals as their components; signs are free."""
+    pair = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("shap")) for c in ("pt_stop_count", "acs_population")])
+    long = pm.labelled(spark, folder).select("node_id", F.explode(pair).alias("s")).select("node_id", "s.*")
+    points, shares = ex.project_two(long)
+    return rounded(points.select("node_id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"), F.lit(shares[0]).alias("pc1_share")))
+
+
 @query("ml18_projection")
 def _(spark, folder):
     points, shares = ex.project_two(shap(spark, folder))
     return points.withColumns({"pc1_share": F.lit(shares[0]), "pc2_share": F.lit(shares[1])})
 
 
-@query("ml19_partial_dependence")
+def curve_sql(f: str) -> str:
+    rest = " + ".join([f"{v} * {c}" for c, v in LINEAR.items() if c != f] + ["1"])
+    value = f"lo + (hi - lo) * i / 24.0"
+    pred = f"{LINEAR[f]} * ({value}) + rest"
+    return f"""SELECT '{f}' AS feature, {q6(value, 3)} AS feature_value, {q6(f'avg({pred})', 3)} AS mean_prediction, {q6(f'quantile_cont({pred}, 0.1)', 3)} AS prediction_p10, {q6(f'quantile_cont({pred}, 0.9)', 3)} AS prediction_p90
+  FROM (SELECT {rest} AS rest FROM labelled), (SELECT quantile_cont({f}, 0.05) AS lo, quantile_cont({f}, 0.95) AS hi FROM labelled), range(25) AS t(i) GROUP BY i, lo, hi"""
+
+
+@query("ml19_partial_dependence", f"WITH {pm.LABELLED} " + " UNION ALL ".join(curve_sql(f) for f in LINEAR))
+def _(spark, folder):
+    model, df = linear_model(spark, folder)
+    out = ex.partial_dependence(model, df, list(LINEAR), list(LINEAR))
+    return rounded(out.select("feature", F.col("feature_value_raw_scale").alias("feature_value"), "mean_prediction", "prediction_p10", "prediction_p90"), digits=3)
+
+
+@query("ml19_boosted_dependence")
 def _(spark, folder):
     model, df = fitted(spark, folder)
     return ex.partial_dependence(model, df, pm.X, ["pt_stop_count", "acs_population"], logged=["acs_population"])
@@ -269,8 +332,9 @@ def _(spark, folder):
     return priority.where(F.col("feature").isin(chosen)).select("feature", family_code(F.col("feature")).alias("family"), "priority")
 
 
-@query("ml24_occlusion_importance")
+@query("ml24_occlusion_importance", f"""WITH {pm.RING_SQL} SELECT node_id, 'pt_stop_count' AS feature, {q6('abs(pt_part)', 3)} AS importance FROM parts WHERE split = 'test'
+  UNION ALL SELECT node_id, 'acs_population', {q6('abs(acs_part)', 3)} FROM parts WHERE split = 'test'""")
 def _(spark, folder):
-    model, table, _ = md.graph_run(pm.labelled(spark, folder).select("node_id", "city", "split", "Y", *pm.X), pm.ring_edges(spark, folder), pm.X, "Y")
-    rows = ex.sample_per_city(table.where("split = 'test'").drop("features"), 10)
-    return ex.occlusion_importance(model, rows, pm.X)
+    model, table = pm.linear_graph_model(spark, folder)
+    out = ex.occlusion_importance(model, table.where("split = 'test'").drop("features"), pm.SMOOTHED)
+    return rounded(out.select("node_id", "feature", "importance"), digits=3)

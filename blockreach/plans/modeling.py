@@ -435,3 +435,82 @@ def ring_edges(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark, folder):
     model, table, _ = md.graph_run(labelled(spark, folder).select("node_id", "city", "split", "Y", *X), ring_edges(spark, folder), X, "Y")
     return mt.regression_metrics(model.transform(table).select("split", F.col("Y").alias("y_true"), "y_pred"), ["split"])
+
+
+# --- models with a closed form ----------------------------------------------------------------
+
+# One tree on two-valued features predicts group means, so SQL can tell its metrics and gains.
+FLAGS = ["third", "fifth"]
+FLAG_SQL = "CAST(o_orderkey % 3 = 0 AS DOUBLE) AS third, CAST(o_orderkey % 5 = 0 AND Y > 50 AS DOUBLE) AS fifth"
+STUMP = md.Boosting(trees=1, rate=1.0, depth=1, rows=1.0, columns=1.0)
+CROSS = md.Boosting(trees=1, rate=1.0, depth=2, rows=1.0, columns=1.0)
+
+
+def flagged(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return labelled(spark, folder).select(
+        "node_id", "city", "split", "Y", (key % 3 == 0).cast("double").alias("third"), ((key % 5 == 0) & (F.col("Y") > 50)).cast("double").alias("fifth"))
+
+
+FLAGGED = f"{LABELLED}, flagged AS (SELECT node_id, city, split, Y AS y_true, {FLAG_SQL} FROM labelled)"
+
+
+@query("ml06_group_means", f"""WITH {FLAGGED}, scored AS (SELECT *, avg(y_true) FILTER (WHERE split = 'train') OVER (PARTITION BY third) AS y_pred FROM flagged), base AS (SELECT avg(y_true) AS m FROM flagged WHERE split = 'train'),
+  every AS (SELECT split, '__all__' AS city, y_true, y_pred, m FROM scored, base), tests AS (SELECT split, city, y_true, y_pred, m FROM scored, base WHERE split = 'test')
+  SELECT split, city, rmse, mae, r2, baseline_rmse, n_rows, prediction_mean FROM ({metrics_sql('split, city', 'every')} UNION ALL {metrics_sql('split, city', 'tests')})""")
+def _(spark, folder):
+    out = md.pooled_run(flagged(spark, folder), ["third"], "Y", STUMP)[0]
+    return rounded(out.select("split", "city", "rmse", "mae", "r2", "baseline_rmse", "n_rows", "prediction_mean"))
+
+
+@query("ml07_stump_importances", f"""WITH {FLAGGED}, t AS (SELECT * FROM flagged WHERE split = 'train'),
+  gains AS (SELECT feature, (SELECT count(*) FROM t) * (SELECT var_pop(y_true) FROM t) - sum(n * v) AS gain FROM (
+    SELECT 'third' AS feature, third AS g, count(*) AS n, var_pop(y_true) AS v FROM t GROUP BY third UNION ALL SELECT 'fifth', fifth, count(*), var_pop(y_true) FROM t GROUP BY fifth) GROUP BY feature)
+  SELECT feature, CASE WHEN gain = max(gain) OVER () THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance_gain FROM gains""")
+def _(spark, folder):
+    return rounded(md.pooled_run(flagged(spark, folder), FLAGS, "Y", STUMP)[2])
+
+
+@query("ml08_held_out_group_means", f"""WITH {FLAGGED}, c AS (SELECT 'city_' || i AS heldout_city FROM range(10) t(i)),
+  folds AS (SELECT heldout_city, CASE WHEN city = heldout_city THEN 'test' ELSE 'train' END AS split, y_true, third FROM flagged, c),
+  scored AS (SELECT *, avg(y_true) FILTER (WHERE split = 'train') OVER (PARTITION BY heldout_city, third) AS y_pred, avg(y_true) FILTER (WHERE split = 'train') OVER (PARTITION BY heldout_city) AS m FROM folds)
+  SELECT heldout_city, split, rmse, r2, pearson_r, n_rows FROM {metrics_sql('heldout_city, split', 'scored')}""")
+def _(spark, folder):
+    out = md.leave_one_city_out_run(flagged(spark, folder), ["third"], "Y", CITIES, STUMP)[0]
+    return rounded(out.select("heldout_city", "split", "rmse", "r2", "pearson_r", "n_rows"))
+
+
+@query("ml09_tuned_group_means", f"""WITH {FLAGGED}, p AS (SELECT *, avg(y_true) FILTER (WHERE split = 'train') OVER (PARTITION BY fifth) AS stump, avg(y_true) FILTER (WHERE split = 'train') OVER (PARTITION BY third, fifth) AS crossed FROM flagged),
+  scored AS (SELECT 'stump' AS candidate, split, y_true, stump AS y_pred FROM p UNION ALL SELECT 'cross', split, y_true, crossed FROM p),
+  m AS (SELECT candidate, split, sqrt(avg((y_true - y_pred) ** 2)) AS rmse, 1 - avg((y_true - y_pred) ** 2) / var_pop(y_true) AS r2 FROM scored GROUP BY candidate, split),
+  k AS (SELECT candidate, row_number() OVER (ORDER BY r2 DESC, rmse, candidate) AS validation_rank FROM m WHERE split = 'val')
+  SELECT candidate, split, {q6('rmse')} AS rmse, {q6('r2')} AS r2, validation_rank FROM m JOIN k USING (candidate)""")
+def _(spark, folder):
+    out = md.tune(flagged(spark, folder), FLAGS, "Y", {"stump": STUMP, "cross": CROSS})
+    return rounded(out.select("candidate", "split", "rmse", "r2", "validation_rank"))
+
+
+# A target that is linear in two features and their smoothed copies, so the regression must return it.
+RING_SQL = f"""{LABELLED}, beside AS (SELECT a.node_id, b.* EXCLUDE (node_id) FROM labelled a JOIN labelled b ON abs(a.o_orderkey - b.o_orderkey) = 1),
+  hop1 AS (SELECT l.node_id, l.o_orderkey, coalesce(avg(b.pt_stop_count), 0) AS p1, coalesce(avg(b.acs_population), 0) AS a1 FROM labelled l LEFT JOIN beside b USING (node_id) GROUP BY ALL),
+  hop2 AS (SELECT x.node_id, coalesce(avg(y.p1), 0) AS p2, coalesce(avg(y.a1), 0) AS a2 FROM hop1 x LEFT JOIN hop1 y ON abs(x.o_orderkey - y.o_orderkey) = 1 GROUP BY x.node_id),
+  parts AS (SELECT node_id, city, split, 2 * pt_stop_count + 3 * p1 - p2 AS pt_part, 0.01137 * acs_population - 0.02071 * a1 + 0.03013 * a2 AS acs_part FROM labelled JOIN hop1 USING (node_id) JOIN hop2 USING (node_id))"""
+SMOOTHED = ["pt_stop_count", "acs_population"]
+
+
+def linear_graph_model(spark: SparkSession, folder: str):
+    """The graph regression fitted on that target, and its table."""
+    base = labelled(spark, folder).select("node_id", "city", "split", *SMOOTHED)
+    edges = ring_edges(spark, folder)
+    table, _ = md.graph_features(base, edges, SMOOTHED)
+    target = (2 * F.col("pt_stop_count") + 3 * F.col("pt_stop_count__hop1") - F.col("pt_stop_count__hop2")
+              + 0.01137 * F.col("acs_population") - 0.02071 * F.col("acs_population__hop1") + 0.03013 * F.col("acs_population__hop2") + 5.00013)
+    base = base.join(table.select("node_id", target.alias("T")), "node_id")
+    model, table, _ = md.graph_run(base, edges, SMOOTHED, "T", penalty=0.0)
+    return model, table
+
+
+@query("ml10_linear_graph_target", f"WITH {RING_SQL} SELECT node_id, {q6('pt_part + acs_part + 5.00013', 3)} AS y_pred FROM parts")
+def _(spark, folder):
+    model, table = linear_graph_model(spark, folder)
+    return rounded(model.transform(table).select("node_id", "y_pred"), digits=3)

@@ -94,12 +94,14 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         steps = steps.unionByName(pairs.where("copies > 1").select("doc_id", "twin", "n_chars", F.struct("doc_id", "twin").alias("next"), (F.col("copies") - 1).alias("times")))
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("twin") == F.col("t"))
         texts = texts.join(repeated, same, "left_anti").unionByName(texts.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "twin"]))
-    # Null ids take part in the joins through a key of their own.
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("k"), "twin"]
-    texts = texts.select(*key, "doc_id", "text")
+    # The key also stands for the id, null ids included, so both joins read the same shuffled texts.
+    def key_of(doc_id: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+    texts = texts.select(key_of(F.col("doc_id")).alias("k"), "twin", "text")
     steps = steps.select(
-        F.coalesce(F.col("next.doc_id").cast("string"), F.lit("null")).alias("k"), F.col("next.twin").alias("twin"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("own_k"), F.col("twin").alias("own_twin"), "n_chars", "times",
+        key_of(F.col("next.doc_id")).alias("k"), F.col("next.twin").alias("twin"),
+        key_of(F.col("doc_id")).alias("own_k"), F.col("twin").alias("own_twin"), "n_chars", "times",
     )
     replaced = F.floor(F.col("n_chars") / 3).cast("int")
     begun = steps.join(texts, ["k", "twin"]).select(
@@ -111,7 +113,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows = rows.drop("times")
     else:
         rows = rows.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return rows.select("doc_id", "text", "n_chars", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - replaced), F.col("head")).alias("edited"), "next_sketch")
+    doc_id = F.when(F.col("k") != "", F.expr("substring(k, 2)")).cast(dict(df.dtypes)[id_col]).alias("doc_id")
+    return rows.select(doc_id, "text", "n_chars", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - replaced), F.col("head")).alias("edited"), "next_sketch")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

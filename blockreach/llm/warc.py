@@ -140,7 +140,8 @@ def differing_records(a: DataFrame, b: DataFrame, *trees: list[DataFrame]) -> Da
         step = RANGE_BITS[i + 1] - RANGE_BITS[i] if i + 1 < len(RANGE_BITS) else 63
         above = suspects.withColumnRenamed("node", "parent")
         opened = [t[i].withColumn("parent", F.shiftright("node", step)).join(above, ["file", "parent"], "left_semi").drop("parent") for t in trees]
-        suspects = differing(*opened)
+        # Used twice on the next level; written, it is computed once.
+        suspects = written(differing(*opened), "merkle-suspects")
     ranges = suspects.withColumnRenamed("node", "range")
     sides = [
         r.withColumn("range", F.shiftright("start", RANGE_BITS[0])).join(ranges, ["file", "range"], "left_semi").select("file", "start", F.struct("end", "digest").alias(name))

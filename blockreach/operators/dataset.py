@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from blockreach.functions.naming import FAMILY_PREFIXES, family_name, node_id
 from blockreach.operators import checks
+from blockreach.session import cut_lineage
 
 # Commuting-behaviour columns left out by one of the feature sets.
 COMMUTE_COLUMNS = (
@@ -75,29 +76,35 @@ def assemble(
     checks.require_columns(splits, ["block_id", "split"], "split table")
     cell = ["spatial_cell"] if "spatial_cell" in splits.columns else []
     numeric = [*feature_columns, target_column]
-    out = (
-        features.select(F.col("block_id").cast("string"), *feature_columns)
-        .join(target.select(F.col("block_id").cast("string"), target_column), "block_id")
-        .join(splits.select(F.col("block_id").cast("string"), "split", *cell), "block_id")
-    )
+    sides = [
+        table.select(F.col("block_id").cast("string"), *columns, F.lit(True).alias(mark))
+        for table, columns, mark in ((features, feature_columns, "in_f"), (target, [target_column], "in_t"), (splits, ["split", *cell], "in_s"))
+    ]
+    out = sides[0].join(sides[1], "block_id", "full").join(sides[2], "block_id", "full")
+    complete = F.col("in_f") & F.col("in_t") & F.col("in_s")
     if validate:
-        for table, what in ((features, "Feature table"), (target, "Target table"), (splits, "Split table")):
-            checks.require_unique(table, "block_id", what=what)
+        # Written once; all rules and counts are one pass over it.
+        out = cut_lineage(out)
         rules = checks.model_rules(numeric)
-        stats = out.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count_if(F.coalesce(bad, F.lit(True))).alias(name) for name, bad in rules.items()],
-        ).first()  # one row
-        expected = features.count()
-        if stats["rows"] != expected:
-            raise ValueError(f"Model dataset has {stats['rows']} rows, expected {expected}.")
+        per_block = out.groupBy("block_id").agg(
+            F.count(F.lit(1)).alias("copies"), F.count_if("in_f").alias("rows"), F.count_if(complete).alias("whole"),
+            *[F.count_if(F.coalesce(complete, F.lit(False)) & F.coalesce(bad, F.lit(True))).alias(name) for name, bad in rules.items()],
+            *[F.count_if(complete & (F.col("split") == s)).alias(f"split:{s}") for s in checks.SPLITS],
+        )
+        sums = [n for n in per_block.columns if n not in {"block_id", "copies"}]
+        stats = per_block.agg(F.max("copies").alias("copies"), *[F.coalesce(F.sum(f"`{n}`"), F.lit(0)).alias(n) for n in sums]).first()  # one row
+        if (stats["copies"] or 0) > 1:
+            for table, what in ((features, "Feature table"), (target, "Target table"), (splits, "Split table")):
+                checks.require_unique(table, "block_id", what=what)
+        if stats["whole"] != stats["rows"]:
+            raise ValueError(f"Model dataset has {stats['whole']} rows, expected {stats['rows']}.")
         broken = [name for name in rules if stats[name]]
         if broken:
             raise ValueError(f"Model dataset breaks rules: {broken}")
-        absent = checks.missing_splits(out)
+        absent = [s for s in checks.SPLITS if not stats[f"split:{s}"]]
         if absent:
             raise ValueError(f"Model dataset has no rows for splits: {absent}")
-    return out.withColumns({c: F.col(c).try_cast("double") for c in numeric})
+    return out.where(complete).drop("in_f", "in_t", "in_s").withColumns({c: F.col(c).try_cast("double") for c in numeric})
 
 
 def multi_city(tables: dict[str, DataFrame], feature_columns: dict[str, Sequence[str]]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from blockreach.functions.numeric import log1p_floor, minmax, row_mean, weighted_sum
 from blockreach.functions.tags import CATEGORIES
 from blockreach.operators.proximity import radius_sums
+from blockreach.session import cut_lineage
 
 # Radii, distance weights and the mixes of the score.
 RADII_KM = (1, 2, 3, 4, 5)
@@ -60,6 +61,8 @@ def normalise(
     df: DataFrame, columns: dict[str, str], by: Sequence[str] = (), value=F.col
 ) -> DataFrame:
     """Min-max scale ``{source: output}`` over the table, or within each ``by`` group."""
+    if not by:
+        df = cut_lineage(df)  # read for its extremes, then again for the result
     ranges = column_ranges(df, list(columns), by, value)
     if by:
         joined = df.join(ranges, list(by))

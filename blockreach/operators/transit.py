@@ -16,6 +16,7 @@ from blockreach.functions import schedule as S
 from blockreach.functions.numeric import safe_divide, to_number
 from blockreach.operators.overlay import points_in_polygons
 from blockreach.operators.proximity import nearest, radius_matches, radius_sums
+from blockreach.operators.quantiles import medians
 from blockreach.session import cut_lineage
 
 # Catchment radii, the distance that stands for "no stop", and other defaults.
@@ -89,20 +90,23 @@ def reduce_schedule(
 ) -> Service:
     """From raw schedule tables (all text, with ``feed_idx``) to the reduced :class:`Service`."""
     events = departures(stop_times, trips, active_services(calendar, trips))
-    # Both reductions combine on the map side, so a stop with a third of all departures is no hot spot.
-    # The first one feeds nearly every feature and is written once instead of being recomputed.
-    per_route = cut_lineage(events.groupBy("stop_key", "route_key").agg(
-        F.count(F.lit(1)).alias("departures"), F.count_if("is_peak").alias("peak"),
-        F.min("departure_min").alias("first"), F.max("departure_min").alias("last"),
+    # One pass over the schedule, combined on the map side, so a stop with a third of all departures is
+    # no hot spot. It feeds every feature and is written once.
+    timed = cut_lineage(events.groupBy("stop_key", "route_key", "departure_min").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_peak").alias("peak"),
     ))
-    used = boarding_stops(stops, project).join(per_route.select("stop_key").distinct(), "stop_key", "left_semi")
+    per_route = timed.groupBy("stop_key", "route_key").agg(
+        F.sum("n").alias("departures"), F.sum("peak").alias("peak"),
+        F.min("departure_min").alias("first"), F.max("departure_min").alias("last"),
+    )
+    used = boarding_stops(stops, project).join(timed.select("stop_key").distinct(), "stop_key", "left_semi")
     kinds = routes.select(
         S.feed_key(F.col("feed_idx"), F.col("route_id")).alias("route_key"), "route_type",
         S.route_mode(F.col("route_type")).alias("mode"),
     )
     by_route = per_route.join(used.select("stop_key", "px", "py"), "stop_key").join(kinds, "route_key", "left")
     by_route = by_route.withColumn("mode", F.coalesce("mode", F.lit("other")))
-    by_time = events.select("stop_key", "departure_min").distinct().join(
+    by_time = timed.select("stop_key", "departure_min").distinct().join(
         used.select("feed_idx", "stop_key", "px", "py"), "stop_key"
     )
     places = used.groupBy("px", "py").agg(F.min_by(F.struct("x", "y"), "stop_key").alias("at")).select(
@@ -247,11 +251,10 @@ def catchments(origins: DataFrame, service: Service, radii: Sequence[int] = CATC
 
     calls = place_routes(service).join(service.places, ["px", "py"])
     met = radius_matches(origins, "block_id", calls, "route_key", radii)
+    # One row per block and route, and a route has one mode, so rows are counted.
     met = met.join(calls.select("route_key", "mode").distinct(), "route_key")
     routes = met.groupBy("block_id").agg(*[
-        F.count_distinct(F.when(
-            (F.col("lo") <= i) & (F.lit(True) if not g else F.col("mode") == g[:-1]), F.col("route_key")
-        )).cast("double").alias(f"pt_{g}routes_within_{r}m")
+        F.count_if((F.col("lo") <= i) & (F.lit(True) if not g else F.col("mode") == g[:-1])).cast("double").alias(f"pt_{g}routes_within_{r}m")
         for i, r in enumerate(sorted(radii)) for g in groups
     ])
     out = sums.join(routes, "block_id", "left").na.fill(0.0)
@@ -275,6 +278,8 @@ def connected_blocks(service: Service, stop_block: DataFrame) -> DataFrame:
     sets = cut_lineage(
         calls.groupBy("block_id")
         .agg(F.array_sort(F.collect_set("route_key")).alias("routes"))
+        # Numbered in order of id, so blocks of one region share their bitmaps.
+        .repartitionByRange("block_id")
         .withColumn("number", F.monotonically_increasing_id() + 1)
     )
     served = (
@@ -370,12 +375,13 @@ def empty_transit_features(block_ids: DataFrame) -> DataFrame:
 
 def transit_summary(features: DataFrame) -> DataFrame:
     """Coverage figures of a transit feature table as one row."""
+    median = medians(features.withColumn("all_", F.lit(0)), "pt_nearest_stop_dist_m", ["all_"], "m").first()["m"]  # one number
     rail = sum((F.col(f"pt_{m}_stops_within_800m") for m in ("metro", "train")), F.col("pt_tram_stops_within_800m"))
     return features.agg(
         F.sum("pt_stop_count").cast("bigint").alias("n_active_stops_inside_blocks"),
         F.count_if(F.col("pt_stop_count") > 0).alias("n_blocks_with_stops"),
         F.count_if(F.col("pt_weekday_departures") > 0).alias("n_blocks_with_departures"),
-        F.median("pt_nearest_stop_dist_m").alias("median_nearest_stop_dist_m"),
+        F.lit(median).alias("median_nearest_stop_dist_m"),
         F.count_if(F.col("pt_stops_within_800m") > 0).alias("n_blocks_with_stop_within_800m"),
         F.count_if(F.col("pt_bus_stops_within_800m") > 0).alias("n_blocks_with_bus_stop_within_800m"),
         F.count_if(rail > 0).alias("n_blocks_with_rail_mode_stop_within_800m"),

@@ -33,6 +33,7 @@ SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
 SHARD_SIZE = 4096
+SMALL_CELL = 48
 BUCKET_TARGET = 64  # expected fingerprints per bucket when the bits are even
 
 
@@ -83,7 +84,7 @@ class BKTree:
     def __init__(self, values: np.ndarray) -> None:
         self.values = values
         self.children: list[dict[int, int]] = [{} for _ in values]
-        plain = values.tolist()
+        self.plain = plain = values.tolist()
         for i in range(1, len(plain)):
             node = 0
             while True:
@@ -93,8 +94,18 @@ class BKTree:
                     break
                 node = below
 
+    def near(self, query: int, radius: int) -> Iterator[int]:
+        """Nodes within the radius of one query."""
+        todo = [0]
+        while todo:
+            node = todo.pop()
+            distance = (query ^ self.plain[node]).bit_count()
+            if distance <= radius:
+                yield node
+            todo += [child for edge, child in self.children[node].items() if -radius <= distance - edge <= radius]
+
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Per node that any query meets: the node and the positions of the queries within the radius."""
+        """Per node that any query meets: the node and the positions of the queries within the radius, all queries at once."""
         todo = [(0, np.arange(len(queries)))]
         while todo:
             node, asking = todo.pop()
@@ -111,6 +122,24 @@ class BKTree:
 def spanning_links(tree_values: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that connect all values and queries which near pairs connect; fewer than there are values."""
     tree = BKTree(tree_values)
+    if len(queries) <= SMALL_CELL:
+        # Few values: plain numbers are quicker than arrays of a handful.
+        links = [(q, tree.plain[node]) for q in queries.tolist() for node in tree.near(q, radius) if q != tree.plain[node]]
+        leader: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while v in leader:
+                v = leader[v]
+            return v
+
+        kept = []
+        for q, v in links:
+            x, y = root(q), root(v)
+            if x != y:
+                leader[y] = x
+                kept.append((q, v))
+        out = np.array(kept, np.uint64).reshape(-1, 2)
+        return out[:, 0], out[:, 1]
     values = np.r_[tree_values, queries]
     labels = np.arange(len(values))
     for node, near in tree.search(queries, radius):

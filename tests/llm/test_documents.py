@@ -104,7 +104,10 @@ def test_tree_search_finds_all_within_radius():
     queries = rng.integers(0, 2**63, 100, np.uint64) & np.uint64(0xFFF)
     found = {(n, int(q)) for n, near in simhash.BKTree(values).search(queries, 2) for q in near}
     # Equal values share the edge 0 and are reached along it.
-    assert found == {(n, q) for n in range(400) for q in range(100) if int(values[n] ^ queries[q]).bit_count() <= 2}
+    want = {(n, q) for n in range(400) for q in range(100) if int(values[n] ^ queries[q]).bit_count() <= 2}
+    assert found == want
+    tree = simhash.BKTree(values)
+    assert {(n, q) for q in range(100) for n in tree.near(int(queries[q]), 2)} == want
 
 
 def test_more_blocks_for_more_fingerprints():

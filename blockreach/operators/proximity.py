@@ -20,7 +20,7 @@ from blockreach.session import cut_lineage
 FANOUT = 4  # a cell is cut into FANOUT x FANOUT children
 LEAF_SIZE = 128  # positions a leaf may hold for sums within radii
 NEAREST_LEAF_SIZE = 16  # and for nearest points, where a leaf is always searched
-MAX_DEPTH = 10
+DEPTH_STEP = 10  # levels looked at in one job
 
 
 @dataclass(frozen=True)
@@ -103,12 +103,26 @@ def build_tree(
 
 
 def _depth_needed(places: DataFrame, keys: Sequence[str], top_size: float, leaf_size: int) -> int:
-    """Smallest depth at which every cell holds at most ``leaf_size`` positions (one job, few rows back)."""
-    levels = F.array([F.lit(k) for k in range(MAX_DEPTH + 1)])
+    """Smallest depth at which every cell holds at most ``leaf_size`` positions.
+
+    One job with few rows back per ``DEPTH_STEP`` levels; the first step is enough unless positions crowd
+    within a millionth of the top cell. Distinct numbers part in the end.
+    """
+    depth = 0
+    while True:
+        last = depth + DEPTH_STEP
+        depth = _crowded_below(places, keys, top_size, leaf_size, depth, last)
+        if depth <= last:
+            return depth
+
+
+def _crowded_below(places: DataFrame, keys: Sequence[str], top_size: float, leaf_size: int, first: int, last: int) -> int:
+    """Smallest depth from ``first`` on without a crowded cell; ``last + 1`` if even ``last`` has one."""
+    levels = F.array([F.lit(k) for k in range(first, last + 1)])
     finest = places.groupBy(
-        *keys, *[_cell(F.col(c), F.lit(MAX_DEPTH), top_size).alias(f"f{c}") for c in ("x", "y")]
+        *keys, *[_cell(F.col(c), F.lit(last), top_size).alias(f"f{c}") for c in ("x", "y")]
     ).count()
-    width = F.pow(F.lit(float(FANOUT)), F.lit(MAX_DEPTH) - F.col("level"))
+    width = F.pow(F.lit(float(FANOUT)), F.lit(last) - F.col("level"))
     fullest = (
         finest.withColumn("level", F.explode(levels))
         .groupBy(*keys, "level", F.floor(F.col("fx") / width), F.floor(F.col("fy") / width))
@@ -116,8 +130,8 @@ def _depth_needed(places: DataFrame, keys: Sequence[str], top_size: float, leaf_
         .groupBy("level")
         .agg(F.max("n").alias("n"))
     )
-    crowded = [r["level"] for r in fullest.collect() if r["n"] > leaf_size]  # at most MAX_DEPTH + 1 rows
-    return min(max(crowded, default=-1) + 1, MAX_DEPTH)
+    crowded = [r["level"] for r in fullest.collect() if r["n"] > leaf_size]  # at most DEPTH_STEP + 1 rows
+    return max(crowded, default=first - 1) + 1
 
 
 def _with_parent(nodes: DataFrame) -> DataFrame:
@@ -127,8 +141,8 @@ def _with_parent(nodes: DataFrame) -> DataFrame:
 
 
 def _spread(origins: DataFrame) -> DataFrame:
-    """Origins over all cores: each one fans out to many cells, so input file splits are too coarse."""
-    return origins.repartition(origins.sparkSession.sparkContext.defaultParallelism)
+    """Origins over all shuffle partitions: each one fans out to many cells, so input file splits are too coarse."""
+    return origins.repartition(int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _level(tree: PointTree, level: int, *columns: str) -> DataFrame:

@@ -187,3 +187,10 @@ def test_one_large_shape_is_dealt_to_many_keys(spark):
     sizes = [r["count"] for r in keys.collect()]
     assert len(sizes) >= 64 and max(sizes) < 1000
     assert ov.box_pairs(blocks.select("block_id", *ov.BOX), place.withColumnsRenamed({f"{b}_r": b for b in ov.BOX})).select("block_id").distinct().count() == 40_000
+
+
+def test_leaves_stay_bounded_on_crowded_points(spark):
+    points = spark.createDataFrame([(float(i) * 1e-6, 0.0, 1.0) for i in range(300)] + [(1e6, 1e6, 1.0)], "x double, y double, jobs double")
+    tree = build_tree(points, (), ["jobs"])
+    assert tree.depth > 10
+    assert tree.nodes.where("leaf").select(F.max(F.size("pts"))).first()[0] <= 128

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -42,10 +42,17 @@ def safe_divide(numerator: Column, denominator: Column, default: float | None =
     return ratio if default is None else F.coalesce(ratio, F.lit(default))
 
 
-def sum_present(columns: Iterable[str], names: Sequence[str]) -> Column:
-    """Row sum over those ``names`` that exist, null when all of them are null or none exists."""
+def _census_column(name: str) -> Column:
+    return census_number(F.col(name))
+
+
+def sum_present(columns: Iterable[str], names: Sequence[str], number: Callable[[str], Column] = _census_column) -> Column:
+    """Row sum over those ``names`` that exist, null when all of them are null or none exists.
+
+    ``number`` gives the value of a column: parsed from census text, unless it is a number already.
+    """
     existing = set(columns)
-    parts = [census_number(F.col(n)) for n in names if n in existing]
+    parts = [number(n) for n in names if n in existing]
     if not parts:
         return F.lit(None).cast("double")
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from blockreach.functions.naming import tract_of
-from blockreach.functions.numeric import census_number, census_share, safe_divide, sum_present
+from blockreach.functions.numeric import census_number, safe_divide, sum_present
 from blockreach.operators.quantiles import medians
 
 # Predictor names, and the source columns they come from.
@@ -61,17 +61,23 @@ def join_tract_tables(demographic: DataFrame, others: Sequence[DataFrame]) -> Da
 
 
 def tract_features(tables: DataFrame, disability_columns: Sequence[str]) -> DataFrame:
-    """The 24 predictors (nulls where a source is missing) from the joined tract tables."""
+    """The 24 predictors (nulls where a source is missing) from the joined tract tables.
+
+    Every source column is parsed once, in a projection of its own, which also keeps the generated code short.
+    """
+    sources = [*NUMBERS.values(), *SHARES.values(), *[s for pair in RATIOS.values() for s in pair], "B03002EST1", "Shape__Area", "B18101_001E"]
+    optional = [n for n in (*DEGREE_COLUMNS, *ADULT_COLUMNS, *disability_columns) if n in tables.columns]
+    parsed = tables.select("tract_geoid", *[census_number(F.col(n)).alias(n) for n in dict.fromkeys([*sources, *optional])])
     c = F.col
-    values = {name: census_number(c(src)) for name, src in NUMBERS.items()}
-    values |= {name: census_share(c(src)) for name, src in SHARES.items()}
-    values |= {name: safe_divide(census_number(c(a)), census_number(c(b))) for name, (a, b) in RATIOS.items()}
-    values["acs_population_density_per_km2"] = safe_divide(census_number(c("B03002EST1")), census_number(c("Shape__Area")) / 1e6)
+    values = {name: c(src) for name, src in NUMBERS.items()}
+    values |= {name: c(src) / 100.0 for name, src in SHARES.items()}
+    values |= {name: safe_divide(c(a), c(b)) for name, (a, b) in RATIOS.items()}
+    values["acs_population_density_per_km2"] = safe_divide(c("B03002EST1"), c("Shape__Area") / 1e6)
     values["acs_bachelor_or_higher_share"] = safe_divide(
-        sum_present(tables.columns, DEGREE_COLUMNS), sum_present(tables.columns, ADULT_COLUMNS)
+        sum_present(tables.columns, DEGREE_COLUMNS, F.col), sum_present(tables.columns, ADULT_COLUMNS, F.col)
     )
-    values["acs_disability_share"] = safe_divide(sum_present(tables.columns, disability_columns), census_number(c("B18101_001E")))
-    return tables.select("tract_geoid", *[values[n].alias(n) for n in ACS_FEATURES])
+    values["acs_disability_share"] = safe_divide(sum_present(tables.columns, disability_columns, F.col), c("B18101_001E"))
+    return parsed.select("tract_geoid", *[values[n].alias(n) for n in ACS_FEATURES])
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

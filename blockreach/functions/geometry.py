@@ -61,6 +61,32 @@ def polygon_area(rings: Column) -> Column:
     return 2.0 * areas[0] - F.aggregate(areas, F.lit(0.0), lambda s, a: s + a)
 
 
+def polygon_moments(rings: Column) -> Column:
+    """Struct ``area, mx, my``: the area and its first moments, so sums over polygons give the centroid of their union."""
+    def of_ring(ring: Column, part: Column) -> Column:
+        x0, y0 = ring[0].x, ring[0].y
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+        def add(s: Column, e: Column) -> Column:
+            twice = (e.x1 - x0) * (e.y2 - y0) - (e.x2 - x0) * (e.y1 - y0)
+            # A triangle from the first vertex: its centroid is the mean of its corners.
+            return F.struct(
+                (s.a + twice / 2).alias("a"), (s.x + twice / 2 * (x0 + e.x1 + e.x2) / 3).alias("x"), (s.y + twice / 2 * (y0 + e.y1 + e.y2) / 3).alias("y")
+            )
+
+        def oriented(s: Column) -> Column:
+            sign = F.when(s.a < 0, -1.0).otherwise(1.0) * F.when(part == 0, 1.0).otherwise(-1.0)
+            return F.struct((s.a * sign).alias("a"), (s.x * sign).alias("x"), (s.y * sign).alias("y"))
+
+        return F.aggregate(line_edges(ring), zero, add, oriented)
+
+    def total(parts: Column) -> Column:
+        summed = lambda name: F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[name])
+        return F.struct(summed("a").alias("area"), summed("x").alias("mx"), summed("y").alias("my"))
+
+    return _bind(F.transform(rings, of_ring), total)
+
+
 def polygon_perimeter(edges: Column) -> Column:
     """Length of all rings."""
     return F.aggregate(edges, F.lit(0.0), lambda s, e: s + F.hypot(e.x2 - e.x1, e.y2 - e.y1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from blockreach.functions import geometry as G, projection as P
@@ -20,6 +22,13 @@ def block_points(polygons: DataFrame, epsg: int | None = None) -> DataFrame:
     )
 
 
+def table_utm_zone(polygons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., epsg``: the UTM zone of the area-weighted centroid of all polygons (rings in degrees)."""
+    moments = polygons.select(*by, once(G.polygon_moments(F.col("rings"))).alias("m"))
+    centre = moments.groupBy(*by).agg(F.sum("m.area").alias("a"), F.sum("m.mx").alias("x"), F.sum("m.my").alias("y"))
+    return centre.select(*by, P.utm_epsg(F.col("x") / F.col("a"), F.col("y") / F.col("a")).alias("epsg"))
+
+
 def isolated_blocks(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """Blocks without any neighbour."""
     linked = both_directions(edges).select(F.col("src").alias("block_id")).distinct()

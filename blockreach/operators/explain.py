@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from blockreach.functions.naming import direction, family_code, family_name, family_title, feature_label
 from blockreach.functions.numeric import minmax, undo_log1p
 from blockreach.operators.metrics import top_per_group
+from blockreach.operators.models import side_by_side
 from blockreach.operators.quantiles import medians, quantiles, tied_ranks
 from blockreach.session import cut_lineage
 
@@ -326,11 +327,8 @@ def relabel_by_prediction(clusters: DataFrame, predictions: DataFrame) -> DataFr
 def cluster_attributions(shap: DataFrame, predictions: DataFrame, k: int = 5, starts: int = 50, seed: int = 42) -> tuple[DataFrame, float]:
     """k-means on standardised attribution vectors, best of several starts; assignments and silhouette."""
     vectors = cut_lineage(standard_vectors(attribution_vectors(shap)).select("node_id", "features"))
-    best = None
-    for i in range(starts):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw_cluster_id").fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    models = side_by_side(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw_cluster_id").fit(vectors), range(starts))
+    best = min(models, key=lambda m: m.summary.trainingCost)
     labelled = best.transform(vectors)
     quality = ClusteringEvaluator(featuresCol="features", predictionCol="raw_cluster_id").evaluate(labelled)
     return relabel_by_prediction(labelled.select("node_id", "raw_cluster_id"), predictions), quality

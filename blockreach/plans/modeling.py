@@ -238,26 +238,6 @@ def _(spark, folder):
     return rounded(mt.summarise(rounded(metric_table(spark, folder)), ["split"], ["rmse", "r2"]), digits=5)
 
 
-@query("ag40_model_comparison", f"""{METRIC_SQL} SELECT 'pooled' AS experiment, count(*) AS n_units, {q6('avg(rmse)', 5)} AS rmse, {q6('avg(r2)', 5)} AS r2, {q6('coalesce(stddev_samp(r2), 0.0)', 5)} AS r2_std FROM both_metrics WHERE city = '__all__' AND split = 'test'
-  UNION ALL SELECT 'per_city', count(*), {q6('avg(rmse)', 5)}, {q6('avg(r2)', 5)}, {q6('stddev_samp(r2)', 5)} FROM both_metrics WHERE city <> '__all__'""")
-def _(spark, folder):
-    table = cut_lineage(rounded(metric_table(spark, folder)))
-    out = None
-    for name, rows in (("pooled", text.pooled_results(table)), ("per_city", text.pooled_results(table, cities=True))):
-        part = rows.agg(F.count(F.lit(1)).alias("n_units"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), F.coalesce(F.stddev_samp("r2"), F.lit(0.0)).alias("r2_std"))
-        part = part.select(F.lit(name).alias("experiment"), "*")
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, digits=5)
-
-
-@query("src17_result_tables", f"{METRIC_SQL} SELECT 'XGBoost' AS model, city, r2, rmse, mae FROM both_metrics WHERE split = 'test' AND city <> '__all__' UNION ALL SELECT 'GCN', city, r2, rmse, mae FROM both_metrics WHERE split = 'test' AND city = '__all__'")
-def _(spark, folder):
-    table = cut_lineage(rounded(metric_table(spark, folder)))
-    names = ["model", "city", "r2", "rmse", "mae"]
-    per_city = text.pooled_results(table, "XGBoost", cities=True).select(*names)
-    return per_city.unionByName(text.pooled_results(table, "GCN").select(*names))
-
-
 @query("ag43_metric_tables", f"{METRIC_SQL} SELECT city, split, r2, rmse FROM both_metrics")
 def _(spark, folder):
     path = sinks.scratch_folder(spark)
@@ -514,3 +494,39 @@ def linear_graph_model(spark: SparkSession, folder: str):
 def _(spark, folder):
     model, table = linear_graph_model(spark, folder)
     return rounded(model.transform(table).select("node_id", "y_pred"), digits=3)
+
+
+# --- comparison of runs -----------------------------------------------------------------------
+
+POOLED_SQL = f"""pooled_scored AS (SELECT *, avg(y_true) FILTER (WHERE split = 'train') OVER (PARTITION BY third) AS stump, avg(y_true) FILTER (WHERE split = 'train') OVER (PARTITION BY third, fifth) AS crossed FROM flagged)"""
+FOLDS_SQL = """folds AS (SELECT heldout_city, CASE WHEN city = heldout_city THEN 'test' ELSE 'train' END AS split, y_true, third FROM flagged, (SELECT 'city_' || i AS heldout_city FROM range(10) t(i)) c),
+  fold_scored AS (SELECT *, avg(y_true) FILTER (WHERE split = 'train') OVER (PARTITION BY heldout_city, third) AS y_pred FROM folds)"""
+ERRORS_SQL = "sqrt(avg((y_true - {p}) ** 2)) AS rmse, 1 - avg((y_true - {p}) ** 2) / var_pop(y_true) AS r2"
+
+
+@query("ag40_model_comparison", f"""WITH {FLAGGED}, {POOLED_SQL}, {FOLDS_SQL},
+  units AS (SELECT 'pooled' AS experiment, {ERRORS_SQL.format(p='stump')} FROM pooled_scored WHERE split = 'test' UNION ALL SELECT 'leave_one_city_out', {ERRORS_SQL.format(p='y_pred')} FROM fold_scored WHERE split = 'test' GROUP BY heldout_city)
+  SELECT experiment, count(*) AS n_units, {q6('avg(rmse)')} AS rmse, {q6('avg(r2)')} AS r2, {q6('coalesce(stddev_samp(r2), 0.0)')} AS r2_std FROM units GROUP BY experiment""")
+def _(spark, folder):
+    """A pooled run against runs that hold out each city."""
+    df = flagged(spark, folder)
+    pooled = text.pooled_results(md.pooled_run(df, ["third"], "Y", STUMP)[0]).select(F.lit("pooled").alias("experiment"), "rmse", "r2")
+    held = md.leave_one_city_out_run(df, ["third"], "Y", CITIES, STUMP)[0].where("split = 'test'").select(F.lit("leave_one_city_out").alias("experiment"), "rmse", "r2")
+    return rounded(pooled.unionByName(held).groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("n_units"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), F.coalesce(F.stddev_samp("r2"), F.lit(0.0)).alias("r2_std")))
+
+
+@query("src17_result_tables", f"""WITH {FLAGGED}, {POOLED_SQL},
+  units AS (SELECT 'depth_1' AS model, city, {ERRORS_SQL.format(p='stump')} FROM pooled_scored WHERE split = 'test' GROUP BY city UNION ALL SELECT 'depth_2', city, {ERRORS_SQL.format(p='crossed')} FROM pooled_scored WHERE split = 'test' GROUP BY city)
+  SELECT model, city, {q6('rmse')} AS rmse, {q6('r2')} AS r2 FROM units""")
+def _(spark, folder):
+    """Result tables of two different runs, stored as CSV and read back side by side."""
+    df = flagged(spark, folder)
+    out = None
+    for name, features, settings in (("depth_1", ["third"], STUMP), ("depth_2", FLAGS, CROSS)):
+        path = sinks.scratch_folder(spark)
+        sinks.write_table(rounded(md.pooled_run(df, features, "Y", settings)[0]).select("city", "split", "rmse", "r2"), path, by=None)
+        stored = spark.read.csv(f"{path}/csv", header=True, schema="city string, split string, rmse double, r2 double")
+        part = text.pooled_results(stored, name, cities=True).select("model", "city", "rmse", "r2")
+        out = part if out is None else out.unionByName(part)
+    return out

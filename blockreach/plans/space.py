@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockreach.functions import geometry as G, projection as P, tags as T
-from blockreach.operators import built_env as be, graph as gr, overlay as ov, target as tg
+from blockreach.operators import backbone as bb, built_env as be, cities as ct, graph as gr, overlay as ov, target as tg
 from blockreach.plans import carriers as C
 from blockreach.plans.registry import q6, query, r6, rounded
 
@@ -420,11 +420,17 @@ def lonlat(spark: SparkSession, folder: str) -> DataFrame:
 LONLAT_SQL = f"{C.BLOCKS_SQL}, lonlat AS (SELECT block_id, city, -180.0::DOUBLE + (c_custkey * 37 % 3599) / 10.0::DOUBLE + 0.05::DOUBLE AS lon, -79.95::DOUBLE + (c_custkey * 53 % 1599) / 10.0::DOUBLE AS lat FROM blocks)"
 
 
-@query("fn26_utm_zone_of_table", f"""WITH {LONLAT_SQL} SELECT city, CAST(CASE WHEN avg(lat) >= 0 THEN 32600 ELSE 32700 END + floor((avg(lon) + 180) / 6) + 1 AS INTEGER) AS epsg FROM lonlat GROUP BY city""")
+# Rectangles of unequal size, each with a small hole in its middle, so areas weigh and centroids stay.
+@query("fn26_utm_zone_of_table", f"""WITH {LONLAT_SQL}, shapes AS (SELECT city, lon, lat, CAST(block_id AS BIGINT) % 7 + 1 AS s FROM lonlat),
+  centre AS (SELECT city, sum(lon * (s * s * 0.0008 - 0.000001)) / sum(s * s * 0.0008 - 0.000001) AS lon, sum(lat * (s * s * 0.0008 - 0.000001)) / sum(s * s * 0.0008 - 0.000001) AS lat FROM shapes GROUP BY city)
+  SELECT city, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180) / 6) + 1 AS INTEGER) AS epsg FROM centre""")
 def _(spark, folder):
-    """Zone of each city from the mean of its (equal-area) block positions."""
-    centre = lonlat(spark, folder).groupBy("city").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
-    return centre.select("city", P.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"))
+    """Zone of each city from the area-weighted centroid of its polygons."""
+    s = F.col("block_id").cast("bigint") % 7 + 1
+    lon, lat = F.col("lon"), F.col("lat")
+    shell = C.ring((lon - s * 0.02, lat - s * 0.01), (lon + s * 0.02, lat - s * 0.01), (lon + s * 0.02, lat + s * 0.01), (lon - s * 0.02, lat + s * 0.01))
+    hole = C.ring((lon - 0.0005, lat - 0.0005), (lon - 0.0005, lat + 0.0005), (lon + 0.0005, lat + 0.0005), (lon + 0.0005, lat - 0.0005))
+    return bb.table_utm_zone(lonlat(spark, folder).withColumn("rings", F.array(shell, hole)), ["city"])
 
 
 @query("sp05_utm_round_trip", f"WITH {LONLAT_SQL} SELECT block_id, {q6('lon')} AS lon, {q6('lat')} AS lat FROM lonlat")
@@ -467,3 +473,43 @@ def _(spark, folder):
     plots = be.land_overlaps(land(spark, folder), p).groupBy("block_id").agg(F.count(F.lit(1)).alias("n_plots"), F.sum("area_m2").alias("area_m2"))
     lines = ov.clip_lines(streets(spark, folder).drop("p_partkey"), p.select(*be.BLOCK)).groupBy("block_id").agg(F.sum("length_m").alias("length_m"))
     return rounded(plots.join(lines, "block_id"))
+
+
+# --- two cities on the same coordinates -------------------------------------------------------
+
+TWIN_SQL = "(VALUES ('a'), ('b')) AS twin(city)"
+
+
+def twins(df: DataFrame, **moved) -> DataFrame:
+    """Every row once for each of two cities in the same place, set apart, with the city in the block id."""
+    both = df.withColumn("city", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    out = ct.set_apart(both, ct.city_numbers(both), **moved)
+    return out.withColumn("block_id", F.concat_ws(":", "city", "block_id")) if "block_id" in out.columns else out
+
+
+def twin_adjacency(spark: SparkSession, folder: str) -> DataFrame:
+    return gr.rook_adjacency(twins(C.grid_blocks(spark, folder), polygons=["rings"]))
+
+
+@query("gr01_two_cities", f"{WITH} SELECT city || ':' || src_block_id AS src_block_id, city || ':' || dst_block_id AS dst_block_id FROM adjacency, {TWIN_SQL}")
+def _(spark, folder):
+    return twin_adjacency(spark, folder)
+
+
+@query("built_features_two_cities", f"SELECT * EXCLUDE (city) REPLACE (city || ':' || block_id AS block_id) FROM ({BUILT_SQL}), {TWIN_SQL}")
+def _(spark, folder):
+    blocks = ov.with_edges(twins(C.grid_blocks(spark, folder), polygons=["rings"]))
+    lines = twins(streets(spark, folder), lines=["line"])
+    plots = ov.with_edges(twins(land(spark, folder).drop("edges", *ov.BOX), polygons=["rings"]))
+    return rounded(be.build_built_features(blocks, lines, plots, twin_adjacency(spark, folder)))
+
+
+@query("gr07_two_cities", f"""{GWITH}, one AS (SELECT a.block_id, {', '.join(f"coalesce(sum(b.p_size) FILTER (WHERE (abs(a.c - b.c) + abs(a.r - b.r)) * 100 + 5 <= greatest({r} - 10, 0)), 0.0)::DOUBLE AS jobs_{int(r)}" for r in GR7_RADII[:2])}
+  FROM grid a JOIN grid b ON abs(a.c - b.c) <= 20 AND abs(a.r - b.r) <= 20 GROUP BY a.block_id)
+  SELECT one.* EXCLUDE (block_id), city || ':' || block_id AS block_id FROM one, {TWIN_SQL}""")
+def _(spark, folder):
+    edges = gr.road_graph(twins(raw_streets(spark, folder), lines=["line"]))
+    nodes = gr.node_points(edges)
+    origins = gr.snap(twins(lattice_points(spark, folder, 0.0, 10.0), x=["x"]), "block_id", nodes).withColumnRenamed("dist", "offset")
+    destinations = gr.attach(twins(lattice_points(spark, folder, 3.0, 4.0), x=["x"]), "block_id", nodes, ["jobs"])
+    return gr.reachability_sums(edges, origins, destinations, nodes, ["jobs"], GR7_RADII[:2], lambda m, r: f"{m}_{int(r)}")

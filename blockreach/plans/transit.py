@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockreach.functions import geometry as G, schedule as S
-from blockreach.operators import transit as tr
+from blockreach.operators import cities as ct, transit as tr
 from blockreach.operators.overlay import with_edges
-from blockreach.plans import carriers as C
+from blockreach.plans import carriers as C, space
 from blockreach.plans.registry import q6, query, r6, rounded
 
 
@@ -280,6 +280,18 @@ def _(spark, folder):
     return rounded(transit_features(spark, folder))
 
 
+@query("transit_features_two_cities", f"SELECT * EXCLUDE (city) REPLACE (city || ':' || block_id AS block_id) FROM ({FEATURES_SQL}), {space.TWIN_SQL}")
+def _(spark, folder):
+    """Two cities with the same blocks and schedules in one job; each sees its own stops only."""
+    tables = C.schedule_tables(spark, folder)
+    feeds = 1 + tables["stops"].agg(F.max("feed_idx")).first()[0]
+    both = {n: t.withColumn("city_number", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("feed_idx", F.col("feed_idx") + F.col("city_number") * feeds) for n, t in tables.items()}
+    both["stops"] = both["stops"].withColumn("stop_lon", (F.col("stop_lon").try_cast("double") + F.col("city_number") * ct.CITY_SPACING_M).cast("string"))
+    service = tr.reduce_schedule(**{n: t.drop("city_number") for n, t in both.items()})
+    polygons = with_edges(space.twins(C.grid_blocks(spark, folder), polygons=["rings"])).withColumn("area_km2", G.polygon_area(F.col("rings")) / 1e6)
+    return rounded(tr.build_transit_features(polygons, space.twins(block_centres(spark, folder), x=["x"]), service))
+
+
 @query("ag37_transit_coverage", f"""WITH f AS ({FEATURES_SQL}) SELECT CAST(sum(pt_stop_count) AS BIGINT) AS n_active_stops_inside_blocks,
   count_if(pt_stop_count > 0) AS n_blocks_with_stops, count_if(pt_weekday_departures > 0) AS n_blocks_with_departures,
   {q6('median(pt_nearest_stop_dist_m)')} AS median_nearest_stop_dist_m, count_if(pt_stops_within_800m > 0) AS n_blocks_with_stop_within_800m,

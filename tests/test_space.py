@@ -194,3 +194,15 @@ def test_leaves_stay_bounded_on_crowded_points(spark):
     tree = build_tree(points, (), ["jobs"])
     assert tree.depth > 10
     assert tree.nodes.where("leaf").select(F.max(F.size("pts"))).first()[0] <= 128
+
+
+def test_table_zone_weighs_by_area(spark):
+    from blockreach.operators.backbone import table_utm_zone
+
+    def triangle(x, y, side):
+        return [[(x, y), (x + side, y), (x, y + side), (x, y)]]
+
+    rows = [("a", triangle(5.0, 10.0, 0.5)), ("a", triangle(6.9, 10.0, 2.0)), ("b", triangle(5.0, -10.0, 0.5))]
+    df = spark.createDataFrame(rows, "city string, rings array<array<struct<x:double,y:double>>>")
+    # The large triangle's centroid (7.57) outweighs the small one's (5.17): zone 32.
+    assert {r["city"]: r["epsg"] for r in table_utm_zone(df, ["city"]).collect()} == {"a": 32632, "b": 32731}

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -80,17 +81,13 @@ def tables_of(items: Iterator[tuple[str, str | None]], window: int) -> list[Patt
     return [Patterns(length, patterns) for length, patterns in found.items()]
 
 
+@dataclass(frozen=True)
 class ItemBlocks:
-    """Benchmark items in blocks of bounded size in the shared folder."""
+    """Benchmark items in ``count`` blocks of bounded size in the shared folder."""
 
-    def __init__(self, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> None:
-        spark, self.window = items.sparkSession, window
-        rows = items.select(F.coalesce(items[id_col].cast("string"), F.lit("")).alias("item"), items[text_col].alias("text")).where(F.length("text") > 0)
-        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.count = -(-total // block_bytes)
-        self.folder = shared_folder(spark, "benchmark")
-        # A few partitions per block at most, one file each.
-        rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, self.count)))).repartition("block").write.partitionBy("block").parquet(self.folder)
+    folder: str
+    count: int
+    window: int
 
     def tables(self, number: int) -> list[Patterns]:
         """Search tables of one block, read on the executor."""
@@ -102,6 +99,16 @@ class ItemBlocks:
         return tables_of(zip(read.column("item").to_pylist(), read.column("text").to_pylist()), self.window)
 
 
+def store_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> ItemBlocks:
+    """Write the items' texts in blocks of about ``block_bytes``."""
+    rows = items.select(F.coalesce(items[id_col].cast("string"), F.lit("")).alias("item"), items[text_col].alias("text")).where(F.length("text") > 0)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count, folder = -(-total // block_bytes), shared_folder(items.sparkSession, "benchmark")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, count))))
+    dealt.repartition("block").write.partitionBy("block").parquet(folder)
+    return ItemBlocks(folder, count, window)
+
+
 def scanner(blocks: ItemBlocks):
     """Function from texts to ``(n_words, n_hit, items)`` per text; tables of a single block are kept."""
     kept = blocks.tables(0) if blocks.count == 1 else None
@@ -133,9 +140,9 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the list ``items``."""
-    blocks = ItemBlocks(items)
+    blocks = store_items(items, block_bytes=block_bytes)
 
     def make():
         scan = scanner(blocks)
@@ -164,7 +171,7 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows whose text holds no window of any item, with all their columns."""
-    blocks, at = ItemBlocks(items), df.columns.index(text_col)
+    blocks, at = store_items(items), df.columns.index(text_col)
 
     def make():
         scan = scanner(blocks)

@@ -152,11 +152,7 @@ def test_contamination_of_short_items_in_blocks(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(texts, [("" if i is None else i, t) for i, t in items])
     assert columns(decontaminate.contamination(df, bench).collect()) == dict(enumerate(want))
-    limit, decontaminate.ItemBlocks.__init__.__defaults__ = decontaminate.ItemBlocks.__init__.__defaults__, ("item_id", "text", 10, 100)
-    try:
-        assert columns(decontaminate.contamination(df, bench).collect()) == dict(enumerate(want))
-    finally:
-        decontaminate.ItemBlocks.__init__.__defaults__ = limit
+    assert columns(decontaminate.contamination(df, bench, block_bytes=100).collect()) == dict(enumerate(want))
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, w in enumerate(want) if not w[4]}
     assert not any(r["contaminated"] for r in decontaminate.contamination(df, bench.limit(0)).collect())

@@ -399,8 +399,7 @@ def _(spark, folder):
 
 @query("ml09_candidate_tuning")
 def _(spark, folder):
-    small = {n: md.Boosting(**{**vars(s), "trees": s.trees // 200}) for n, s in md.CANDIDATES.items()}
-    return md.tune(labelled(spark, folder), X, "Y", small)
+    return md.tune(labelled(spark, folder), X, "Y", md.CANDIDATES)
 
 
 def ring_edges(spark: SparkSession, folder: str) -> DataFrame:

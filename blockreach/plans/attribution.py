@@ -211,7 +211,7 @@ def _(spark, folder):
 
 def fitted(spark: SparkSession, folder: str):
     df = cut_lineage(pm.labelled(spark, folder).select("node_id", "city", "split", "Y", *pm.X))
-    return md.fit_boosting(md.with_vector(df.where("split = 'train'"), pm.X), "Y", pm.QUICK), df
+    return md.fit_boosting(md.with_vector(df.where("split = 'train'"), pm.X), "Y", md.Boosting()), df
 
 
 LINEAR = {"pt_stop_count": 2.0, "be_compactness": 30.0, "acs_population": -0.01}

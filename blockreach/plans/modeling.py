@@ -13,7 +13,7 @@ from blockreach.sources import sinks, text
 
 X = C.MODEL_FEATURES
 CITIES = [f"city_{i}" for i in range(10)]
-# Small boosting settings, so that the registered runs stay short; the defaults are the full ones.
+# Small boosting settings for tests; the registered runs use the defaults.
 QUICK = md.Boosting(trees=8, rate=0.3, depth=3)
 
 LABELLED = f"{C.MODEL_SQL}, labelled AS (SELECT *, {C.SPLIT_SQL} AS split FROM model)"
@@ -384,17 +384,17 @@ def _(spark, folder):
 
 @query("ml06_boosted_regression")
 def _(spark, folder):
-    return md.pooled_run(labelled(spark, folder), X, "Y", QUICK)[0]
+    return md.pooled_run(labelled(spark, folder), X, "Y", md.Boosting())[0]
 
 
 @query("ml07_gain_importances")
 def _(spark, folder):
-    return md.pooled_run(labelled(spark, folder), X, "Y", QUICK)[2]
+    return md.pooled_run(labelled(spark, folder), X, "Y", md.Boosting())[2]
 
 
 @query("ml08_leave_one_city_out_run")
 def _(spark, folder):
-    return md.leave_one_city_out_run(labelled(spark, folder), X, "Y", CITIES, md.Boosting(trees=3, rate=0.3, depth=3))[0]
+    return md.leave_one_city_out_run(labelled(spark, folder), X, "Y", CITIES, md.Boosting())[0]
 
 
 @query("ml09_candidate_tuning")

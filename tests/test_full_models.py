@@ -38,3 +38,13 @@ def test_tuning_fits_the_candidates_as_they_are(spark, asked):
     with pytest.raises(Recorded):
         QUERIES["ml09_candidate_tuning"](spark, FOLDER)
     assert asked == list(md.CANDIDATES.values())
+
+
+@pytest.mark.parametrize("name, fits", [
+    ("ml06_boosted_regression", 1), ("ml07_gain_importances", 1), ("ml08_leave_one_city_out_run", 10), ("ml14_boosted_attributions", 1), ("ml19_boosted_dependence", 1),
+])
+def test_boosted_runs_use_the_full_settings(spark, asked, name, fits):
+    with pytest.raises(Recorded):
+        QUERIES[name](spark, FOLDER)
+    # Held-out cities differ in their seed only.
+    assert asked == [md.Boosting(seed=42 + i) for i in range(fits)]

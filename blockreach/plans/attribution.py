@@ -245,7 +245,7 @@ def _(spark, folder):
 
 @query("ml17_attribution_clusters")
 def _(spark, folder):
-    table, quality = ex.cluster_attributions(shap(spark, folder), predictions(spark, folder).drop("cluster_id"), starts=3)
+    table, quality = ex.cluster_attributions(shap(spark, folder), predictions(spark, folder).drop("cluster_id"))
     return table.groupBy("cluster_id", "cluster_label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y_pred").alias("mean_y_pred"), F.lit(quality).alias("silhouette"))
 
 
@@ -298,7 +298,7 @@ def _(spark, folder):
 @query("ml19_boosted_dependence")
 def _(spark, folder):
     model, df = fitted(spark, folder)
-    return ex.partial_dependence(model, df, pm.X, ["pt_stop_count", "acs_population"], logged=["acs_population"])
+    return ex.partial_dependence(model, df, pm.X, pm.X, logged=["acs_population"])
 
 
 CURVES = f"""WITH {pm.LABELLED}, curve AS (SELECT city AS feature, pt_stop_count AS v, avg(Y) AS mean_prediction FROM labelled GROUP BY 1, 2)"""

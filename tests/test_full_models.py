@@ -2,8 +2,8 @@
 
 import pytest
 
-from blockreach.operators import models as md
-from blockreach.plans import load_all
+from blockreach.operators import explain as ex, models as md
+from blockreach.plans import attribution, load_all, modeling as pm
 from blockreach.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,3 +48,24 @@ def test_boosted_runs_use_the_full_settings(spark, asked, name, fits):
         QUERIES[name](spark, FOLDER)
     # Held-out cities differ in their seed only.
     assert asked == [md.Boosting(seed=42 + i) for i in range(fits)]
+
+
+def test_clusters_are_the_best_of_fifty_starts(spark, monkeypatch):
+    started = []
+
+    def gather(fit, items):
+        started.extend(items)
+        raise Recorded
+
+    monkeypatch.setattr(ex, "side_by_side", gather)
+    with pytest.raises(Recorded):
+        QUERIES["ml17_attribution_clusters"](spark, FOLDER)
+    assert started == list(range(50))
+
+
+def test_curves_are_drawn_for_every_feature(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(attribution, "fitted", lambda spark, folder: (None, None))
+    monkeypatch.setattr(ex, "partial_dependence", lambda model, df, features, curves, **more: drawn.extend(curves))
+    QUERIES["ml19_boosted_dependence"](spark, FOLDER)
+    assert drawn == list(pm.X)

@@ -135,16 +135,20 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 
 
 def sample_labelled(rows: DataFrame, total: int = FIT_ROWS) -> list[tuple[str, str]]:
-    """A bounded sample of ``rows (text, lang)``, about the same number per language, chosen by text hash."""
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(1000).collect()
+    """A bounded sample of ``rows (text, lang)``, about the same number per language, chosen by text hash.
+
+    Copies count once, so that a group of them takes one place of its language only.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    counts = rows.select("hash", "lang").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(1000).collect()
     if not counts:
         return []
     each = max(1, total // len(counts))
     share = F.lit(0.0)
     for c in counts:
         share = F.when(F.col("lang") == c["lang"], F.lit(min(1.0, 1.2 * each / c["n"]))).otherwise(share)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.withColumn("draw", draw).where(F.col("draw") < share).where(F.length("text") <= FIT_CHARS)
+    draw = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.withColumn("draw", draw).where(F.col("draw") < share).where(F.length("text") <= FIT_CHARS).dropDuplicates(["hash", "lang"])
     return [(r["text"], r["lang"]) for r in picked.orderBy("draw", "text").limit(2 * total).select("text", "lang").collect()]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockreach.functions.numeric import safe_divide
-from blockreach.operators.quantiles import tied_ranks
+from blockreach.operators.quantiles import ranks_together
 
 
 def present(name: str) -> Column:
@@ -35,10 +35,10 @@ def full_metrics(df: DataFrame, by: Sequence[str], train_mean: Column) -> DataFr
     ``train_mean`` is the baseline prediction (a literal, or a column constant within a group).
     """
     keys = list(by)
-    df = df.withColumns({c: present(c) for c in ("y_true", "y_pred")})
+    df = df.withColumns({c: present(c).cast("double") for c in ("y_true", "y_pred")})
     y, p = F.col("y_true"), F.col("y_pred")
     e, b = y - p, y - train_mean
-    ranked = tied_ranks(tied_ranks(df, "y_true", keys, "ry"), "y_pred", keys, "rp")
+    ranked = ranks_together(df, {"y_true": "ry", "y_pred": "rp"}, keys)
     s = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
@@ -70,8 +70,8 @@ def full_metrics(df: DataFrame, by: Sequence[str], train_mean: Column) -> DataFr
 
 def pooled_and_city_metrics(df: DataFrame, train_mean: Column) -> DataFrame:
     """Metrics of every split pooled (``city = '__all__'``) and of the test split per city."""
-    pooled = full_metrics(df.drop("city").withColumn("city", F.lit("__all__")), ["split", "city"], train_mean)
-    return pooled.unionByName(full_metrics(df.where("split = 'test'"), ["split", "city"], train_mean))
+    scopes = F.when(F.col("split") == "test", F.array(F.lit("__all__"), "city")).otherwise(F.array(F.lit("__all__")))
+    return full_metrics(df.withColumn("city", F.explode(scopes)), ["split", "city"], train_mean)
 
 
 def summarise(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

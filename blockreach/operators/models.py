@@ -1,77 +1,52 @@
-"""Regression over model tables with ``pyspark.ml``: boosting, pooled and city-held-out runs, tuning."""
+"""Regression over model tables: boosting, pooled and city-held-out runs, tuning, graph-smoothed regression."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
+from blockreach.operators.boosting import BoostedTrees, Boosting, feature_array, fit_models, predictions
 from blockreach.operators.graph import neighbour_mean, symmetric_smooth
 from blockreach.operators.metrics import full_metrics, pooled_and_city_metrics, regression_metrics
 from blockreach.session import cut_lineage
 
-
-@dataclass(frozen=True)
-class Boosting:
-    """Settings of a boosted-tree regression. Column sampling is per split; there are no penalty terms."""
-
-    trees: int = 600
-    rate: float = 0.03
-    depth: int = 4
-    rows: float = 0.85
-    columns: float = 0.85
-    min_leaf: int = 1
-    seed: int = 42
-
-
 # The tuning candidates.
 CANDIDATES = {
-    "current_default": Boosting(600, 0.03, 4, 0.85, 0.85, 1),
-    "shallower_regularized": Boosting(500, 0.04, 3, 0.90, 0.90, 5),
-    "fast_shallow": Boosting(400, 0.05, 3, 0.85, 0.85, 3),
-    "medium_faster": Boosting(400, 0.05, 4, 0.85, 0.85, 3),
-    "deeper_regularized": Boosting(600, 0.03, 5, 0.80, 0.80, 5),
-    "slow_medium": Boosting(800, 0.02, 4, 0.85, 0.85, 2),
-    "slow_shallow": Boosting(800, 0.03, 3, 0.90, 0.85, 3),
-    "regularized_default_depth": Boosting(600, 0.03, 4, 0.85, 0.85, 5),
+    "current_default": Boosting(600, 0.03, 4, 0.85, 0.85, 1, 0.0, 1.0),
+    "shallower_regularized": Boosting(500, 0.04, 3, 0.90, 0.90, 5, 0.0, 3.0),
+    "fast_shallow": Boosting(400, 0.05, 3, 0.85, 0.85, 3, 0.0, 2.0),
+    "medium_faster": Boosting(400, 0.05, 4, 0.85, 0.85, 3, 0.0, 2.0),
+    "deeper_regularized": Boosting(600, 0.03, 5, 0.80, 0.80, 5, 0.05, 5.0),
+    "slow_medium": Boosting(800, 0.02, 4, 0.85, 0.85, 2, 0.0, 2.0),
+    "slow_shallow": Boosting(800, 0.03, 3, 0.90, 0.85, 3, 0.0, 2.0),
+    "regularized_default_depth": Boosting(600, 0.03, 4, 0.85, 0.85, 5, 0.05, 3.0),
 }
 
 
-# Fits submitted at once; each runs its own jobs on the cluster.
-FITS_AT_ONCE = 4
-
-
-def side_by_side(fit: Callable, items: Sequence) -> list:
-    """``fit`` of every item, several at a time, in order."""
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        return list(pool.map(fit, items))
-
-
 def with_vector(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(df)
 
 
-def fit_boosting(train: DataFrame, target: str, settings: Boosting) -> GBTRegressionModel:
-    """Fit squared-error boosting on a table with a ``features`` vector."""
-    return GBTRegressor(
-        featuresCol="features", labelCol=target, predictionCol="y_pred", maxIter=settings.trees, stepSize=settings.rate,
-        maxDepth=settings.depth, subsamplingRate=settings.rows, featureSubsetStrategy=str(settings.columns),
-        minInstancesPerNode=settings.min_leaf, seed=settings.seed, cacheNodeIds=False, maxMemoryInMB=512,
-    ).fit(train)
+def fit_boosting(train: DataFrame, features: Sequence[str], target: str, settings: Boosting) -> BoostedTrees:
+    """Fit squared-error boosting on all rows of ``train``."""
+    return fit_models(train, features, target, [settings])[0]
 
 
-def importances(model: GBTRegressionModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``(feature, importance_gain)``, summing to one."""
-    values = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-    return df.sparkSession.createDataFrame(values, "feature string, importance_gain double")
+def importances(models: dict[str, BoostedTrees], df: DataFrame) -> DataFrame:
+    """``(model, feature, importance_gain)``, summing to one per model."""
+    rows = [(name, f, v) for name, model in models.items() for f, v in model.importances().items()]
+    return df.sparkSession.createDataFrame(rows, "model string, feature string, importance_gain double")
 
 
-def _predict(model, df: DataFrame, target: str) -> DataFrame:
-    return model.transform(df).select("node_id", "city", "split", F.col(target).alias("y_true"), "y_pred")
+def scored(df: DataFrame, models: dict[str, BoostedTrees], target: str, *keep: str) -> DataFrame:
+    """``(keep..., y_true, model, y_pred)``: the predictions of all models, from one pass over the rows."""
+    features = next(iter(models.values())).features
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in models]).alias("model"), predictions(list(models.values()), feature_array(features)).alias("y_pred"))
+    return df.select(*keep, F.col(target).alias("y_true"), F.inline(named))
 
 
 def _train_mean(df: DataFrame, target: str):
@@ -80,51 +55,43 @@ def _train_mean(df: DataFrame, target: str):
 
 def pooled_run(df: DataFrame, features: Sequence[str], target: str, settings: Boosting) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train on the train split of all cities; metrics, predictions and importances."""
-    table = cut_lineage(with_vector(df, features).select("node_id", "city", "split", target, "features"))
-    model = fit_boosting(table.where("split = 'train'"), target, settings)
-    predictions = _predict(model, table, target)
-    return pooled_and_city_metrics(predictions, _train_mean(table, target)), predictions, importances(model, df, features)
+    table = cut_lineage(df.select("node_id", "city", "split", target, *features))
+    models = {"pooled": fit_boosting(table.where("split = 'train'"), features, target, settings)}
+    found = cut_lineage(scored(table, models, target, "node_id", "city", "split").drop("model"))
+    return pooled_and_city_metrics(found, _train_mean(table, target)), found, importances(models, df).drop("model")
 
 
 def leave_one_city_out_run(
     df: DataFrame, features: Sequence[str], target: str, cities: Sequence[str], settings: Boosting
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One model per held-out city, trained on all other cities."""
-    table = cut_lineage(with_vector(df, features).select("node_id", "city", target, "features"))
-    folds = [table.withColumn("split", F.when(F.col("city") == city, "test").otherwise("train")) for city in cities]
-    models = side_by_side(
-        lambda i: fit_boosting(folds[i].where("split = 'train'"), target, Boosting(**{**asdict(settings), "seed": settings.seed + i})), range(len(folds))
-    )
-    metrics = predictions = gains = None
-    for i, (city, fold, model) in enumerate(zip(cities, folds, models)):
-        scored = _predict(model, fold, target)
-        label = {"heldout_city": F.lit(city), "repeat": F.lit(i)}
-        m = full_metrics(scored, ["split"], _train_mean(fold, target)).withColumns(label)
-        m = m.withColumn("city", F.when(F.col("split") == "test", F.lit(city)).otherwise("__train_cities__"))
-        p, g = scored.withColumns(label), importances(model, df, features).withColumns(label)
-        metrics = m if metrics is None else metrics.unionByName(m)
-        predictions = p if predictions is None else predictions.unionByName(p)
-        gains = g if gains is None else gains.unionByName(g)
-    return metrics, predictions, gains
+    """One model per held-out city, trained on all other cities; all models grow together."""
+    table = cut_lineage(df.select("node_id", "city", target, *features))
+    own = [replace(settings, seed=settings.seed + i) for i in range(len(cities))]
+    models = dict(zip(cities, fit_models(table, features, target, own, F.col("city"), cities)))
+    found = scored(table, models, target, "node_id", "city").withColumnRenamed("model", "heldout_city")
+    held = F.col("heldout_city")
+    repeat = F.array_position(F.array(*[F.lit(c) for c in cities]), held).cast("int") - 1
+    found = cut_lineage(found.withColumns({"split": F.when(F.col("city") == held, "test").otherwise("train"), "repeat": repeat}))
+    base = F.get(F.array(*[F.lit(m.base) for m in models.values()]), F.col("repeat"))
+    metrics = full_metrics(found, ["split", "heldout_city", "repeat"], base)
+    metrics = metrics.withColumn("city", F.when(F.col("split") == "test", held).otherwise("__train_cities__"))
+    return metrics, found, importances(models, df).withColumnRenamed("model", "heldout_city").withColumn("repeat", repeat)
 
 
 def rank_candidates(results: DataFrame) -> DataFrame:
     """Add ``validation_rank``: best validation R² first, then smallest validation RMSE."""
-    order = Window.orderBy(F.desc("r2"), "rmse", "candidate")
-    # One row per candidate, so the unpartitioned window is tiny.
+    # One row per candidate, so the window is tiny.
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("r2"), "rmse", "candidate")
     ranks = results.where("split = 'val'").select("candidate", F.row_number().over(order).alias("validation_rank"))
     return results.join(ranks, "candidate")
 
 
 def tune(df: DataFrame, features: Sequence[str], target: str, candidates: dict[str, Boosting]) -> DataFrame:
-    """Metrics of every candidate on every split, ranked on the validation split."""
-    table = cut_lineage(with_vector(df, features).select("node_id", "city", "split", target, "features"))
-    models = side_by_side(lambda settings: fit_boosting(table.where("split = 'train'"), target, settings), list(candidates.values()))
-    out = None
-    for name, model in zip(candidates, models):
-        scored = regression_metrics(_predict(model, table, target), ["split"]).withColumn("candidate", F.lit(name))
-        out = scored if out is None else out.unionByName(scored)
-    return rank_candidates(out)
+    """Metrics of every candidate on every split, ranked on the validation split; all candidates grow together."""
+    table = cut_lineage(df.select("node_id", "city", "split", target, *features))
+    models = fit_models(table.where("split = 'train'"), features, target, list(candidates.values()))
+    found = scored(table, dict(zip(candidates, models)), target, "split").withColumnRenamed("model", "candidate")
+    return rank_candidates(cut_lineage(regression_metrics(found, ["split", "candidate"])))
 
 
 def graph_features(df: DataFrame, edges: DataFrame, features: Sequence[str], kind: str = "mean", steps: int = 2) -> tuple[DataFrame, list[str]]:

@@ -6,7 +6,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockreach.functions.naming import family_code
-from blockreach.operators import checks, explain as ex, metrics as mt, models as md
+from blockreach.operators import checks, explain as ex, metrics as mt, models as md, tree_explain as te
 from blockreach.plans import carriers as C, modeling as pm
 from blockreach.plans.registry import q6, query, rounded
 from blockreach.session import cut_lineage
@@ -211,7 +211,7 @@ def _(spark, folder):
 
 def fitted(spark: SparkSession, folder: str):
     df = cut_lineage(pm.labelled(spark, folder).select("node_id", "city", "split", "Y", *pm.X))
-    return md.fit_boosting(md.with_vector(df.where("split = 'train'"), pm.X), "Y", md.Boosting()), df
+    return md.fit_boosting(df.where("split = 'train'"), pm.X, "Y", md.Boosting()), df
 
 
 LINEAR = {"pt_stop_count": 2.0, "be_compactness": 30.0, "acs_population": -0.01}
@@ -234,15 +234,38 @@ def _(spark, folder):
     return rounded(ex.shapley_values(model, df.where("split = 'test'"), list(LINEAR), df.where("split = 'train'")), digits=3)
 
 
+# Background rows of the exact attributions.
+BACKGROUND = 100
+
+
+def tree_background(df: DataFrame) -> DataFrame:
+    return ex.draw_background(df.where("split = 'train'"), BACKGROUND)
+
+
 @query("ml14_boosted_attributions", f"WITH {pm.LABELLED} SELECT node_id, true AS adds_up FROM labelled WHERE split = 'test'")
 def _(spark, folder):
-    """Attributions of every test row add up to its prediction."""
+    """Exact attributions of every test row add up to its prediction."""
     model, df = fitted(spark, folder)
     rows = df.where("split = 'test'")
-    total = ex.shapley_values(model, rows, pm.X, df.where("split = 'train'")).groupBy("node_id").agg((F.sum("shap") + F.max("base_value")).alias("total"))
+    total = te.tree_shapley_values(model, rows, tree_background(df)).groupBy("node_id").agg((F.sum("shap") + F.max("base_value")).alias("total"))
     return model.transform(md.with_vector(rows, pm.X)).join(total, "node_id").select("node_id", (F.abs(F.col("total") - F.col("y_pred")) <= 1e-6).alias("adds_up"))
 
 
+# Two flags that a tree of depth two crosses: its attributions average over the background in closed form.
+@query("ml14_tree_attributions", f"""WITH {pm.FLAGGED}, p AS (SELECT third, fifth, avg(y_true) AS v FROM flagged WHERE split = 'train' GROUP BY third, fifth),
+  z AS (SELECT third, fifth, count(*) AS n FROM (SELECT * FROM flagged WHERE split = 'train' ORDER BY md5('42:' || node_id), node_id LIMIT {BACKGROUND}) GROUP BY third, fifth),
+  parts AS (SELECT x.third, x.fifth, z.n, xx.v AS xx, zz.v AS zz, xz.v AS xz, zx.v AS zx FROM p x, z JOIN p zz ON zz.third = z.third AND zz.fifth = z.fifth
+    JOIN p xx ON xx.third = x.third AND xx.fifth = x.fifth JOIN p xz ON xz.third = x.third AND xz.fifth = z.fifth JOIN p zx ON zx.third = z.third AND zx.fifth = x.fifth),
+  s AS (SELECT third, fifth, sum(n * (xx - zx + xz - zz)) / 2 / sum(n) AS third_shap, sum(n * (xx - xz + zx - zz)) / 2 / sum(n) AS fifth_shap, sum(n * zz) / sum(n) AS base_value FROM parts GROUP BY 1, 2),
+  t AS (SELECT node_id, third, fifth, third_shap, fifth_shap, base_value FROM flagged JOIN s USING (third, fifth) WHERE split = 'test')
+  SELECT node_id, 'third' AS feature, third AS feature_value, {q6('third_shap')} AS shap, {q6('base_value')} AS base_value FROM t
+  UNION ALL SELECT node_id, 'fifth', fifth, {q6('fifth_shap')}, {q6('base_value')} FROM t""")
+def _(spark, folder):
+    df = cut_lineage(pm.flagged(spark, folder))
+    model = md.fit_boosting(df.where("split = 'train'"), pm.FLAGS, "Y", pm.CROSS)
+    return rounded(te.tree_shapley_values(model, df.where("split = 'test'"), tree_background(df)))
+
+
 @query("ml17_attribution_clusters")
 def _(spark, folder):
     table, quality = ex.cluster_attributions(shap(spark, folder), predictions(spark, folder).drop("cluster_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.operators import checks, dataset as ds, graph as gr, metrics as mt, models as md, quantiles as qt, splits as sp, target as tg, views as vw
+from blockreach.operators import boosting as bt, checks, dataset as ds, graph as gr, metrics as mt, models as md, quantiles as qt, splits as sp, target as tg, views as vw
 from blockreach.plans import carriers as C, reach
 from blockreach.plans.registry import q6, query, r6, rounded
 from blockreach.functions.naming import node_id
@@ -380,7 +380,7 @@ def _(spark, folder):
     return rounded(components(spark, folder).select("block_id", "jobs_1km", "amen_education_1km"), digits=4)
 
 
-# --- models (no SQL counterpart) --------------------------------------------------------------
+# --- models --------------------------------------------------------------
 
 @query("ml06_boosted_regression")
 def _(spark, folder):
@@ -421,8 +421,8 @@ def _(spark, folder):
 # One tree on two-valued features predicts group means, so SQL can tell its metrics and gains.
 FLAGS = ["third", "fifth"]
 FLAG_SQL = "CAST(o_orderkey % 3 = 0 AS DOUBLE) AS third, CAST(o_orderkey % 5 = 0 AND Y > 50 AS DOUBLE) AS fifth"
-STUMP = md.Boosting(trees=1, rate=1.0, depth=1, rows=1.0, columns=1.0)
-CROSS = md.Boosting(trees=1, rate=1.0, depth=2, rows=1.0, columns=1.0)
+STUMP = md.Boosting(trees=1, rate=1.0, depth=1, rows=1.0, columns=1.0, l2=0.0)
+CROSS = md.Boosting(trees=1, rate=1.0, depth=2, rows=1.0, columns=1.0, l2=0.0)
 
 
 def flagged(spark: SparkSession, folder: str) -> DataFrame:
@@ -442,6 +442,25 @@ def _(spark, folder):
     return rounded(out.select("split", "city", "rmse", "mae", "r2", "baseline_rmse", "n_rows", "prediction_mean"))
 
 
+COUNTED = ["pt_stop_count", "pt_route_count", "be_compactness"]
+FIRST = bt.Boosting(trees=1, depth=1, rows=1.0, columns=1.0, min_leaf=5, l1=40.0, l2=3.0)
+
+
+def first_scores(side: str) -> str:
+    return f"greatest(abs(g{side}) - {FIRST.l1}, 0) ** 2 / (n{side} + {FIRST.l2})"
+
+
+@query("ml06_first_tree_gains", f"""WITH {LABELLED}, t AS (SELECT *, avg(Y) OVER () - Y AS g FROM labelled WHERE split = 'train'),
+  v AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f} AS value, sum(g) AS g, count(*) AS n FROM t GROUP BY {f}" for f in COUNTED)}),
+  sides AS (SELECT feature, value, sum(g) OVER (PARTITION BY feature ORDER BY value) AS gl, sum(n) OVER (PARTITION BY feature ORDER BY value) AS nl, sum(g) OVER (PARTITION BY feature) AS g, sum(n) OVER (PARTITION BY feature) AS n FROM v),
+  scored AS (SELECT *, g - gl AS gr, n - nl AS nr FROM sides)
+  SELECT feature, value, CAST(nl AS BIGINT) AS n_left, {q6('gl', 4)} AS gradient_left, {q6(f"CASE WHEN nl < {FIRST.min_leaf} OR nr < {FIRST.min_leaf} THEN 0 ELSE {first_scores('l')} + {first_scores('r')} - {first_scores('')} END", 4)} AS gain FROM scored""")
+def _(spark, folder):
+    """Sums and gains of every cut of the first tree's root, from features of few values."""
+    train = cut_lineage(labelled(spark, folder).where("split = 'train'"))
+    return rounded(bt.root_gains(train, COUNTED, "Y", FIRST), "value", digits=4)
+
+
 @query("ml07_stump_importances", f"""WITH {FLAGGED}, t AS (SELECT * FROM flagged WHERE split = 'train'),
   gains AS (SELECT feature, (SELECT count(*) FROM t) * (SELECT var_pop(y_true) FROM t) - sum(n * v) AS gain FROM (
     SELECT 'third' AS feature, third AS g, count(*) AS n, var_pop(y_true) AS v FROM t GROUP BY third UNION ALL SELECT 'fifth', fifth, count(*), var_pop(y_true) FROM t GROUP BY fifth) GROUP BY feature)

@@ -16,21 +16,14 @@ class Recorded(Exception):
 
 @pytest.fixture
 def asked(monkeypatch):
-    """Settings of every fit; side by side, so that all of them are seen before the first one ends the query."""
+    """Settings of every fit of a run."""
     settings = []
 
-    def gather(fit, items):
-        for item in items:
-            with pytest.raises(Recorded):
-                fit(item)
-        raise Recorded
-
-    def record(train, target, chosen):
-        settings.append(chosen)
+    def record(df, features, target, chosen, *more):
+        settings.extend(chosen)
         raise Recorded
 
-    monkeypatch.setattr(md, "side_by_side", gather)
-    monkeypatch.setattr(md, "fit_boosting", record)
+    monkeypatch.setattr(md, "fit_models", record)
     return settings
 
 
@@ -38,6 +31,7 @@ def test_tuning_fits_the_candidates_as_they_are(spark, asked):
     with pytest.raises(Recorded):
         QUERIES["ml09_candidate_tuning"](spark, FOLDER)
     assert asked == list(md.CANDIDATES.values())
+    assert {c.l2 for c in asked} == {1.0, 2.0, 3.0, 5.0} and {c.l1 for c in asked} == {0.0, 0.05}
 
 
 @pytest.mark.parametrize("name, fits", [

@@ -14,7 +14,7 @@ load_all()
 @pytest.fixture(scope="module")
 def fitted(spark):
     df = pm.labelled(spark, FOLDER).select("node_id", "city", "split", "Y", *pm.X).cache()
-    return md.fit_boosting(md.with_vector(df.where("split = 'train'"), pm.X), "Y", pm.QUICK), df
+    return md.fit_boosting(df.where("split = 'train'"), pm.X, "Y", pm.QUICK), df
 
 
 def test_attributions_add_up_to_the_prediction(fitted):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm import bpe, decontaminate, language, secrets, sharding, simhash, sketches, token_files, toxicity, warc
+from blockreach.llm import bpe, byte_bpe, decontaminate, language, secrets, sharding, simhash, sketches, token_files, toxicity, warc
 from blockreach.llm.common import id_remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 
 WORD_BPE = "word_bpe_49k.json"
 WORD_BPE_SIZE = 49_408
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 2
 
 
@@ -168,6 +169,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level encoding and decoding of every document, long ones in overlapping chunks."""
+    import public_tokenizers
+
+    return byte_bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, with_text=False)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""

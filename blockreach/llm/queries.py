@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm import bpe, byte_bpe, decontaminate, language, secrets, sharding, simhash, sketches, token_files, toxicity, warc
+from blockreach.llm import bpe, byte_bpe, decontaminate, language, ranked_search, secrets, sharding, simhash, sketches, token_files, toxicity, warc
 from blockreach.llm.common import id_remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,28 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TERM_SQL = "regexp_extract_all(translate({}, '" + UPPER + "', '" + UPPER.lower() + r"'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_ranked_search", f"""
+WITH t AS (SELECT doc_id, unnest({TERM_SQL.format("text")}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+q AS (SELECT DISTINCT item_id, unnest({TERM_SQL.format("text")}) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), totals GROUP BY item_id, doc_id
+), r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= {ranked_search.TOP}
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op13_byte_bpe")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level encoding and decoding of every document, long ones in overlapping chunks."""

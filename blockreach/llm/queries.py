@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockreach.llm import bpe, byte_bpe, decontaminate, language, ranked_search, secrets, sharding, simhash, sketches, token_files, toxicity, warc
+from blockreach.llm import alignment, bpe, byte_bpe, decontaminate, language, ranked_search, secrets, sharding, simhash, sketches, token_files, toxicity, warc
 from blockreach.llm.common import id_remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 
 WORD_BPE = "word_bpe_49k.json"
 WORD_BPE_SIZE = 49_408
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 2
 
@@ -169,6 +170,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment of byte-level and piece tokens of every document."""
+    import public_tokenizers as tokenizers
+
+    return alignment.align_documents(
+        table(spark, folder, "documents"), tokenizers.path(BYTE_BPE), tokenizers.PATTERN, tokenizers.path(PIECE_BPE), with_groups=False)
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TERM_SQL = "regexp_extract_all(translate({}, '" + UPPER + "', '" + UPPER.lower() + r"'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 

@@ -187,26 +187,24 @@ def merge_pieces(a: np.ndarray, b: np.ndarray, steps: int = STEPS) -> Merge:
     j = starts - i
     never = np.iinfo(np.int64).max
     next_a, next_b, taken_a = np.r_[a, never], np.r_[b, never], np.r_[-1, a]
+    sizes_a, sizes_b = np.diff(np.r_[i, len(a)]), np.diff(np.r_[j, len(b)])
     pair_a, pair_b = (np.full((len(starts), steps), -1, np.int32) for _ in "ab")
-    group_a, group_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    piece_a, piece_b = np.zeros(len(a), np.int32), np.zeros(len(b), np.int32)
-    closed, rows = np.zeros(len(starts), np.int64), np.arange(len(starts), dtype=np.int32)
+    group_a, group_b, closed = np.zeros(len(a), np.int32), np.zeros(len(b), np.int32), np.zeros(len(starts), np.int32)
     for step in range(steps):
         end_a, end_b = next_a[i], next_b[j]
-        takes_a = (end_a <= end_b) & (end_a < never)
         takes_b = end_b < end_a
+        takes_a = ~takes_b & (end_a < never)
         # An end of b that equals the end of a just taken closes a group; it opens no pair.
         closes = takes_b & (taken_a[i] == end_b)
-        emits = (takes_a | takes_b) & ~closes
+        emits = np.flatnonzero((takes_a | takes_b) & ~closes)
         pair_a[emits, step], pair_b[emits, step] = i[emits], j[emits]
-        group_a[i[takes_a]], piece_a[i[takes_a]] = closed[takes_a], rows[takes_a]
-        group_b[j[takes_b]], piece_b[j[takes_b]] = closed[takes_b], rows[takes_b]
-        closed = closed + closes
+        group_a[i[takes_a]], group_b[j[takes_b]] = closed[takes_a], closed[takes_b]
+        closed += closes
         i, j = i + takes_a, j + takes_b
     # Groups closed in the pieces before; a group that crosses pieces gets one number.
     earlier = np.r_[0, np.cumsum(closed)[:-1]] if len(closed) else closed
     held = pair_a >= 0
-    return Merge(pair_a[held], pair_b[held], group_a + earlier[piece_a], group_b + earlier[piece_b])
+    return Merge(pair_a[held], pair_b[held], group_a + np.repeat(earlier, sizes_a), group_b + np.repeat(earlier, sizes_b))
 
 
 def group_texts(a: Tokens, b: Tokens, merged: Merge, names: list[list[bytes]], n_ids: int) -> list[bytes]:

@@ -51,14 +51,19 @@ def pre_token_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", SPACE))
 
 
+def load_tokens(path: str) -> list[bytes]:
+    """Bytes of the tokens of a rank file, by rank."""
+    with open(path, "rb") as file:
+        ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, file)}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+
+
 def load_ranks(path: str) -> Vocabulary:
     """A vocabulary from a rank file; every pair of tokens that makes up a token merges at that token's rank."""
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    tokens = [b""] * (max(ranks.values()) + 1)
+    tokens = load_tokens(path)
+    ranks = {token: i for i, token in enumerate(tokens) if token}
     pairs = []
     for token, rank in ranks.items():
-        tokens[rank] = token
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
@@ -143,8 +148,8 @@ class Encoder:
 class Digest:
     """Count and hashes of a document's ids, fed piece by piece; with ``with_text`` also the ids and the decoding."""
 
-    def __init__(self, vocabulary: Vocabulary, names: list[bytes], with_text: bool) -> None:
-        self.tokens, self.names, self.with_text = vocabulary.token_bytes, names, with_text
+    def __init__(self, tokens: list[bytes], names: list[bytes], with_text: bool) -> None:
+        self.tokens, self.names, self.with_text = tokens, names, with_text
         self.count, self.of_ids, self.of_bytes = 0, hashlib.sha256(), hashlib.sha256()
         self.ids: list[np.ndarray] = []
         self.decoded: list[bytes] = []
@@ -199,10 +204,9 @@ def encode_documents(
     schema = f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>, decoded binary' if with_text else ''}"
     size = F.coalesce(F.length("text"), F.lit(0))
 
-    def digests() -> Callable[[], Digest]:
-        vocabulary = load_ranks(ranks_path)
-        names = [b"%d" % i for i in range(len(vocabulary.token_bytes))]
-        return lambda: Digest(vocabulary, names, with_text)
+    def digests(tokens: list[bytes]) -> Callable[[], Digest]:
+        names = [b"%d" % i for i in range(len(tokens))]
+        return lambda: Digest(tokens, names, with_text)
 
     def result(rows: list[tuple[object, Digest]], ids: pa.Array) -> pa.RecordBatch:
         made = pa.Table.from_pylist([d.row() for _, d in rows], pa.schema([
@@ -210,7 +214,8 @@ def encode_documents(
         return pa.RecordBatch.from_arrays([ids, *[c.combine_chunks() for c in made.columns]], names=["doc_id", *made.column_names])
 
     def whole():
-        encoder, new = Encoder(load_ranks(ranks_path), pattern), digests()
+        vocabulary = load_ranks(ranks_path)
+        encoder, new = Encoder(vocabulary, pattern), digests(vocabulary.token_bytes)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
@@ -278,7 +283,7 @@ def encode_documents(
     coded = pieces.repartition("row", "piece").sortWithinPartitions("row", "piece", "chunk").mapInArrow(encode, f"doc_id {id_type}, row bigint, piece bigint, ids binary")
 
     def hash_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, open_, digest, doc = digests(), None, None, None
+        new, open_, digest, doc = digests(load_tokens(ranks_path)), None, None, None
         for batch in batches:
             for i, (row, ids) in enumerate(zip(batch.column("row").to_pylist(), batch.column("ids").to_pylist())):
                 if row != open_:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
+import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from blockreach.functions import geometry as G
@@ -14,6 +16,9 @@ from blockreach.functions.naming import node_id
 from blockreach.operators.proximity import nearest
 from blockreach.session import cut_lineage
 
+# The walk below travels to the executors by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Shared borders: tolerance in metres, grid cell, and bucket sizes of direction and offset.
 BORDER_TOLERANCE_M = 1e-4
 BORDER_CELL_M = 256.0
@@ -181,6 +186,69 @@ def attach(points: DataFrame, point_id: str, nodes: DataFrame, measures: Sequenc
 
 # Origins of a tile that one task walks from; denser tiles are split.
 TILE_ORIGINS = 2048
+# Distances (start, node) that a walk holds at once.
+DISTANCES_HELD = 4_000_000
+
+
+@dataclass(frozen=True)
+class Roads:
+    """Links of each node ``i``: ``to`` and ``w`` from ``begin[i]`` up to ``begin[i + 1]``."""
+
+    begin: np.ndarray
+    to: np.ndarray
+    w: np.ndarray
+
+
+def spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges ``low..high`` one after the other, and which range each belongs to (first)."""
+    sizes = high - low
+    owner = np.repeat(np.arange(len(low)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[owner]
+
+
+def distances(roads: Roads, starts: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shortest distances up to ``limit`` from all ``starts`` at once: index of the start, node, distance.
+
+    Pairs (start, node) are settled by bands of distance, all starts together: those of a band relax their
+    links until none of them gets shorter, then the next band begins. Every round is a few array steps.
+    """
+    n = len(roads.begin) - 1
+    best = np.full(len(starts) * n, np.inf)
+    mark = np.zeros(len(best), np.int32)
+    active = np.arange(len(starts)) * n + starts
+    best[active] = 0.0
+    inside = roads.w[roads.w <= limit]
+    band = max(float(np.median(inside)), limit / 1024) if len(inside) else limit
+    waiting, top = [np.zeros(0, np.int64)], band
+
+    def once(pairs: np.ndarray) -> np.ndarray:
+        number = np.arange(len(pairs), dtype=np.int32)
+        mark[pairs] = number
+        return pairs[mark[pairs] == number]
+
+    while True:
+        while len(active):
+            node = active % n
+            owner, link = spans(roads.begin[node], roads.begin[node + 1])
+            there = (active - node)[owner] + roads.to[link]
+            far = best[active][owner] + roads.w[link]
+            shorter = (far <= limit) & (far < best[there])
+            there, far = there[shorter], far[shorter]
+            np.minimum.at(best, there, far)
+            there = once(there)
+            soon = best[there] < top
+            waiting.append(there[~soon])
+            active = there[soon]
+        # Pairs that got below the band meanwhile are settled.
+        left = np.concatenate(waiting)
+        left = once(left[best[left] >= top])
+        if not len(left):
+            break
+        top = best[left].min() + band
+        soon = best[left] < top
+        active, waiting = left[soon], [left[~soon]]
+    found = np.flatnonzero(np.isfinite(best))
+    return found // n, found % n, best[found]
 
 
 def reachability_sums(
@@ -239,35 +307,30 @@ def reachability_sums(
         nodes, number = np.unique(np.concatenate([starts["a"], links["a"], links["b"], goods["a"]]), return_inverse=True)
         n0, n1 = len(starts), len(links)
         own, src, dst, held = np.split(number, [n0, n0 + n1, n0 + 2 * n1])
-        beside: list[list[tuple[int, float]]] = [[] for _ in nodes]
-        for u, v, w in zip(src.tolist(), dst.tolist(), links["w"].tolist()):
-            beside[u].append((v, w))
-        order = np.argsort(held, kind="stable")
-        begin = np.searchsorted(held[order], np.arange(len(nodes) + 1))
-        offset = goods["w"].to_numpy()[order]
-        worth = np.array(goods["v"].tolist(), float).reshape(len(goods), count)[order]
+        order, by_node = np.argsort(src, kind="stable"), np.argsort(held, kind="stable")
+        roads = Roads(np.searchsorted(src[order], np.arange(len(nodes) + 1)), dst[order], links["w"].to_numpy()[order])
+        begin = np.searchsorted(held[by_node], np.arange(len(nodes) + 1))
+        offset = goods["w"].to_numpy()[by_node]
+        worth = np.array(goods["v"].tolist(), float).reshape(len(goods), count)[by_node]
+        reach = np.maximum(np.array(sorted(radii), float)[None, :] - starts["w"].to_numpy()[:, None], 0.0)
         out = np.zeros((n0, count, len(radii)))
-        offsets = starts["w"].to_numpy()
-        for start in np.unique(own).tolist():
-            best, done, queue = {start: 0.0}, [], [(0.0, start)]
-            while queue:
-                d, u = heapq.heappop(queue)
-                if d > best[u]:
-                    continue
-                done.append((u, d))
-                for v, w in beside[u]:
-                    if (t := d + w) <= limit and t < best.get(v, limit * 2 + 1):
-                        best[v] = t
-                        heapq.heappush(queue, (t, v))
-            reached, far = np.array([u for u, _ in done]), np.array([d for _, d in done])
-            sizes = begin[reached + 1] - begin[reached]
-            take = np.repeat(begin[reached] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            total = np.repeat(far, sizes) + offset[take]
-            ranked = np.argsort(total, kind="stable")
-            running = np.vstack([np.zeros(count), np.cumsum(worth[take[ranked]], axis=0)])
-            for i in np.flatnonzero(own == start):
-                reach = np.maximum(np.array(radii, float) - offsets[i], 0.0)
-                out[i] = running[np.searchsorted(total[ranked], reach, "right")].T
+        by_start = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, own[by_start][1:] != own[by_start][:-1]])
+        bounds, at_once = np.r_[first, n0], max(1, DISTANCES_HELD // len(nodes))
+        for low in range(0, len(first), at_once):
+            high = min(len(first), low + at_once)
+            source, node, far = distances(roads, own[by_start[first[low:high]]], limit)
+            # Destinations of every reached node, for every origin that starts at the source.
+            entry, at = spans(begin[node], begin[node + 1])
+            source, total = source[entry], far[entry] + offset[at]
+            again, place = spans(bounds[low:high][source], bounds[low + 1:high + 1][source])
+            origin, total, at = by_start[place], total[again], at[again]
+            # Index of the smallest radius that reaches an entry; sums then run over the radii.
+            ring = (total[:, None] > reach[origin]).sum(axis=1)
+            cell = origin * (len(radii) + 1) + ring
+            for m in range(count):
+                out[:, m] += np.bincount(cell, worth[at, m], n0 * (len(radii) + 1)).reshape(n0, -1)[:, :-1]
+        out = np.cumsum(out, axis=2)[:, :, np.argsort(np.argsort(radii, kind="stable"), kind="stable")]
         named = {f"s{m}_{r}": out[:, m, r] for m in range(count) for r in range(len(radii))}
         return pd.DataFrame({origin_id: starts[origin_id].to_numpy()} | named)
 

@@ -10,7 +10,7 @@ step by step instead of being paired point by point.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -45,13 +45,14 @@ def build_tree(
     top_size: float | None = None,
     id_col: str | None = None,
     leaf_size: int = LEAF_SIZE,
+    combine: Callable[[str], Column] = F.sum,
 ) -> PointTree:
-    """Summarise points (``x``, ``y``, keys ``by``, additive ``measures``) into a :class:`PointTree`.
+    """Summarise points (``x``, ``y``, keys ``by``, ``measures`` that ``combine`` adds up) into a :class:`PointTree`.
 
     Without ``top_size`` the top cells are a quarter of the extent, so there are at most 25 per key.
     """
     keys = list(by)
-    sums = [F.sum(m).alias(m) for m in measures]
+    sums = [combine(m).alias(m) for m in measures]
     first_id = [F.min(id_col).alias("pid")] if id_col else []
     places = cut_lineage(
         points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -286,6 +287,25 @@ def radius_matches(
     return pieces.groupBy(origin_id, label).agg(F.min("lo").alias("lo"))
 
 
+def radius_sets(origins: DataFrame, origin_id: str, points: DataFrame, word: Sequence[str], bits: str, radii: Sequence[float], name) -> DataFrame:
+    """Bits of every word met within every radius: ``(origin, word..., name(radius)...)``.
+
+    Sets of labels are numbered into words of 64 (columns ``word`` of ``points``, a bit mask in ``bits``).
+    Cells hold the OR of their words, so an origin carries a row per word and cell instead of one per label.
+    """
+    radii = sorted(float(r) for r in radii)
+    tree = build_tree(points, word, [bits], top_size=radii[-1], combine=F.bit_or)
+    present = points.select(*word, *[F.floor(F.col(c) / radii[-1]).alias(f"j{c}") for c in "xy"]).distinct()
+    around = F.array([F.lit(d) for d in (-1, 0, 1)])
+    cells = origins.select(origin_id, "x", "y")
+    for c in "xy":
+        cells = cells.withColumn(f"j{c}", F.explode(F.transform(around, lambda d: F.floor(F.col(c) / radii[-1]) + d)))
+    # An origin only asks for the words present in the nine cells around it.
+    asked = cells.join(present, ["jx", "jy"]).groupBy(origin_id, "x", "y", *word).agg(F.lit(1).alias("asked"))
+    pieces = radius_pieces(asked, tree, radii, [origin_id, *word])
+    return pieces.groupBy(origin_id, *word).agg(*[F.bit_or(F.when(F.col("lo") <= i, F.col(bits)).otherwise(F.lit(0).cast("bigint"))).alias(name(r)) for i, r in enumerate(radii)])
+
+
 def nearest(
     origins: DataFrame,
     origin_id: str,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from blockreach.functions import schedule as S
 from blockreach.functions.numeric import safe_divide, to_number
 from blockreach.operators.overlay import points_in_polygons
-from blockreach.operators.proximity import nearest, radius_matches, radius_sums
+from blockreach.operators.proximity import nearest, radius_sets, radius_sums
 from blockreach.operators.quantiles import medians
 from blockreach.session import cut_lineage
 
@@ -250,12 +250,16 @@ def catchments(origins: DataFrame, service: Service, radii: Sequence[int] = CATC
     sums = radius_sums(origins, "block_id", points, names, radii, lambda m, r: f"pt_{m}_within_{int(r)}m")
 
     calls = place_routes(service).join(service.places, ["px", "py"])
-    met = radius_matches(origins, "block_id", calls, "route_key", radii)
-    # One row per block and route, and a route has one mode, so rows are counted.
-    met = met.join(calls.select("route_key", "mode").distinct(), "route_key")
+    # Routes of a mode are numbered into words of 64, neighbours by name (so by feed) in the same word.
+    order = Window.partitionBy("mode").orderBy("route_key")
+    calls = calls.withColumn("mode", F.coalesce("mode", F.lit("")))
+    numbers = calls.select("route_key", "mode").distinct().withColumn("number", F.row_number().over(order) - 1).select(
+        "route_key", (F.col("number") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, number % 64)").alias("bits"))
+    words = calls.join(numbers, "route_key").select("x", "y", "mode", "word", "bits")
+    met = radius_sets(origins, "block_id", words, ["mode", "word"], "bits", radii, lambda r: f"within_{int(r)}")
     routes = met.groupBy("block_id").agg(*[
-        F.count_if((F.col("lo") <= i) & (F.lit(True) if not g else F.col("mode") == g[:-1])).cast("double").alias(f"pt_{g}routes_within_{r}m")
-        for i, r in enumerate(sorted(radii)) for g in groups
+        F.sum(F.bit_count(f"within_{int(r)}") if not g else F.when(F.col("mode") == g[:-1], F.bit_count(f"within_{int(r)}")).otherwise(0)).cast("double").alias(f"pt_{g}routes_within_{r}m")
+        for r in sorted(radii) for g in groups
     ])
     out = sums.join(routes, "block_id", "left").na.fill(0.0)
     ratios = {}

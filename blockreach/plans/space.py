@@ -504,12 +504,12 @@ def _(spark, folder):
     return rounded(be.build_built_features(blocks, lines, plots, twin_adjacency(spark, folder)))
 
 
-@query("gr07_two_cities", f"""{GWITH}, one AS (SELECT a.block_id, {', '.join(f"coalesce(sum(b.p_size) FILTER (WHERE (abs(a.c - b.c) + abs(a.r - b.r)) * 100 + 5 <= greatest({r} - 10, 0)), 0.0)::DOUBLE AS jobs_{int(r)}" for r in GR7_RADII[:2])}
-  FROM grid a JOIN grid b ON abs(a.c - b.c) <= 20 AND abs(a.r - b.r) <= 20 GROUP BY a.block_id)
+@query("gr07_two_cities", f"""{GWITH}, one AS (SELECT a.block_id, {', '.join(f"coalesce(sum(b.p_size) FILTER (WHERE (abs(a.c - b.c) + abs(a.r - b.r)) * 100 + 5 <= greatest({r} - 10, 0)), 0.0)::DOUBLE AS jobs_{int(r)}" for r in GR7_RADII)}
+  FROM grid a JOIN grid b ON abs(a.c - b.c) <= 50 AND abs(a.r - b.r) <= 50 GROUP BY a.block_id)
   SELECT one.* EXCLUDE (block_id), city || ':' || block_id AS block_id FROM one, {TWIN_SQL}""")
 def _(spark, folder):
     edges = gr.road_graph(twins(raw_streets(spark, folder), lines=["line"]))
     nodes = gr.node_points(edges)
     origins = gr.snap(twins(lattice_points(spark, folder, 0.0, 10.0), x=["x"]), "block_id", nodes).withColumnRenamed("dist", "offset")
     destinations = gr.attach(twins(lattice_points(spark, folder, 3.0, 4.0), x=["x"]), "block_id", nodes, ["jobs"])
-    return gr.reachability_sums(edges, origins, destinations, nodes, ["jobs"], GR7_RADII[:2], lambda m, r: f"{m}_{int(r)}")
+    return gr.reachability_sums(edges, origins, destinations, nodes, ["jobs"], GR7_RADII, lambda m, r: f"{m}_{int(r)}")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blockreach.functions import geometry as G, schedule as S
 from blockreach.operators import cities as ct, transit as tr
 from blockreach.operators.overlay import with_edges
+from blockreach.operators.proximity import radius_matches
 from blockreach.plans import carriers as C, space
 from blockreach.plans.registry import q6, query, r6, rounded
 

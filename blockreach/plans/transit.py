@@ -312,5 +312,5 @@ def _(spark, folder):
 def _(spark, folder):
     reduced = service(spark, folder)
     calls = tr.place_routes(reduced).join(reduced.places, ["px", "py"])
-    met = tr.radius_matches(block_centres(spark, folder), "block_id", calls, "route_key", [800.0])
+    met = radius_matches(block_centres(spark, folder), "block_id", calls, "route_key", [800.0])
     return met.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_routes"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockreach.llm import alignment, bpe, byte_bpe, decontaminate, language, ranked_search, secrets, sharding, simhash, sketches, token_files, toxicity, warc
-from blockreach.llm.common import id_remainder, table, written
+from blockreach.llm.common import id_remainder, shared_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,7 +118,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(table(spark, folder, "documents"))
 
 
-# Damage of the audited replica: a flipped letter in one page of 40, one page of 60 unreadable.
+# Damage of the audited replica: another last byte in one record of 40, an unreadable first line in one of 60.
 FLIPPED, LOST = 40, 60
 
 
@@ -154,18 +154,22 @@ SELECT page_id, file, CAST(start AS BIGINT) AS start, "end", digest, root,
 FROM l JOIN roots USING (file)
 """)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit of a damaged replica of the archived pages: every record with its place, its file's root and its status."""
-    pages = table(spark, folder, "pages")
-    stored = written(warc.archived(pages), "archive")
+    """Audit of a damaged replica of the archived pages: both archives are written, read back and compared.
+
+    Every record of the archive with its place, its file's root and its status, and any record that only the replica has.
+    """
+    records = written(warc.archived(table(spark, folder, "pages"), with_record=True), "archive")
     bits = sharding.leading_bits(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    # The replica's flipped pages end with another character of the same size.
-    damaged = pages.withColumn("html", F.when(bits % FLIPPED == 0, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("#"))).otherwise(F.col("html")))
-    replica = written(warc.archived(damaged).where(bits % LOST != 1), "replica")
-    trees = warc.tree(stored), warc.tree(replica)
-    found = warc.differing_records(stored, replica, *trees).where("status <> 'extra'")
+    stored = []
+    for name, content in (("original", F.col("record")), ("replica", warc.damaged(F.col("record"), bits % FLIPPED == 0, bits % LOST == 1))):
+        place = shared_folder(spark, name)
+        warc.write_warc(records.select("file", "start", content.alias("record")), place)
+        stored.append(written(warc.read_warc(spark, place), f"{name}-records"))
+    trees = [warc.tree(s) for s in stored]
+    found = warc.differing_records(*stored, *trees)
     roots = trees[0][-1].select("file", F.col("hash").alias("root"))
     return (
-        stored.join(found, ["file", "start"], "left").join(roots, "file")
+        stored[0].join(found, ["file", "start"], "full").join(roots, "file", "left")
         .select("page_id", "file", "start", "end", "digest", "root", F.coalesce("status", F.lit("same")).alias("status"))
     )
 

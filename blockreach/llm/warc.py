@@ -25,6 +25,7 @@ from blockreach.llm.sharding import leading_bits
 RANGE_BITS = (16, 20, 24)  # offset ranges of the inner levels
 FILE_RECORDS = 1000
 HEADER_END = b"\r\n\r\n"
+VERSION = b"WARC/1.0\r\n"
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -54,7 +55,7 @@ def archived(pages: DataFrame, with_record: bool = False) -> DataFrame:
 
 
 def write_warc(records: DataFrame, folder: str) -> None:
-    """Write ``records (file, start, record)`` as one WARC file per number, into a folder all executors reach."""
+    """Write ``records (file, start, record)`` (texts or bytes) as one WARC file per number, into a folder all executors reach."""
     fs, path = open_folder(folder)
     fs.create_dir(path, recursive=True)
 
@@ -68,29 +69,34 @@ def write_warc(records: DataFrame, folder: str) -> None:
                         out.close()
                     # The bytes of a file are always the same, so a task run twice does no harm.
                     number, out = name, fs.open_output_stream(f"{path}/{name:06d}.warc")
-                out.write(text.encode())
+                out.write(text)
         if out is not None:
             out.close()
         yield from ()
 
-    ordered = records.repartition("file").sortWithinPartitions("file", "start").select("file", "record")
+    ordered = records.repartition("file").sortWithinPartitions("file", "start").select("file", F.col("record").cast("binary"))
     ordered.mapInArrow(write, "done int").count()
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all WARC files in a folder: ``file, start, end, page_id, digest``. Bytes that are no record end a file."""
+    """Records of all WARC files in a folder: ``file, start, end, page_id, digest``.
+
+    Bytes that are no whole record are passed over up to the next place where a record can start.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, at = [], 0
-                while content[at:at + 5] == b"WARC/":
+                while at < len(content):
                     head = content.find(HEADER_END, at)
                     fields = dict(line.split(b": ", 1) for line in content[at:head].split(b"\r\n")[1:] if b": " in line)
                     size = fields.get(b"Content-Length", b"")
                     end = head + 4 + int(size) + 4 if head >= 0 and size.isdigit() else 0
-                    if not at < end <= len(content):
-                        break
+                    if content[at:at + len(VERSION)] != VERSION or not at < end <= len(content):
+                        found = content.find(b"\r\n\r\n" + VERSION, at)
+                        at = found + 4 if found >= 0 else len(content)
+                        continue
                     page = fields.get(b"WARC-Record-ID", b"").removeprefix(b"<urn:page:").removesuffix(b">").decode("ascii", "ignore")
                     rows.append((int(name.rpartition("/")[2].removesuffix(".warc")), at, end, int(page) if page.lstrip("-").isdigit() else None, hashlib.sha256(content[at:end]).hexdigest()))
                     at = end
@@ -100,6 +106,14 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(parse, "file bigint, start bigint, end bigint, page_id bigint, digest string")
 
 
+def damaged(record: Column, flipped: Column, lost: Column) -> Column:
+    """Bytes of a record: with its last byte before the closing line ends replaced, or with an unreadable first line."""
+    held, place = record.cast("binary"), F.octet_length(record) - 4
+    own = F.substring(held, place, F.lit(1))
+    other = F.when(own == F.lit(b"#"), F.lit(b"@")).otherwise(F.lit(b"#"))
+    return F.when(lost, F.overlay(held, F.lit(b"????"), F.lit(1))).when(flipped, F.overlay(held, other, place)).otherwise(held)
+
+
 def ordered_hash(number: str, *values: str) -> Column:
     """sha256 of ``number:value…`` of all children in order of their number."""
     children = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.concat_ws(":", number, *values).alias("v"))))

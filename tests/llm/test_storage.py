@@ -80,3 +80,23 @@ def test_empty_archives(spark):
     full = written(warc.archived(pages(spark, 5)), "test-full")
     assert warc.audit(empty, empty).count() == 0
     assert {r["status"] for r in warc.audit(full, empty).collect()} == {"missing"}
+
+
+def test_audit_of_odd_pages_follows_its_sql(spark, tmp_path):
+    """Pages that are empty, null, repeated or end beyond ASCII: every record has the status of the damage rule."""
+    rng = random.Random(2)
+    rows = [(i, f"http://h/{i}", rng.choice(["café", "", None, "plain#", "日本", "WARC/1.0 in a page\r\n\r\n"]) if i % 3 else "x" * rng.randint(0, 3000)) for i in range(700)]
+    rows += [(None, None, None), (5, "again", "again"), (5, "again", "again")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op8(spark, str(tmp_path))
+    columns = sorted(got.columns)
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = db.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({ORACLES['op8_warc_audit']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(columns).collect())
+    assert {r["status"] for r in got.collect()} == {"same", "corrupt", "missing"}
+
+
+def test_audit_without_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert op8(spark, str(tmp_path)).count() == 0

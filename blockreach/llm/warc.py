@@ -38,20 +38,21 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def archived(pages: DataFrame, with_record: bool = False) -> DataFrame:
-    """Place and digest of every page's record: ``file, start, end, page_id, digest`` (with ``with_record`` also its text).
+def archived(pages: DataFrame, with_record: bool = False, **more: Column) -> DataFrame:
+    """Place and digest of every page's record: ``file, start, end, page_id, digest``, and columns ``more`` made from ``record`` (with ``with_record`` also its text).
 
-    Pages are dealt to files of about ``FILE_RECORDS`` records by a hash of the id, in order of id.
+    Pages are dealt to files of about ``FILE_RECORDS`` records by a hash of the id, in order of id (a null id last) and digest.
     """
     files = max(1, math.ceil(pages.count() / FILE_RECORDS))
-    rows = pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")).select(
+    kept = [*more, *(["record"] if with_record else [])]
+    rows = pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")).withColumns(more).select(
         (leading_bits(F.coalesce(F.col("page_id").cast("string"), F.lit(""))) % files).alias("file"), "page_id",
-        F.octet_length("record").cast("bigint").alias("size"), F.sha2("record", 256).alias("digest"), *(["record"] if with_record else []),
+        F.octet_length("record").cast("bigint").alias("size"), F.sha2("record", 256).alias("digest"), *kept,
     )
     # A file is of bounded size, so its window is too.
-    end = F.sum("size").over(Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
-    return placed.select("file", "start", "end", "page_id", "digest", *(["record"] if with_record else []))
+    order = Window.partitionBy("file").orderBy(F.asc_nulls_last("page_id"), "digest").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size"))
+    return placed.select("file", "start", "end", "page_id", "digest", *kept)
 
 
 def write_warc(records: DataFrame, folder: str) -> None:

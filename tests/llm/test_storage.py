@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from blockreach.llm import sharding, warc
 from blockreach.llm.common import open_folder, shared_folder, written
@@ -100,3 +101,17 @@ def test_audit_of_odd_pages_follows_its_sql(spark, tmp_path):
 def test_audit_without_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert op8(spark, str(tmp_path)).count() == 0
+
+
+def test_damaged_files_read_back_like_the_query(spark):
+    """Files of records damaged by the query's rule: reading goes on after an unreadable record, and the audit finds each."""
+    bits = sharding.leading_bits(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    stored = written(warc.archived(pages(spark, 600), with_record=True), "test-stored")
+    folder = shared_folder(spark, "test-damage")
+    content = warc.damaged(F.col("record"), bits % 40 == 0, bits % 60 == 1)
+    warc.write_warc(stored.select("file", "start", content.alias("record")), folder)
+    read = written(warc.read_warc(spark, folder), "test-damage-read")
+    found = {(r["file"], r["start"]): r["status"] for r in warc.audit(stored, read).collect()}
+    rule = F.when(bits % 60 == 1, "missing").when(bits % 40 == 0, "corrupt")
+    want = {(r["file"], r["start"]): r["status"] for r in stored.select("file", "start", rule.alias("status")).where("status is not null").collect()}
+    assert found == want and set(want.values()) == {"missing", "corrupt"}

@@ -377,7 +377,11 @@ def _(spark, folder):
 
 @query("set05_key_join", f"WITH {reach.REACH_SQL} SELECT block_id, {q6('jobs_1km', 4)} AS jobs_1km, amen_education_1km FROM reach")
 def _(spark, folder):
-    return rounded(components(spark, folder).select("block_id", "jobs_1km", "amen_education_1km"), digits=4)
+    """Two tables whose rows stand in different orders, joined by key."""
+    raw = cut_lineage(components(spark, folder).select("block_id", "jobs_1km", "amen_education_1km"))
+    jobs = raw.select("block_id", "jobs_1km").repartitionByRange("jobs_1km")
+    amenities = raw.select("block_id", "amen_education_1km").repartitionByRange(F.desc("block_id"))
+    return rounded(jobs.join(amenities, "block_id"), digits=4)
 
 
 # --- models --------------------------------------------------------------

@@ -7,10 +7,8 @@ where needed).
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockreach.functions.naming import direction, family_code, family_name, family_title, feature_label
 from blockreach.functions.numeric import minmax, undo_log1p
+from blockreach.operators.clusters import fit_starts, nearest_centre
 from blockreach.operators.metrics import top_per_group
 from blockreach.operators.boosting import BoostedTrees
 from blockreach.operators.quantiles import medians, quantiles, tied_ranks
@@ -27,14 +26,6 @@ from blockreach.session import cut_lineage
 
 # Weights of the selection priority.
 SHAP_WEIGHT, GAIN_WEIGHT, PROTECTED_BONUS = 0.75, 0.25, 0.15
-# Fits submitted at once; each runs its own jobs on the cluster.
-FITS_AT_ONCE = 4
-
-
-def side_by_side(fit: Callable, items: Sequence) -> list:
-    """``fit`` of every item, several at a time, in order."""
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        return list(pool.map(fit, items))
 
 
 # --- sampling ---------------------------------------------------------------------------------
@@ -341,10 +332,9 @@ def relabel_by_prediction(clusters: DataFrame, predictions: DataFrame) -> DataFr
 
 def cluster_attributions(shap: DataFrame, predictions: DataFrame, k: int = 5, starts: int = 50, seed: int = 42) -> tuple[DataFrame, float]:
     """k-means on standardised attribution vectors, best of several starts; assignments and silhouette."""
-    vectors = cut_lineage(standard_vectors(attribution_vectors(shap)).select("node_id", "features"))
-    models = side_by_side(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw_cluster_id").fit(vectors), range(starts))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    labelled = best.transform(vectors)
+    vectors = cut_lineage(standard_vectors(attribution_vectors(shap)).select("node_id", "features", vector_to_array("features").alias("x")))
+    centres, costs = fit_starts(vectors.select(F.xxhash64("node_id").alias("key"), "x"), k, starts, seed)
+    labelled = vectors.withColumn("raw_cluster_id", nearest_centre(F.col("x"), centres[costs.argmin()]))
     quality = ClusteringEvaluator(featuresCol="features", predictionCol="raw_cluster_id").evaluate(labelled)
     return relabel_by_prediction(labelled.select("node_id", "raw_cluster_id"), predictions), quality
 

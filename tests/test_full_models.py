@@ -47,11 +47,11 @@ def test_boosted_runs_use_the_full_settings(spark, asked, name, fits):
 def test_clusters_are_the_best_of_fifty_starts(spark, monkeypatch):
     started = []
 
-    def gather(fit, items):
-        started.extend(items)
+    def gather(rows, k, starts, seed):
+        started.extend(range(starts))
         raise Recorded
 
-    monkeypatch.setattr(ex, "side_by_side", gather)
+    monkeypatch.setattr(ex, "fit_starts", gather)
     with pytest.raises(Recorded):
         QUERIES["ml17_attribution_clusters"](spark, FOLDER)
     assert started == list(range(50))

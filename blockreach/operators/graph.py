@@ -422,12 +422,16 @@ def symmetric_smooth(edges: DataFrame, features: DataFrame, columns: Sequence[st
 
 
 def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Nodes within ``hops`` steps of each seed, the seed included: ``(seed, node)``."""
-    reached = seeds.select(F.col("node").alias("seed"), "node").distinct()
+    """Nodes within ``hops`` steps of each seed, the seed included: ``(seed, node)``.
+
+    Each hop is written before the next reads it, so plans stay as short as one hop.
+    """
+    edges = cut_lineage(edges.select("src", "dst").distinct())
+    reached = cut_lineage(seeds.select(F.col("node").alias("seed"), "node").distinct())
     frontier = reached
     for _ in range(hops):
         stepped = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
-        frontier = stepped.join(reached, ["seed", "node"], "left_anti")
+        frontier = cut_lineage(stepped.join(reached, ["seed", "node"], "left_anti"))
         reached = reached.unionByName(frontier)
     return reached
 

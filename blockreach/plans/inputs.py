@@ -275,6 +275,22 @@ def _(spark, folder):
     return layers.distance_weights(stored, tg.RADII_KM)
 
 
+@query("src19_equal_weights", "SELECT CAST(r AS INTEGER) AS radius, 0.2::DOUBLE AS weight FROM range(1, 6) t(r)")
+def _(spark, folder):
+    """No city has stored weights."""
+    stored = C.table(spark, folder, "customer", "c_nationkey", "c_acctbal").where("c_acctbal IS NULL")
+    return layers.distance_weights(stored.select(F.col("c_nationkey").alias("radius"), F.col("c_acctbal").cast("double").alias("weight")), tg.RADII_KM)
+
+
+@query("src19_partly_stored_weights", """SELECT CAST(r AS INTEGER) AS radius, coalesce(w, 0.2)::DOUBLE AS weight FROM range(1, 6) t(r)
+  LEFT JOIN (SELECT r_regionkey + 1 AS k, max(r_regionkey + 2) / 20.0 AS w FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 2 GROUP BY r_regionkey) ON k = r""")
+def _(spark, folder):
+    """Every nation of a region stores that region's weight; one region stores none."""
+    regions = C.table(spark, folder, "region", "r_regionkey").where("r_regionkey <> 2")
+    stored = C.table(spark, folder, "nation", "n_regionkey").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    return layers.distance_weights(stored.select((F.col("r_regionkey") + 1).cast("int").alias("radius"), ((F.col("r_regionkey") + 2) / 20.0).alias("weight")), tg.RADII_KM)
+
+
 @query("src14_coordinates", f"WITH {C.MODEL_SQL} SELECT node_id, city, block_id, x_m, y_m FROM model")
 def _(spark, folder):
     return layers.coordinates(C.model_table(spark, folder))

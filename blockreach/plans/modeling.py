@@ -368,6 +368,17 @@ def _(spark, folder):
     return rounded(tg.add_global_columns(once, added, promote=True).select("block_id", *AUGMENTED))
 
 
+@query("snk04_refreshed_cities", f"""WITH {LABELLED} SELECT node_id, city, {q6("CASE WHEN city IN ('city_3', 'city_7') THEN Y * 2 + 1 ELSE Y END")} AS "Y" FROM labelled""")
+def _(spark, folder):
+    """All cities are written, then two of them promoted to another target, twice."""
+    path, schema = sinks.scratch_folder(spark), "node_id string, Y double, city string"
+    rows = labelled(spark, folder).select("node_id", r6(F.col("Y")).alias("Y"), "city")
+    promoted = labelled(spark, folder).where(F.col("city").isin("city_3", "city_7")).select("node_id", r6(F.col("Y") * 2 + 1).alias("Y"), "city")
+    for step in (rows, promoted, promoted):
+        sinks.refresh_parts(step, path)
+    return sinks.read_parts(spark, path, schema).join(sinks.unsettled_parts(spark, path, schema), "city", "left_anti")
+
+
 @query("ml13_global_view", f"WITH {reach.REACH_SQL}, g AS ({global_sql('global_minmax')}) SELECT node_id, {q6('Y_global_minmax')} AS \"Y\" FROM g")
 def _(spark, folder):
     raw = cut_lineage(components(spark, folder))

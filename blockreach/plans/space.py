@@ -8,6 +8,7 @@ from blockreach.functions import geometry as G, projection as P, tags as T
 from blockreach.operators import backbone as bb, built_env as be, cities as ct, graph as gr, overlay as ov, target as tg
 from blockreach.plans import carriers as C
 from blockreach.plans.registry import q6, query, r6, rounded
+from blockreach.sources import sinks
 
 HIGHWAYS = ("residential", "primary", "path", "tertiary", "service", "motorway")
 HIGHWAY_SQL = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(HIGHWAYS)) + " END"
@@ -143,6 +144,14 @@ def _(spark, folder):
     return polygons(spark, folder).where(ov.in_box(730.0, 300.0, 1250.0, 910.0)).select("block_id")
 
 
+@query("flt01_clustered_layout", f"WITH {C.GRID_SQL} SELECT block_id FROM grid WHERE x0 <= 1250 AND x0 + 100 >= 730 AND y0 <= 910 AND y0 + 100 >= 300")
+def _(spark, folder):
+    """The same box over blocks written along a space-filling curve."""
+    path = sinks.scratch_folder(spark)
+    sinks.write_clustered(polygons(spark, folder).select("block_id", *ov.BOX), path)
+    return spark.read.schema("block_id string, minx double, miny double, maxx double, maxy double").parquet(path).where(ov.in_box(730.0, 300.0, 1250.0, 910.0)).select("block_id")
+
+
 def place(spark: SparkSession, folder: str) -> DataFrame:
     """A triangle over the lower left half of the layout, two block widths short of the right edge."""
     top = C.table(spark, folder, "part", "p_partkey").agg((F.floor(F.max("p_partkey") / C.COLUMNS) * 100.0).alias("h"))

@@ -3,11 +3,13 @@
 Texts are folded: lower case, accents and homoglyphs of other scripts to Latin letters, digits and signs
 that stand for letters to those letters. The lexicon holds whole words and word beginnings with weights
 learned from labelled rows: a cautious bound of the log-odds of toxic against other documents. A word
-weighs as its heaviest term; words inside an exception phrase weigh nothing. The sums, normalised by
-length in two ways, and the heaviest word go through a logistic curve fitted on the same rows.
+weighs as its heaviest term; words inside an exception phrase weigh nothing. Exception phrases are given
+ones and learned ones: pairs of neighbouring words with a weighing word in them that the labelled rows show
+to be ordinary. The sums, normalised by length in two ways, and the heaviest word go through a logistic
+curve fitted on the same rows.
 
-Learning takes a bounded sample of the labelled rows (``FIT_ROWS``, by a hash of the id); scoring reads
-whole texts. Without both labels in the sample the lexicon is empty and every text scores 0, or 1 if
+Learning takes a bounded sample of the labelled rows (at most ``FIT_ROWS``, by a hash of id and text; rows
+equal in both count once); scoring reads whole texts. Without both labels in the sample the lexicon is empty and every text scores 0, or 1 if
 all labelled rows are toxic. Null and empty texts are scored like texts without any term. Labels of
 ids that occur more than once count as toxic if any of them is. Only the named columns are read.
 """
@@ -23,7 +25,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from blockreach.llm.common import map_batches, text_slices, written
 
@@ -31,7 +33,7 @@ FIT_ROWS = 20_000
 MIN_TOXIC_DOCUMENTS = 3
 MIN_WEIGHT = 1.5
 CAUTION = 1.6  # standard errors taken off a log-odds ratio
-LEXICON_SIZE = 5_000
+MIN_ORDINARY_DOCUMENTS = 3
 PREFIX_LETTERS = range(4, 10)
 THRESHOLD = 0.3
 RIDGE = 0.01
@@ -89,9 +91,8 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def features(self, text: str | None) -> list[float]:
-        """Length-normalised sums of the word weights, the heaviest word, and a constant."""
-        words = fold(text)
+    def weighing(self, words: list[str]) -> dict[int, float]:
+        """Heaviest weight at the places (in the line of words) where weighing, unexcused words start."""
         line, heaviest, excused = f" {' '.join(words)} ", {}, []
         if len(self.automaton):
             for end, (weight, size) in self.automaton.iter(line):
@@ -109,9 +110,25 @@ class Matcher:
                     left, right = next(spans)
                 if start < reached:
                     del heaviest[start]
-        total, count = sum(heaviest.values()), len(words)
+        return heaviest
+
+    def features(self, text: str | None) -> list[float]:
+        """Length-normalised sums of the word weights, the heaviest word, and a constant."""
+        words = fold(text)
+        heaviest, count = self.weighing(words), len(words)
+        total = sum(heaviest.values())
         return [math.log1p(total), 10 * total / (count + 10), total / math.sqrt(count + 1), max(heaviest.values(), default=0.0), 1.0]
 
+    def phrases(self, text: str | None) -> set[str]:
+        """Pairs of neighbouring words of which one weighs at least."""
+        words = fold(text)
+        heaviest, start, out = self.weighing(words), 1, set()
+        for i, word in enumerate(words):
+            if start in heaviest:
+                out.update(" ".join(words[a:a + 2]) for a in (i - 1, i) if 0 <= a < len(words) - 1)
+            start += len(word) + 1
+        return out
+
 
 def score_of(features: np.ndarray, coefficients: list[float]) -> np.ndarray:
     """Logistic curve."""
@@ -119,47 +136,58 @@ def score_of(features: np.ndarray, coefficients: list[float]) -> np.ndarray:
 
 
 def sample_labelled(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """About ``fit_rows`` rows ``(text, toxic)`` of ``df`` with labels ``(doc_id, toxic)``, chosen by a hash of the id."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    share = min(1.0, fit_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = drawn.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    rows = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    # The drawn ids are bounded by fit_rows, so every task can hold them.
-    return written(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled-sample")
+    """At most ``fit_rows`` rows ``(text, toxic)`` of ``df`` with labels ``(doc_id, toxic)``, chosen by a hash of id and text."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    rows = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("hash"))
+    # Rows are drawn from those that have a label, so that their number is bounded however often an id occurs.
+    candidates = rows.select("doc_id", "hash").distinct().join(known, "doc_id")
+    chosen = written(candidates.orderBy(F.xxhash64("doc_id", "hash"), "doc_id").limit(fit_rows), "labelled-draw")
+    # At most fit_rows short rows, which every task can hold.
+    found = rows.join(F.broadcast(chosen), ["doc_id", "hash"])
+    return written(found.groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "labelled-sample")
 
 
-def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
-    """Learn from a written, bounded table ``(text, toxic)``."""
+def counted(sample: DataFrame, find) -> DataFrame:
+    """Toxic (``bad``) and other (``good``) documents of a sample by what ``find()`` finds in their texts."""
+
+    def count():
+        names_of = find()
 
-    def count_terms():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found: tuple[Counter, Counter] = Counter(), Counter()
             for text, y in zip(texts, toxic):
-                own = terms(set(fold(text)))
-                own.add("")  # counts the documents
-                found[y].update(own)
+                found[y].update(names_of(text))
             names = list(found[0] | found[1])
             return pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "bad": pa.array([found[1][n] for n in names], pa.int64()), "good": pa.array([found[0][n] for n in names], pa.int64())})
 
         return step
 
-    counts = map_batches(sample, "term string, bad bigint, good bigint", count_terms).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    # The best terms only: the lexicon is of bounded size.
-    kept = counts.where((F.col("bad") >= MIN_TOXIC_DOCUMENTS) | (F.col("term") == "")).orderBy((F.col("term") == "").desc(), (F.col("bad") / (F.col("good") + 1)).desc(), "term").limit(4 * LEXICON_SIZE).collect()
-    documents = next(((r["bad"], r["good"]) for r in kept if r["term"] == ""), (0, 0))
-    bad, good = documents
+    return map_batches(sample, "term string, bad bigint, good bigint", count).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def odds(bad: int, good: int) -> tuple[Column, Column]:
+    """Log-odds of toxic against other documents for a counted term, and its standard error."""
+
+    def side(n: str, of: int) -> Column:
+        return F.log((F.col(n) + 0.5) / (of - F.col(n) + 0.5))
+
+    return side("bad", bad) - side("good", good), F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+
+
+def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
+    """Learn from a written, bounded table ``(text, toxic)``; its size bounds the lexicon and the phrases."""
+    sizes = sample.agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")).first()
+    bad, good = sizes["bad"], sizes["good"]
     if not bad or not good:
         return ToxicityModel({}, exceptions, [0.0, 0.0, 0.0, 0.0, 40.0 if bad else -40.0])
-    weights: dict[str, float] = {}
-    for r in kept:
-        if r["term"]:
-            odds = math.log((r["bad"] + 0.5) / (bad - r["bad"] + 0.5)) - math.log((r["good"] + 0.5) / (good - r["good"] + 0.5))
-            weight = odds - CAUTION * math.sqrt(1 / (r["bad"] + 0.5) + 1 / (r["good"] + 0.5))
-            if weight > MIN_WEIGHT:
-                weights[r["term"]] = weight
-    lexicon = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_SIZE])
+    ratio, error = odds(bad, good)
+    weighed = counted(sample, lambda: lambda text: terms(set(fold(text)))).where(F.col("bad") >= MIN_TOXIC_DOCUMENTS).withColumn("weight", ratio - CAUTION * error)
+    lexicon = {r["term"]: r["weight"] for r in weighed.where(F.col("weight") > MIN_WEIGHT).orderBy(F.desc("weight"), "term").collect()}
+    # A pair is ordinary if it is no more often toxic than documents are, with one of each kind added.
+    share = (F.col("bad") + 1) / (F.col("bad") + F.col("good") + 2)
+    pairs = counted(sample, lambda: Matcher(lexicon, exceptions).phrases).where((F.col("good") >= MIN_ORDINARY_DOCUMENTS) & (share <= bad / (bad + good)))
+    exceptions = exceptions + tuple(sorted(r["term"] for r in pairs.select("term").collect()))
 
     def measure():
         matcher = Matcher(lexicon, exceptions)

@@ -54,3 +54,18 @@ def test_odd_rows(spark):
     empty = X.learn(sample.limit(0))
     assert {r["score"] for r in X.score_documents(df, empty).collect()} == {X.score_of(np.array([[0, 0, 0, 0, 1]]), empty.coefficients)[0]}
     assert X.score_documents(df.limit(0), model).count() == 0
+
+
+def test_repeated_id_stays_within_the_sample(spark):
+    df = spark.range(3000).select(X.F.lit(7).cast("long").alias("doc_id"), X.F.concat(X.F.lit("text "), X.F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    assert X.sample_labelled(df, labels, fit_rows=100).count() == 100
+    assert X.sample_labelled(df.withColumn("text", X.F.lit("same")), labels, fit_rows=100).count() == 1
+
+
+def test_ordinary_pairs_become_exceptions(spark):
+    rows = [(f"you are a weasel number {i}", True) for i in range(40)] + [(f"the weasel family of animals {i}", False) for i in range(12)] + [(f"a quiet day {i}", False) for i in range(400)]
+    model = X.learn(spark.createDataFrame(rows, "text string, toxic boolean").repartition(3), exceptions=("given phrase",))
+    assert "weasel " in model.lexicon and {"given phrase", "the weasel", "weasel family"} <= set(model.exceptions) and "a weasel" not in model.exceptions
+    matcher = X.Matcher(model.lexicon, model.exceptions)
+    assert matcher.features("look at the weasel")[0] == 0 < matcher.features("you weasel")[0]

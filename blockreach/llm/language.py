@@ -162,7 +162,8 @@ def sample_labelled(rows: DataFrame, total: int = FIT_ROWS) -> DataFrame:
     each = max(1, total // max(1, counts.count()))
     # Some more than needed are drawn, so that a language all but never comes short; the ranking sees only those.
     draw = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
-    drawn = distinct.join(counts, "lang").withColumn("draw", draw).where(F.col("draw") * F.col("n") < 2 * each + 30)
+    # One row per language, as in the draw below; drawing before the shuffle keeps a common language small.
+    drawn = distinct.join(F.broadcast(counts), "lang").withColumn("draw", draw).where(F.col("draw") * F.col("n") < 2 * each + 30)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "hash"))
     chosen = written(drawn.withColumn("place", place).where(F.col("place") <= each).select("hash", "lang"), "language-draw")
     # One short row per sampled text: FIT_ROWS, or one per language.

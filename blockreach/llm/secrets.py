@@ -182,20 +182,15 @@ def replaced(text: Column, sorted_spans: Column, mark: str = MARK) -> Column:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", scope: int = SCOPE) -> DataFrame:
     """All rows with their secrets replaced by ``MARK``, and ``length_col`` (if there) set to the new length."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Most texts have no weak candidate at all; one pattern tells, and only the others are looked at for links.
-    some_weak = F.rlike(text, F.lit(f"{WEAK_ACCESS}|{WEAK_KEY}|{ENDPOINT}"))
-    plain = df.where(~some_weak).withColumn("__spans", base_spans(text))
-    marked = df.where(some_weak).withColumn("__base", base_spans(text)).withColumn("__weak", weak_spans(text, F.col("__base")))
-    marked = marked.withColumn("__key", F.coalesce(
-        candidate_key(F.col(id_col), text, F.col("__base"), F.col("__weak")), F.concat(F.lit("~"), F.xxhash64(text).cast("string"))
-    ))
-    # Rows that link nothing have keys of their own, which spreads them in the join.
-    parts = marked.select(F.when(~F.startswith("__key", F.lit("~")), F.col("__key")).alias("key"), F.col("__base").alias("base"), F.col("__weak").alias("weak"))
-    linked = linked_spans(written(parts, "secret-parts"), scope)
+    # All patterns run once; the spans are written beside the rows.
+    marked = df.withColumn("__base", base_spans(text)).withColumn("__weak", weak_spans(text, F.col("__base")))
+    marked = written(marked.withColumn("__key", candidate_key(F.col(id_col), text, F.col("__base"), F.col("__weak"))), "rows-with-spans")
+    linked = linked_spans(marked.select(F.col("__key").alias("key"), F.col("__base").alias("base"), F.col("__weak").alias("weak")), scope)
     none = F.array().cast(f"array<{SPAN}>")
-    joint = marked.join(linked.withColumnsRenamed({"key": "__key", "linked": "__linked"}), "__key", "left")
-    joint = joint.withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce("__linked", none))))
     columns = [F.col(f"`{c}`") for c in df.columns]
+    plain = marked.where("__key is null").withColumn("__spans", F.col("__base"))
+    joint = marked.where("__key is not null").join(linked.withColumnsRenamed({"key": "__key", "linked": "__linked"}), "__key", "left")
+    joint = joint.withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce("__linked", none))))
     both = plain.select(*columns, "__spans").unionByName(joint.select(*columns, "__spans"))
     out = both.withColumn(text_col, F.when(F.size("__spans") > 0, replaced(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
     if length_col and length_col in df.columns:

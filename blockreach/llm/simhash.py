@@ -216,18 +216,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(groups(prints, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each group stays: that of the smallest id (a null id comes last), then of the smallest text hash.
-
-    Rows equal in id and text are one row. All columns are kept.
-    """
-    prints = written(with_fingerprints(df, id_col, text_col), "document-fingerprints")
-    members = prints.join(groups(prints, radius).withColumnRenamed("component_id", "grp"), "fp")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("twin"))
-    # A null component holds documents without id; their fingerprint tells such groups apart.
-    whole = [F.col("grp"), F.when(F.col("grp").isNull(), F.col("fp"))]
-    kept = written(members.groupBy(*whole).agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n")).select("k.doc_id", "k.twin"), "kept")
-    twice = written(prints.groupBy("doc_id", "twin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "twin"), "repeated")
+def keep_rows(df: DataFrame, kept: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id and text hash are in ``kept``, one of those equal in both; ``rows`` holds ``doc_id, twin`` of all."""
+    twice = written(rows.groupBy("doc_id", "twin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "twin"), "repeated")
     keyed = df.withColumn("__twin", F.xxhash64(text_col))
 
     def same(other: DataFrame):
@@ -239,3 +230,17 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     twins = chosen.join(twice, chosen[id_col].eqNullSafe(twice["doc_id"]) & (chosen["__twin"] == twice["twin"]), "left_semi").dropDuplicates([id_col, "__twin"])
     single = chosen.join(twice, chosen[id_col].eqNullSafe(twice["doc_id"]) & (chosen["__twin"] == twice["twin"]), "left_anti")
     return single.unionByName(twins).drop("__twin")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each group stays: that of the smallest id (a null id comes last), then of the smallest text hash.
+
+    Rows equal in id and text are one row. All columns are kept.
+    """
+    prints = written(with_fingerprints(df, id_col, text_col), "document-fingerprints")
+    members = prints.join(groups(prints, radius).withColumnRenamed("component_id", "grp"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("twin"))
+    # A null component holds documents without id; their fingerprint tells such groups apart.
+    whole = [F.col("grp"), F.when(F.col("grp").isNull(), F.col("fp"))]
+    kept = written(members.groupBy(*whole).agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n")).select("k.doc_id", "k.twin"), "kept")
+    return keep_rows(df, kept, prints, id_col, text_col)

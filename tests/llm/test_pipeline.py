@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from blockreach.llm import language
 from blockreach.llm.queries import language_model, vocabulary_path
-from tests_llm_brute import brute_components, brute_contamination, brute_fingerprint, brute_redacted, brute_spans
+from tests_llm_brute import brute_contamination, brute_near_texts, brute_redacted, brute_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def expected(spark, docs, items):
     """Surviving ``doc_id, text`` by stage, from plain Python."""
     kept = [(d, t) for d, t in docs if language.has_letter(t)]
     stages = [kept]
-    components = brute_components({d: brute_fingerprint(t) for d, t in kept})
+    components = brute_near_texts(dict(kept))
     kept = [(d, t) for d, t in kept if components[d] == d]
     stages.append(kept)
     flags = brute_contamination([t for _, t in kept], items)

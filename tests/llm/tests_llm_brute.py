@@ -68,6 +68,31 @@ def brute_components(prints):
     return {i: root(i) for i in ids}
 
 
+def brute_shingles(text, words=5):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def brute_near_texts(texts):
+    """Per id the smallest id reachable over pairs of five-word similarity 0.8 or more."""
+    ids, sets = list(texts), {i: brute_shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
 def brute_contamination(texts, items, window=10):
     def words(t):
         low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")

@@ -6,7 +6,8 @@ last return the columns of their input; the last returns token ids.
 
 * language: documents without a determined language go; the model learns from the stage's own documents
   (those with a label whose id remainder is not 1).
-* near-duplicates: of each group the document with the smallest id stays.
+* near-duplicates: of each group of near copies (five-word similarity of 0.8 or more) the document with the
+  smallest id stays.
 * decontamination: documents with any benchmark window go.
 * secrets: found secrets are replaced by a mark, ``n_chars`` follows.
 * encoding: ids of every document, its token count, and hashes of ids and decoding.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockreach.llm import bpe, decontaminate, language, secrets, simhash
+from blockreach.llm import bpe, decontaminate, language, near_texts, secrets
 from blockreach.llm.common import table, written
 from blockreach.llm.queries import language_model, vocabulary_path
 
@@ -29,8 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies."""
+    return near_texts.drop_near_texts(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

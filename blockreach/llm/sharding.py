@@ -3,7 +3,8 @@
 The directory is indexed by leading bits of a hash of the document key. A bucket splits on one more bit
 only while it is over the byte limit, so every shard is the shortest prefix that fits. Bytes are summed
 per cell of a fine prefix first, the prefixes above are summed from the cells, and only the rows of cells
-that are still over the limit are looked at again with more bits.
+that are still over the limit are looked at again with more bits. Cells, prefixes and the directory grow with
+the table, so they meet the rows in merge joins and are never broadcast.
 
 Rows of one key share all its bits: such a bucket goes on splitting on bits of a text hash, and identical
 rows, which no hash can part, are dealt to numbered overflow pages of as many rows as fit. A single row
@@ -47,9 +48,9 @@ def split_buckets(rows: DataFrame, scope: list[str], bits: str, limit: int, firs
         levels = cells.select(*scope, "cell", "n_bytes", "n", F.explode(F.sequence(F.lit(above), F.lit(depth))).alias("depth"))
         levels = levels.withColumn("at", F.expr(f"shiftright(cell, {depth} - depth)"))
         fitting = levels.groupBy(*scope, "depth", "at").agg(F.sum("n_bytes").alias("total"), F.sum("n").alias("n")).where((F.col("total") <= limit) | (F.col("n") == 1))
-        chosen = levels.drop("n_bytes", "n").join(fitting, [*scope, "depth", "at"]).groupBy(*scope, "cell").agg(F.min(F.struct("depth", "at", "total")).alias("shard"))
-        directory = written(cells.select(*scope, "cell", "single").join(chosen, [*scope, "cell"], "left"), "directory")
-        located = pending.withColumn("cell", F.shiftright(bits, HASH_BITS - depth)).join(directory, [*scope, "cell"])
+        chosen = levels.drop("n_bytes", "n").join(fitting.hint("merge"), [*scope, "depth", "at"]).groupBy(*scope, "cell").agg(F.min(F.struct("depth", "at", "total")).alias("shard"))
+        directory = written(cells.select(*scope, "cell", "single").join(chosen.hint("merge"), [*scope, "cell"], "left"), "directory")
+        located = pending.withColumn("cell", F.shiftright(bits, HASH_BITS - depth)).join(directory.hint("merge"), [*scope, "cell"])
         settled.append(located.where("shard IS NOT NULL").select(*rows.columns, F.col("shard.depth").alias("depth"), F.col("shard.at").alias("at"), F.col("shard.total").alias("shard_bytes")))
         left = directory.where("shard IS NULL").agg(F.count_if("single").alias("single"), F.count_if(~F.col("single")).alias("more")).first()
         if left["single"]:

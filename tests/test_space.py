@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from blockreach.functions import geometry as G, projection as P
 from blockreach.operators import built_env as be, graph as gr, overlay as ov
 from blockreach.operators.proximity import build_tree, nearest, radius_sums
+from blockreach.plans import carriers as C
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -206,3 +207,21 @@ def test_table_zone_weighs_by_area(spark):
     df = spark.createDataFrame(rows, "city string, rings array<array<struct<x:double,y:double>>>")
     # The large triangle's centroid (7.57) outweighs the small one's (5.17): zone 32.
     assert {r["city"]: r["epsg"] for r in table_utm_zone(df, ["city"]).collect()} == {"a": 32632, "b": 32731}
+
+
+def test_cell_joins_never_broadcast_a_layer(spark):
+    """Exploded cells are far more bytes than Spark's size check expects, so no side may be broadcast."""
+    blocks = ov.with_edges(C.grid_blocks(spark, "/root/testdata/sf0.001"))
+    points = spark.range(100).select("id", (F.col("id") * 7.0).alias("x"), (F.col("id") * 3.0).alias("y"))
+    plots = blocks.select(F.col("block_id").alias("other"), "edges", *ov.BOX)
+    for joined in (gr.rook_adjacency(blocks), ov.points_in_polygons(points, blocks), ov.overlap_polygons(blocks, plots)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_rows_are_dealt_out_before_they_fan_out(spark):
+    """One input file split must not cut all borders or file all shapes alone."""
+    blocks = ov.with_edges(C.grid_blocks(spark, "/root/testdata/sf0.001").coalesce(1))
+    for joined in (gr.rook_adjacency(blocks), ov.box_pairs(blocks.select("block_id", *ov.BOX), blocks.select("edges", *ov.BOX))):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("RoundRobinPartitioning") == 2

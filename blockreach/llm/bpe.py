@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from blockreach.llm.common import map_batches, text_slices
+from blockreach.llm.common import array_slices, map_batches
 
 LONG_WORD = 256
 CACHE_PIECES = 300_000
+# Bytes of text that a task encodes at once.
+ENCODED_BYTES = 1_000_000
 CACHED_PIECE_BYTES = 64
 NO_RANK = np.int32(2**31 - 1)
 
@@ -256,24 +259,28 @@ def encode_texts(vocabulary: Vocabulary, cache: PieceCache, texts: list[str | No
     return out
 
 
-def encode_documents(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def encode_documents(
+    df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, with_decoded: bool | None = None
+) -> DataFrame:
     """Per row its id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; with ``with_text`` also ``ids`` and ``decoded``.
 
-    Only the two named columns are read, so other columns cannot clash.
+    ``with_decoded=False`` leaves out ``decoded`` alone. Only the two named columns are read, so other columns cannot clash.
     """
     id_type = dict(df.dtypes)[id_col]
-    extra = ", ids array<int>, decoded string" if with_text else ""
+    with_decoded = with_text if with_decoded is None else with_decoded
+    extra = (", ids array<int>" if with_text else "") + (", decoded string" if with_decoded else "")
 
     def make():
         vocabulary = load_vocabulary(vocabulary_path)
         cache = PieceCache(lambda pieces: encode_pieces(vocabulary, pieces))
 
-        def step(batch: pa.RecordBatch) -> pa.Table:
-            texts, parts = batch.column(1).to_pylist(), []
-            for a, b in text_slices(texts):
-                coded = encode_texts(vocabulary, cache, texts[a:b])
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            # A slice leaves before the next is read: a task holds the texts and results of one.
+            start = 0
+            for texts in array_slices(batch.column(1), ENCODED_BYTES):
+                coded = encode_texts(vocabulary, cache, texts.to_pylist())
                 columns = {
-                    "doc_id": batch.column(0).slice(a, b - a),
+                    "doc_id": batch.column(0).slice(start, len(texts)),
                     "n_tokens": pa.array([len(i) // 4 for i, _ in coded], pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i, _ in coded]),
                     "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for _, d in coded]),
@@ -282,9 +289,10 @@ def encode_documents(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
                     offsets = np.cumsum([0, *(len(i) // 4 for i, _ in coded)]).astype(np.int32)
                     flat = np.frombuffer(b"".join(i for i, _ in coded), "<i4")
                     columns["ids"] = pa.ListArray.from_arrays(offsets, flat)
+                if with_decoded:
                     columns["decoded"] = pa.array([d.decode() for _, d in coded])
-                parts.append(pa.table(columns))
-            return pa.concat_tables(parts)
+                start += len(texts)
+                yield pa.RecordBatch.from_pydict(columns)
 
         return step
 

@@ -84,8 +84,8 @@ def array_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[pa.Array
         start = stop
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]]) -> DataFrame:
-    """Run the function that ``make`` builds once per task over every Arrow batch of ``df``."""
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | Iterator[pa.RecordBatch]]]) -> DataFrame:
+    """Run the function that ``make`` builds once per task over every Arrow batch of ``df``; it may yield its result in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
@@ -93,7 +93,9 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
             if batch.num_rows:
                 step = step or make()
                 out = step(batch)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+                if isinstance(out, pa.Table):
+                    out = out.to_batches()
+                yield from [out] if isinstance(out, pa.RecordBatch) else out
 
     return df.mapInArrow(run, schema)
 

@@ -46,7 +46,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode_documents(docs, vocabulary_path()).drop("decoded")
+    return bpe.encode_documents(docs, vocabulary_path(), with_decoded=False)
 
 
 STAGES = [

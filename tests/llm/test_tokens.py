@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -98,3 +99,18 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
     found = token_files.find_slots(levels, strangers)
     prints = token_files.fingerprints(keys)[np.argsort(slots)]
     assert (prints[found[found >= 0]] == token_files.fingerprints(strangers)[found >= 0]).sum() == 0
+
+
+def test_encoded_slices_leave_one_by_one(spark, library, monkeypatch):
+    """A task must not hold the results of a whole batch; ``decoded`` alone can be left out."""
+    monkeypatch.setattr(bpe, "ENCODED_BYTES", 64)
+    texts = random_texts(50)
+    captured = {}
+    monkeypatch.setattr(bpe, "map_batches", lambda df, schema, make: captured.update(schema=schema, make=make))
+    bpe.encode_documents(spark.createDataFrame([(0, "")], "doc_id long, text string"), vocabulary_path(), with_decoded=False)
+    assert "decoded string" not in captured["schema"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    parts = list(captured["make"]()(batch))
+    assert len(parts) > 5 and all("decoded" not in p.schema.names for p in parts)
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(r["doc_id"], r["ids"]) for r in rows] == [(i, expected(library, t)[0]) for i, t in enumerate(texts)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockreach.functions import geometry as G, projection as P
-from blockreach.operators import built_env as be, graph as gr, overlay as ov
+from blockreach.operators import built_env as be, graph as gr, overlay as ov, proximity as px
 from blockreach.operators.proximity import build_tree, nearest, radius_sums
 from blockreach.plans import carriers as C
 
@@ -225,3 +225,23 @@ def test_rows_are_dealt_out_before_they_fan_out(spark):
     for joined in (gr.rook_adjacency(blocks), ov.box_pairs(blocks.select("block_id", *ov.BOX), blocks.select("edges", *ov.BOX))):
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert plan.count("RoundRobinPartitioning") == 2
+
+
+def test_radius_sums_open_cells_by_groups_of_origins(spark, monkeypatch):
+    """Groups of any size give the sums of brute force; no row per origin and cell is made."""
+    rng = random.Random(11)
+    spots = [(i, rng.gauss(0, 40), rng.gauss(0, 40), float(rng.randint(1, 9))) for i in range(400)]
+    spots += [(400 + i, 20.0, 20.0, 1.0) for i in range(50)] + [(450, 5.0, 5.0, None)]
+    asked = [(i, rng.gauss(0, 60), rng.gauss(0, 60)) for i in range(300)] + [(300, 20.0, 20.0), (301, 20.0, 20.0), (302, None, 1.0), (303, 9e5, 9e5)]
+    points = spark.createDataFrame(spots, "pid long, x double, y double, v double")
+    origins = spark.createDataFrame(asked, "id long, x double, y double")
+    monkeypatch.setattr(px, "GROUP_POSITIONS", 64)
+    rows_of_cells = []
+    levels = px._group_levels
+    monkeypatch.setattr(px, "_group_levels", lambda *a: (rows_of_cells.append(m.count()) or m for m in levels(*a)))
+    got = {r["id"]: (r["v_10"], r["v_50"]) for r in radius_sums(origins, "id", points, ["v"], [10.0, 50.0], lambda m, r: f"{m}_{int(r)}").collect()}
+    assert len(got) == len(asked)
+    for i, x, y in asked:
+        want = [0.0 if x is None else sum(w or 0.0 for _, a, b, w in spots if (a - x) ** 2 + (b - y) ** 2 <= r * r) for r in (10.0, 50.0)]
+        assert got[i] == pytest.approx(want)
+    assert sum(rows_of_cells) < 2 * len(asked)

@@ -245,3 +245,22 @@ def test_radius_sums_open_cells_by_groups_of_origins(spark, monkeypatch):
         want = [0.0 if x is None else sum(w or 0.0 for _, a, b, w in spots if (a - x) ** 2 + (b - y) ** 2 <= r * r) for r in (10.0, 50.0)]
         assert got[i] == pytest.approx(want)
     assert sum(rows_of_cells) < 2 * len(asked)
+
+
+def test_nearest_opens_cells_by_groups_of_origins(spark, monkeypatch):
+    """Keys, ties, copies, missing positions and groups of several origins against brute force."""
+    rng = random.Random(12)
+    spots = [(f"p{i:03d}", "ab"[i % 2], float(rng.randint(0, 40)), float(rng.randint(0, 40))) for i in range(200)]
+    asked = [(i, "abc"[i % 3], float(rng.randint(-5, 45)), float(rng.randint(-5, 45))) for i in range(150)] + [(150, "a", None, 1.0)]
+    points = spark.createDataFrame(spots, "pid string, k string, x double, y double")
+    origins = spark.createDataFrame(asked, "id long, k string, x double, y double")
+    monkeypatch.setattr(px, "NEAREST_GROUP", 8)
+    got = {r["id"]: (r["k"], r["pid"], r["dist"]) for r in nearest(origins, "id", points, "pid", ["k"]).collect()}
+    want = {}
+    for i, k, x, y in asked:
+        if x is not None and k != "c":
+            d2, pid = min(((a - x) ** 2 + (b - y) ** 2, p) for p, q, a, b in spots if q == k)
+            want[i] = (k, pid, math.sqrt(d2))
+    assert got == want
+    assert nearest(origins, "id", points.limit(0), "pid", ["k"]).count() == 0
+    assert nearest(origins.drop("k"), "id", points.drop("k").limit(0), "pid").count() == 0

@@ -19,11 +19,17 @@ MODE_CODES = {
 
 def clock_minutes(text: Column) -> Column:
     """``H:M:S`` text to minutes after midnight; hours past 24 are kept, bad text is null."""
-    parts = F.split(text, ":")
-    hour, minute, second = (to_number(F.get(parts, F.lit(i))) for i in range(3))
-    # Nearly all times are plain digits, which need no further checks.
-    h, m, s = (F.split_part(text, F.lit(":"), F.lit(i)).cast("double") for i in (1, 2, 3))
-    return F.when(text.rlike(r"^\d+:\d+:\d+$"), h * 60 + m + s / 60).otherwise(hour * 60 + minute + second / 60)
+
+    def minutes(t: Column, parts: Column) -> Column:
+        part = [F.get(parts, F.lit(i)) for i in range(3)]
+        hour, minute, second = (to_number(p) for p in part)
+        # Nearly all times are plain digits, which need no further checks.
+        h, m, s = (p.try_cast("double") for p in part)
+        return F.when(t.rlike(r"^\d+:\d+:\d+$"), h * 60 + m + s / 60).otherwise(hour * 60 + minute + second / 60)
+
+    # Bound by lambdas, so that an expression behind ``text`` and the parts are computed once and not at each mention.
+    cut = lambda t: F.get(F.transform(F.array(F.split(t, ":")), lambda parts: minutes(t, parts)), F.lit(0))
+    return F.get(F.transform(F.array(text), cut), F.lit(0))
 
 
 def is_peak(minutes: Column) -> Column:

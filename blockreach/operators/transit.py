@@ -29,12 +29,12 @@ WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday")
 
 @dataclass(frozen=True)
 class Service:
-    """The reduced schedule."""
+    """The reduced schedule, down to its finest part asked for."""
 
     stops: DataFrame  # feed_idx, stop_key, x, y, px, py: boarding stops in use
-    by_route: DataFrame  # stop_key, px, py, route_key, route_type, mode + departures, peak, first, last
-    by_time: DataFrame  # feed_idx, stop_key, px, py, departure_min: distinct departure times
     places: DataFrame  # px, py, x, y: physical stops
+    by_route: DataFrame | None  # stop_key, px, py, route_key, route_type, mode + departures, peak, first, last
+    by_time: DataFrame | None  # feed_idx, stop_key, px, py, departure_min: distinct departure times
 
 
 def active_services(calendar: DataFrame | None, trips: DataFrame) -> DataFrame:
@@ -85,34 +85,51 @@ def boarding_stops(stops: DataFrame, project=None) -> DataFrame:
     )
 
 
+def _route_sums(timed: DataFrame) -> DataFrame:
+    return timed.groupBy("stop_key", "route_key").agg(
+        F.sum("n").alias("departures"), F.sum("peak").alias("peak"),
+        F.min("departure_min").alias("first"), F.max("departure_min").alias("last"),
+    )
+
+
 def reduce_schedule(
-    stops: DataFrame, routes: DataFrame, trips: DataFrame, stop_times: DataFrame, calendar: DataFrame | None, project=None
+    stops: DataFrame, routes: DataFrame, trips: DataFrame, stop_times: DataFrame, calendar: DataFrame | None, project=None, finest: str = "times"
 ) -> Service:
-    """From raw schedule tables (all text, with ``feed_idx``) to the reduced :class:`Service`."""
+    """From raw schedule tables (all text, with ``feed_idx``) to the reduced :class:`Service`.
+
+    ``finest``: the finest part asked for, one of stops, routes and times. Distinct departure times are
+    nearly as many as departures, so they are neither grouped nor written for the coarser parts.
+    """
+    if finest not in ("stops", "routes", "times"):
+        raise ValueError("finest must be one of: stops, routes, times")
     events = departures(stop_times, trips, active_services(calendar, trips))
     # One pass over the schedule, combined on the map side, so a stop with a third of all departures is
     # no hot spot. It feeds every feature and is written once.
-    timed = cut_lineage(events.groupBy("stop_key", "route_key", "departure_min").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_peak").alias("peak"),
-    ))
-    per_route = timed.groupBy("stop_key", "route_key").agg(
-        F.sum("n").alias("departures"), F.sum("peak").alias("peak"),
-        F.min("departure_min").alias("first"), F.max("departure_min").alias("last"),
+    one = events.withColumns({"n": F.lit(1), "peak": F.col("is_peak").cast("int")})
+    reduced = {
+        "stops": lambda: cut_lineage(events.select("stop_key").distinct()),
+        "routes": lambda: cut_lineage(_route_sums(one)),
+        "times": lambda: cut_lineage(one.groupBy("stop_key", "route_key", "departure_min").agg(F.sum("n").alias("n"), F.sum("peak").alias("peak"))),
+    }[finest]()
+    used = boarding_stops(stops, project).join(reduced.select("stop_key").distinct(), "stop_key", "left_semi")
+    places = used.groupBy("px", "py").agg(F.min_by(F.struct("x", "y"), "stop_key").alias("at")).select(
+        "px", "py", "at.x", "at.y"
     )
-    used = boarding_stops(stops, project).join(timed.select("stop_key").distinct(), "stop_key", "left_semi")
+    if finest == "stops":
+        return Service(used, places, None, None)
     kinds = routes.select(
         S.feed_key(F.col("feed_idx"), F.col("route_id")).alias("route_key"), "route_type",
         S.route_mode(F.col("route_type")).alias("mode"),
     )
+    per_route = reduced if finest == "routes" else _route_sums(reduced)
     by_route = per_route.join(used.select("stop_key", "px", "py"), "stop_key").join(kinds, "route_key", "left")
     by_route = by_route.withColumn("mode", F.coalesce("mode", F.lit("other")))
-    by_time = timed.select("stop_key", "departure_min").distinct().join(
+    if finest == "routes":
+        return Service(used, places, by_route, None)
+    by_time = reduced.select("stop_key", "departure_min").distinct().join(
         used.select("feed_idx", "stop_key", "px", "py"), "stop_key"
     )
-    places = used.groupBy("px", "py").agg(F.min_by(F.struct("x", "y"), "stop_key").alias("at")).select(
-        "px", "py", "at.x", "at.y"
-    )
-    return Service(used, by_route, by_time, places)
+    return Service(used, places, by_route, by_time)
 
 
 def stops_in_blocks(stops: DataFrame, polygons: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ def block_centres(spark: SparkSession, folder: str) -> DataFrame:
     return C.grid(spark, folder).select("block_id", (F.col("x0") + 50.0).alias("x"), (F.col("y0") + 50.0).alias("y"))
 
 
-def service(spark: SparkSession, folder: str) -> tr.Service:
-    return tr.reduce_schedule(**C.schedule_tables(spark, folder))
+def service(spark: SparkSession, folder: str, finest: str = "times") -> tr.Service:
+    return tr.reduce_schedule(**C.schedule_tables(spark, folder), finest=finest)
 
 
 def stop_block(spark: SparkSession, folder: str, reduced: tr.Service) -> DataFrame:
@@ -64,25 +64,25 @@ def _(spark, folder):
 
 @query("flt04_stops_in_use", f"{WITH} SELECT stop_key, px, py FROM stops")
 def _(spark, folder):
-    return service(spark, folder).stops.select("stop_key", "px", "py")
+    return service(spark, folder, "stops").stops.select("stop_key", "px", "py")
 
 
 @query("jn02_service_by_route", f"""{WITH} SELECT stop_key, route_key, any_value(route_type) AS route_type, any_value(mode) AS mode, count(*) AS departures,
   count_if(is_peak) AS peak, {q6('min(departure_min)')} AS "first", {q6('max(departure_min)')} AS "last" FROM service_events GROUP BY stop_key, route_key""")
 def _(spark, folder):
-    return rounded(service(spark, folder).by_route.drop("px", "py"))
+    return rounded(service(spark, folder, "routes").by_route.drop("px", "py"))
 
 
 @query("jn10_stops_in_blocks", f"{WITH} SELECT stop_key, px, py, block_id FROM stop_block")
 def _(spark, folder):
-    return stop_block(spark, folder, service(spark, folder))
+    return stop_block(spark, folder, service(spark, folder, "stops"))
 
 
 @query("ag01_stop_counts", f"""{WITH} SELECT g.block_id, coalesce(n, 0.0) AS pt_stop_count, {q6('coalesce(n, 0.0) / 0.01')} AS pt_stop_density_per_km2
   FROM grid g LEFT JOIN (SELECT block_id, CAST(count(DISTINCT (px, py)) AS DOUBLE) AS n FROM stop_block GROUP BY block_id) s ON g.block_id = s.block_id""")
 def _(spark, folder):
     polygons = block_polygons(spark, folder)
-    counts = tr.stop_counts(tr.stops_in_blocks(service(spark, folder).stops, polygons))
+    counts = tr.stop_counts(tr.stops_in_blocks(service(spark, folder, "stops").stops, polygons))
     out = polygons.select("block_id", "area_km2").join(counts, "block_id", "left").na.fill(0.0, ["pt_stop_count"])
     density = tr.safe_divide(F.col("pt_stop_count"), F.col("area_km2"), 0.0)
     return rounded(out.select("block_id", "pt_stop_count", density.alias("pt_stop_density_per_km2")))
@@ -96,7 +96,7 @@ BLOCK_SQL = f"""SELECT block_id, CAST(count(DISTINCT route_key) AS DOUBLE) AS pt
 
 @query("ag02_block_service", f"{WITH} {BLOCK_SQL}")
 def _(spark, folder):
-    reduced = service(spark, folder)
+    reduced = service(spark, folder, "routes")
     return rounded(tr.block_service(reduced, stop_block(spark, folder, reduced)))
 
 
@@ -114,7 +114,7 @@ MODE_SQL = f"""SELECT block_id, {_mode_columns('''
 
 @query("ag03_block_service_by_mode", f"{WITH} {MODE_SQL}")
 def _(spark, folder):
-    reduced = service(spark, folder)
+    reduced = service(spark, folder, "routes")
     return tr.block_service_by_mode(reduced, stop_block(spark, folder, reduced))
 
 
@@ -147,14 +147,14 @@ def _(spark, folder):
 
 @query("ag05_stop_service", f"{WITH} SELECT px, py, mode, departures, peak, routes FROM mode_stats UNION ALL SELECT px, py, 'all', departures, peak, routes FROM place_stats")
 def _(spark, folder):
-    reduced = service(spark, folder)
+    reduced = service(spark, folder, "routes")
     overall = tr.place_service(reduced).withColumn("mode", F.lit("all"))
     return tr.place_service(reduced, by_mode=True).unionByName(overall)
 
 
 @query("ag06_stop_routes", f"{WITH} SELECT DISTINCT px, py, route_key, mode FROM service_events")
 def _(spark, folder):
-    return tr.place_routes(service(spark, folder))
+    return tr.place_routes(service(spark, folder, "routes"))
 
 
 def _catchment_sql() -> str:
@@ -196,7 +196,7 @@ _RATIOS = ", ".join(
 
 @query("ag07_catchments", f"{WITH}, {CATCHMENT_SQL} SELECT *, {_RATIOS} FROM catchment")
 def _(spark, folder):
-    return rounded(tr.catchments(block_centres(spark, folder), service(spark, folder)))
+    return rounded(tr.catchments(block_centres(spark, folder), service(spark, folder, "routes")))
 
 
 NEAREST_SQL = """nearest AS (SELECT block_id, px, py, d FROM (
@@ -211,7 +211,7 @@ NEAREST_SQL = """nearest AS (SELECT block_id, px, py, d FROM (
 @query("ag08_nearest_stop_service", f"""{WITH}, {NEAREST_SQL} SELECT block_id, {q6('pt_nearest_stop_dist_m')} AS pt_nearest_stop_dist_m,
   pt_nearest_stop_departures, pt_nearest_stop_peak_departures, pt_nearest_stop_route_count FROM near_stop""")
 def _(spark, folder):
-    return rounded(tr.nearest_stop(block_centres(spark, folder), service(spark, folder)))
+    return rounded(tr.nearest_stop(block_centres(spark, folder), service(spark, folder, "routes")))
 
 
 NEAREST_MODE_SQL = "SELECT c.block_id, " + ", ".join(
@@ -222,7 +222,7 @@ NEAREST_MODE_SQL = "SELECT c.block_id, " + ", ".join(
 @query("jn14_nearest_stop_by_mode", f"{WITH}, near_mode AS ({NEAREST_MODE_SQL}) SELECT block_id, " + ", ".join(
     f"{q6(f'pt_nearest_{m}_stop_dist_m')} AS pt_nearest_{m}_stop_dist_m" for m in S.MODES) + " FROM near_mode")
 def _(spark, folder):
-    return rounded(tr.nearest_stop_by_mode(block_centres(spark, folder), service(spark, folder)))
+    return rounded(tr.nearest_stop_by_mode(block_centres(spark, folder), service(spark, folder, "routes")))
 
 
 CONNECTED_SQL = """SELECT a.block_id, CAST(count(DISTINCT b.block_id) FILTER (WHERE b.block_id <> a.block_id) AS DOUBLE) AS pt_connected_blocks_same_route
@@ -232,7 +232,7 @@ CONNECTED_SQL = """SELECT a.block_id, CAST(count(DISTINCT b.block_id) FILTER (WH
 
 @query("jn17_connected_blocks", f"{WITH} {CONNECTED_SQL}")
 def _(spark, folder):
-    reduced = service(spark, folder)
+    reduced = service(spark, folder, "routes")
     return tr.connected_blocks(reduced, stop_block(spark, folder, reduced))
 
 
@@ -304,13 +304,13 @@ def _(spark, folder):
 
 @query("wn07_first_of_place", f"{WITH} SELECT px, py, {q6('x')} AS x, {q6('y')} AS y FROM places")
 def _(spark, folder):
-    return rounded(service(spark, folder).places, "px", "py")
+    return rounded(service(spark, folder, "stops").places, "px", "py")
 
 
 @query("set04_routes_in_catchment", f"""{WITH}, calls AS (SELECT DISTINCT px, py, route_key FROM service_events)
   SELECT block_id, count(DISTINCT route_key) AS n_routes FROM reach JOIN calls USING (px, py) WHERE d <= 800 GROUP BY block_id""")
 def _(spark, folder):
-    reduced = service(spark, folder)
+    reduced = service(spark, folder, "routes")
     calls = tr.place_routes(reduced).join(reduced.places, ["px", "py"])
     met = radius_matches(block_centres(spark, folder), "block_id", calls, "route_key", [800.0])
     return met.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_routes"))

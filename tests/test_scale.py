@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from blockreach.functions import schedule as S
-from blockreach.operators import transit as tr
-from blockreach.plans import carriers as C
+from blockreach.operators import metrics as mt, models as md, transit as tr
+from blockreach.plans import carriers as C, modeling as pm
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,3 +39,18 @@ def test_coarser_schedules_equal_the_finest(spark):
     assert rows_of(routes.by_route.select(columns)) == rows_of(whole.by_route) and routes.by_time is None
     assert stops.by_route is None and stops.by_time is None
     assert whole.by_time.count() > 0
+
+
+def test_metrics_without_ranks_are_one_aggregate(spark):
+    df = spark.range(60).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 11).cast("double").alias("y_true"), (F.col("id") % 5).cast("double").alias("y_pred"))
+    whole, less = (mt.full_metrics(df, ["g"], F.lit(4.0), ranks) for ranks in (True, False))
+    assert "Join" not in plan_of(less) and "spearman_r" not in less.columns
+    assert rows_of(less) == rows_of(whole.select(less.columns))
+
+
+def test_held_out_runs_without_ranks(spark):
+    df = pm.flagged(spark, FOLDER)
+    whole, less = (md.leave_one_city_out_run(df, ["third"], "Y", pm.CITIES, pm.STUMP, ranks=r) for r in (True, False))
+    keep = ["heldout_city", "split", "n_rows", *[F.round(c, 9).alias(c) for c in ("rmse", "r2", "pearson_r")]]
+    assert rows_of(less[0].select(keep)) == rows_of(whole[0].select(keep)) and len(rows_of(less[0])) == 20
+    assert rows_of(less[1].select(whole[1].columns)) == rows_of(whole[1])

@@ -54,3 +54,21 @@ def test_held_out_runs_without_ranks(spark):
     keep = ["heldout_city", "split", "n_rows", *[F.round(c, 9).alias(c) for c in ("rmse", "r2", "pearson_r")]]
     assert rows_of(less[0].select(keep)) == rows_of(whole[0].select(keep)) and len(rows_of(less[0])) == 20
     assert rows_of(less[1].select(whole[1].columns)) == rows_of(whole[1])
+
+
+def test_graph_features_read_rows_and_edges_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(5).select(F.col("id").cast("string").alias("node_id"), F.col("id").cast("double").alias("v"))
+    rows = rows.mapInArrow(seen, rows.schema)
+    pairs = [(str(i), str(j)) for i in range(5) for j in (i - 1, i + 1) if 0 <= j < 5]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    table, names = md.graph_features(rows, edges, ["v"])
+    got = {r.node_id: (r.v__hop1, r.v__hop2) for r in table.collect()}
+    assert names == ["v", "v__hop1", "v__hop2"] and reads.value == 5
+    assert got == {"0": (1.0, 1.0), "1": (1.0, 1.5), "2": (2.0, 2.0), "3": (3.0, 2.5), "4": (3.0, 3.0)}

@@ -22,7 +22,7 @@ DRAWN_PER_CLUSTER = 2  # expected rows drawn per round and cluster
 ROUNDS = 100
 # A start rests when no centre moves farther than this.
 STILL = 1e-4
-BATCH_CELLS = 4_000_000  # distances held at once
+BATCH_CELLS = 1_000_000  # distances held at once, in about five arrays of eight bytes each
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:

@@ -1,9 +1,13 @@
 """Work done per query: what is parsed, joined and written once, and what is not computed at all."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from blockreach.functions import schedule as S
-from blockreach.operators import metrics as mt, models as md, transit as tr
+from blockreach.operators import clusters as cl, metrics as mt, models as md, transit as tr
 from blockreach.plans import carriers as C, modeling as pm
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +76,17 @@ def test_graph_features_read_rows_and_edges_once(spark):
     got = {r.node_id: (r.v__hop1, r.v__hop2) for r in table.collect()}
     assert names == ["v", "v__hop1", "v__hop2"] and reads.value == 5
     assert got == {"0": (1.0, 1.0), "1": (1.0, 1.5), "2": (2.0, 2.0), "3": (3.0, 2.5), "4": (3.0, 3.0)}
+
+
+def test_distances_of_a_batch_take_little_memory():
+    rng = np.random.default_rng(0)
+    rows, centres = rng.standard_normal((10_000, 64)), rng.standard_normal((50, 5, 64))
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(len(rows)), pa.int64()), "x": pa.array(list(rows), pa.list_(pa.float64()))})
+    found = []
+    tracemalloc.start()
+    for _, x in cl._pieces(iter([batch]), 250):
+        found.append(cl._distances(x, centres).argmin(2).astype(np.int8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35e6
+    assert (np.vstack(found) == cl._distances(rows, centres).argmin(2)).all()

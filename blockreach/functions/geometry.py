@@ -230,6 +230,41 @@ def overlap_area(edges_a: Column, edges_b: Column) -> Column:
     return F.greatest(twice / 2.0, F.lit(0.0))
 
 
+def edges_area(edges: Column) -> Column:
+    """Area inside an edge array (shells counter-clockwise, holes clockwise)."""
+    x0, y0 = edges[0].x1, edges[0].y1
+    twice = F.aggregate(edges, F.lit(0.0), lambda s, e: s + ((e.x1 - x0) * (e.y2 - y0) - (e.x2 - x0) * (e.y1 - y0)))
+    return F.greatest(twice / 2.0, F.lit(0.0))
+
+
+# Boxes are grown by so much in metres before they count as clear of an edge.
+CLEAR_M = 1e-3
+
+
+def box_touched(edges: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """True when an edge runs through a box or within a millimetre of it."""
+    x, y = (minx + maxx) / 2, (miny + maxy) / 2
+    half_x, half_y = (maxx - minx) / 2 + CLEAR_M, (maxy - miny) / 2 + CLEAR_M
+    return F.exists(
+        edges,
+        lambda e: (F.abs(e.x1 + e.x2 - 2 * x) <= F.abs(e.x2 - e.x1) + 2 * half_x)
+        & (F.abs(e.y1 + e.y2 - 2 * y) <= F.abs(e.y2 - e.y1) + 2 * half_y)
+        & (F.abs(_side(e, x, y)) <= F.abs(e.x2 - e.x1) * half_y + F.abs(e.y2 - e.y1) * half_x),
+    )
+
+
+def clipped_area(edges: Column, minx: Column, miny: Column, maxx: Column, maxy: Column, other: Column) -> Column:
+    """:func:`overlap_area` of a polygon and its box with ``other``.
+
+    Only a box that ``other``'s border touches is cut; any other lies wholly inside or wholly outside.
+    """
+    return (
+        F.when(box_touched(other, minx, miny, maxx, maxy), overlap_area(edges, other))
+        .when(_odd_crossings(other, minx, miny), edges_area(edges))
+        .otherwise(F.lit(0.0))
+    )
+
+
 def _point_edge_distance2(x: Column, y: Column, e: Column) -> Column:
     dx, dy = e.x2 - e.x1, e.y2 - e.y1
     t = F.coalesce(F.try_divide((x - e.x1) * dx + (y - e.y1) * dy, dx * dx + dy * dy), F.lit(0.0))

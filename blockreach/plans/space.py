@@ -18,8 +18,8 @@ GROUP_SQL = "CASE p_partkey % 7 WHEN 0 THEN 'residential' WHEN 1 THEN 'commercia
 LAST = C.COLUMNS - 1
 
 
-def polygons(spark: SparkSession, folder: str) -> DataFrame:
-    return ov.with_edges(C.grid_blocks(spark, folder))
+def polygons(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
+    return ov.with_edges(C.grid_blocks(spark, folder, dealt))
 
 
 def choose(key, names):
@@ -164,19 +164,19 @@ PLACE_SQL = f"{C.GRID_SQL}, place AS (SELECT 3800.0 AS w, CAST(max(p_partkey) //
 
 @query("jn15_blocks_of_place", f"WITH {PLACE_SQL} SELECT block_id FROM grid, place WHERE (x0 + 50) / w + (y0 + 50) / h < 1")
 def _(spark, folder):
-    return ov.select_by_place(polygons(spark, folder), place(spark, folder)).select("block_id")
+    return ov.select_by_place(polygons(spark, folder, dealt=True), place(spark, folder)).select("block_id")
 
 
 @query("jn15_blocks_touching_place", f"WITH {PLACE_SQL} SELECT block_id FROM grid, place WHERE x0 / w + y0 / h <= 1")
 def _(spark, folder):
-    return ov.select_by_place(polygons(spark, folder), place(spark, folder), "intersects").select("block_id")
+    return ov.select_by_place(polygons(spark, folder, dealt=True), place(spark, folder), "intersects").select("block_id")
 
 
 @query("sp11_place_clipped_blocks", f"""WITH {PLACE_SQL}, corner AS (SELECT block_id, 1 - x0 / w - y0 / h AS s, w, h FROM grid, place)
   SELECT block_id, {q6('area', 3)} AS clipped_area_m2 FROM (SELECT block_id, w * h / 2 * (s * s - greatest(s - 100 / w, 0) ** 2 - greatest(s - 100 / h, 0) ** 2
     + greatest(s - 100 / w - 100 / h, 0) ** 2) AS area FROM corner WHERE s > 0) WHERE area > 1e-6""")
 def _(spark, folder):
-    cut = ov.select_by_place(polygons(spark, folder), place(spark, folder), "intersection")
+    cut = ov.select_by_place(polygons(spark, folder, dealt=True), place(spark, folder), "intersection")
     return rounded(cut.select("block_id", "clipped_area_m2").where(F.col("clipped_area_m2") > 1e-6), digits=3)
 
 

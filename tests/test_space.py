@@ -264,3 +264,44 @@ def test_nearest_opens_cells_by_groups_of_origins(spark, monkeypatch):
     assert got == want
     assert nearest(origins, "id", points.limit(0), "pid", ["k"]).count() == 0
     assert nearest(origins.drop("k"), "id", points.drop("k").limit(0), "pid").count() == 0
+
+
+def test_place_of_few_parts_sees_blocks_once_and_moves_none(spark):
+    """Holes, several parts, blocks around a part and none at all; the ways for small and large places agree."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(5)
+    shapes = [(f"s{i:03d}", [square(i % 20, i // 20)]) for i in range(200)]
+    for i in range(60):
+        x, y, turn = rng.uniform(-1, 20), rng.uniform(-1, 10), rng.uniform(0, 1)
+        shapes.append((f"t{i:02d}", [ring(*[(x + 0.8 * math.cos(turn + a), y + 0.8 * math.sin(turn + a)) for a in (0, 2, 4)])]))
+    shapes.append(("around", [square(14, 1, 5)]))
+    shapes.append(("holed", [square(3, 0.5, 4), ring((4, 1), (4, 4), (6, 4), (6, 1))]))
+    table = blocks(spark, shapes)
+    table = ov.with_edges(table.mapInArrow(seen, table.schema))
+    large = [ring((0, 0), (12, 0), (0, 9)), ring((1.5, 1.5), (1.5, 4), (3.5, 4), (3.5, 1.5))]
+    place = ov.with_edges(spark.createDataFrame([(large,), ([square(15, 2, 3)],), ([square(30, 30)],)], f"rings {RINGS}"))
+    for mode in ("intersection", "representative_point", "intersects"):
+        for parts, held in ((place, 3), (place.limit(0), 0)):
+            reads.value = 0
+            small = ov.select_by_place(table, parts, mode)
+            plan = small._jdf.queryExecution().optimizedPlan().toString()
+            assert "RepartitionBy" not in plan and "LeftSemi" not in plan and small.columns[:2] == ["block_id", "rings"]
+            got = {r["block_id"]: r for r in small.collect()}
+            assert reads.value == len(shapes), mode
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(ov, "PLACE_PARTS", -1)
+                filed = {r["block_id"]: r for r in ov.select_by_place(table, parts, mode).select(small.columns).collect()}
+            assert got.keys() == filed.keys() and (len(got) > 50 if held else not got), mode
+            if mode == "intersection":
+                assert {k: r.clipped_area_m2 for k, r in got.items()} == pytest.approx({k: r.clipped_area_m2 for k, r in filed.items()})
+    whole = table.crossJoin(place.select(F.col("edges").alias("other")))
+    want = whole.groupBy("block_id").agg(F.sum(G.overlap_area(F.col("edges"), F.col("other"))).alias("a")).where("a > 0")
+    cut = {r.block_id: r.clipped_area_m2 for r in ov.select_by_place(table, place, "intersection").collect()}
+    assert cut == pytest.approx({r.block_id: r.a for r in want.collect()})
+    assert cut["around"] == pytest.approx(9.0)

@@ -75,42 +75,52 @@ def shapley_values(model, rows: DataFrame, features: Sequence[str], background:
 
     Each draw pairs a background row with a random feature order; features switch from the background
     value to the row's own one by one and every change in prediction goes to the feature switched.
-    The values of a row add up to its prediction minus the base value.
+    The values of a row add up to its prediction minus the base value. A draw begins at its background row and ends
+    at the row itself, so these are scored once each and only the steps between once per draw. One group per row
+    holds plain sums, which hash; arrays kept beside them would have all steps sorted first.
     """
     rng = random.Random(seed)
     names = list(features)
+    count = len(names)
     picked = draw_background(background, draws, seed).select(*names).collect()  # at most ``draws`` rows
-    plans = []
+    starts, places = [], []
     for i in range(draws):
         order = names[:]
         rng.shuffle(order)
         z = picked[i % len(picked)]
-        plans.append(F.struct(
-            F.array([F.lit(float(z[n])) for n in names]).alias("z"),
-            F.array([F.lit(order.index(n)) for n in names]).alias("pos"),
-        ))
-    count = len(names)
+        starts.append([float(z[n]) for n in names])
+        places.append([order.index(n) for n in names])
+    drawn = rows.sparkSession.createDataFrame(list(enumerate(starts)), "draw int, z array<double>")
+    base = {r["draw"]: r["y_pred"] for r in model.transform(drawn.select("draw", array_to_vector("z").alias("features"))).select("draw", "y_pred").collect()}
+    base_value = sum(base.values()) / draws
+    first = [sum(base[d] for d in range(draws) if places[d][i] == 0) for i in range(count)]
+    last = [float(sum(places[d][i] == count - 1 for d in range(draws))) for i in range(count)]
+
+    plans = F.array(*[
+        F.struct(F.array([F.lit(v) for v in z]).alias("z"), F.array([F.lit(v) for v in at]).alias("pos")) for z, at in zip(starts, places)
+    ])
+    between = max(count - 1, 1)
+    s = F.col("step")  # 0: the row itself
     steps = (
-        rows.select("node_id", F.array([F.col(n).cast("double") for n in names]).alias("x"))
-        .withColumn("plan", F.explode(F.array(*plans)))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count))))
+        rows.select("node_id", *[F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(draws * (count - 1)))))
+        .withColumn("k", F.when(s == 0, count).otherwise((s - 1) % between + 1))
+        .withColumn("plan", F.get(plans, F.when(s == 0, 0).otherwise(F.floor((s - 1) / between)).cast("int")))
     )
-    mixed = F.transform("x", lambda v, i: F.when(F.get("plan.pos", i) < F.col("k"), v).otherwise(F.get("plan.z", i)))
+    k, pos = F.col("k"), [F.get("plan.pos", F.lit(i)) for i in range(count)]
+    mixed = F.array([F.when(pos[i] < k, F.col(f"x{i}")).otherwise(F.get("plan.z", F.lit(i))) for i in range(count)])
     scored = model.transform(steps.withColumn("features", array_to_vector(mixed)))
-    p, pos = F.col("y_pred"), F.col("plan.pos")
-    gives = F.filter(
-        F.transform(pos, lambda at, i: F.struct(
-            i.alias("i"), F.when(at == F.col("k") - 1, p).when(at == F.col("k"), -p).alias("part"))),
-        lambda s: s.part.isNotNull(),
-    )
-    parts = scored.select("node_id", "x", F.explode(gives).alias("g"))
-    total = parts.groupBy("node_id", "g.i").agg((F.sum("g.part") / draws).alias("shap"), F.first("x").alias("x"))
-    drawn = rows.sparkSession.createDataFrame(
-        [([float(picked[i % len(picked)][n]) for n in names],) for i in range(draws)], "z array<double>"
-    )
-    base_value = model.transform(drawn.select(array_to_vector("z").alias("features"))).agg(F.avg("y_pred")).first()[0]
-    label = F.get(F.array([F.lit(n) for n in names]), F.col("i"))
-    return total.select("node_id", label.alias("feature"), F.get("x", F.col("i")).alias("feature_value"), "shap", F.lit(base_value).alias("base_value"))
+    p = F.col("y_pred")
+
+    def gain(i: int) -> Column:
+        own = F.lit(last[i]) * p if last[i] else F.lit(None).cast("double")
+        return F.sum(F.when(s == 0, own).when(pos[i] == k - 1, p).when(pos[i] == k, -p))
+
+    total = scored.groupBy("node_id").agg(*[gain(i).alias(f"g{i}") for i in range(count)], *[F.first(f"x{i}").alias(f"x{i}") for i in range(count)])
+    values = F.explode(F.array([
+        F.struct(F.lit(n).alias("feature"), F.col(f"x{i}").alias("feature_value"), ((F.col(f"g{i}") - first[i]) / draws).alias("shap")) for i, n in enumerate(names)
+    ])).alias("v")
+    return total.select("node_id", values).select("node_id", "v.*", F.lit(base_value).alias("base_value"))
 
 
 def occlusion_importance(model, table: DataFrame, features: Sequence[str], steps: int = 2) -> DataFrame:

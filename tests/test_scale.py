@@ -1,13 +1,17 @@
 """Work done per query: what is parsed, joined and written once, and what is not computed at all."""
 
+import hashlib
+import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from blockreach.functions import schedule as S
-from blockreach.operators import clusters as cl, metrics as mt, models as md, transit as tr
+from blockreach.operators import clusters as cl, explain as ex, metrics as mt, models as md, transit as tr
 from blockreach.plans import carriers as C, modeling as pm
 
 FOLDER = "/root/testdata/sf0.001"
@@ -90,3 +94,58 @@ def test_distances_of_a_batch_take_little_memory():
     tracemalloc.stop()
     assert peak < 35e6
     assert (np.vstack(found) == cl._distances(rows, centres).argmin(2)).all()
+
+
+class Products:
+    """A model with interactions that counts the rows it scores."""
+
+    def __init__(self, spark):
+        self.scored = spark.sparkContext.accumulator(0)
+
+    def transform(self, df):
+        scored = self.scored
+
+        def seen(batches):
+            for batch in batches:
+                scored.add(batch.num_rows)
+                yield batch
+
+        keep = [c for c in df.columns if c != "features"]
+        x = vector_to_array("features")
+        out = df.select(*keep, F.aggregate(x, F.lit(1.0), lambda p, v: p * (v + 1)).alias("y_pred"))
+        return out.mapInArrow(seen, out.schema)
+
+
+@pytest.mark.parametrize("count", [1, 2, 4])
+def test_sampled_shapley_values_score_few_rows_and_sort_none(spark, count):
+    names, draws = [f"f{i}" for i in range(count)], 8
+    rng = random.Random(3)
+    data = [(f"n{i}", *[round(rng.uniform(-2, 2), 3) for _ in names]) for i in range(45)]
+    df = spark.createDataFrame(data, ["node_id", *names])
+    rows, background = df.where("node_id < 'n3'"), df.where("node_id >= 'n3'")
+    model = Products(spark)
+    table = ex.shapley_values(model, rows, names, background, draws)
+    assert "Sort" not in table._jdf.queryExecution().executedPlan().toString()
+    model.scored.value = 0
+    got = {(r.node_id, r.feature): r for r in table.collect()}
+    values = {r[0]: r[1:] for r in data}
+    kept = [n for n in values if n < "n3"]
+    assert model.scored.value == len(kept) * (1 + draws * (count - 1)) and len(got) == len(kept) * count
+    assert table.columns == ["node_id", "feature", "feature_value", "shap", "base_value"]
+
+    predict = lambda v: np.prod([x + 1 for x in v])
+    picked = sorted((n for n in values if n >= "n3"), key=lambda n: (hashlib.md5(f"42:{n}".encode()).hexdigest(), n))[:draws]
+    orders = random.Random(42)
+    want = {(n, f): 0.0 for n in kept for f in names}
+    for i in range(draws):
+        order = names[:]
+        orders.shuffle(order)
+        for n in kept:
+            mix = list(values[picked[i]])
+            for f in order:
+                before = predict(mix)
+                mix[names.index(f)] = values[n][names.index(f)]
+                want[n, f] += (predict(mix) - before) / draws
+    assert {k: r.shap for k, r in got.items()} == pytest.approx(want, abs=1e-9)
+    assert all(r.feature_value == values[n][names.index(f)] for (n, f), r in got.items())
+    assert {round(r.base_value, 9) for r in got.values()} == {round(float(np.mean([predict(values[n]) for n in picked])), 9)}

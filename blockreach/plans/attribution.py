@@ -220,7 +220,7 @@ LINEAR_SQL = " + ".join(f"{v} * {c}" for c, v in LINEAR.items())
 
 def linear_model(spark: SparkSession, folder: str):
     """A regression fitted on a target that is linear in three features, and the model table."""
-    df = cut_lineage(pm.labelled(spark, folder).select("node_id", "city", "split", *LINEAR))
+    df = cut_lineage(pm.labelled(spark, folder, dealt=True).select("node_id", "city", "split", *LINEAR))
     target = sum((v * F.col(c) for c, v in LINEAR.items()), F.lit(1.0))
     train = md.with_vector(df.withColumn("T", target), list(LINEAR))
     return LinearRegression(featuresCol="features", labelCol="T", predictionCol="y_pred", solver="normal").fit(train), df

@@ -149,3 +149,9 @@ def test_sampled_shapley_values_score_few_rows_and_sort_none(spark, count):
     assert {k: r.shap for k, r in got.items()} == pytest.approx(want, abs=1e-9)
     assert all(r.feature_value == values[n][names.index(f)] for (n, f), r in got.items())
     assert {round(r.base_value, 9) for r in got.values()} == {round(float(np.mean([predict(values[n]) for n in picked])), 9)}
+
+
+def test_items_are_dealt_out_before_they_are_grouped(spark):
+    dealt, plain = (pm.labelled(spark, FOLDER, dealt=d).select("node_id", "split", "pt_stop_count", "pt_route_count") for d in (True, False))
+    assert "RepartitionByExpression [l_orderkey" in plan_of(dealt) and "Repartition" not in plan_of(plain)
+    assert rows_of(dealt) == rows_of(plain)

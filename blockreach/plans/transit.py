@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blockreach.functions import geometry as G, schedule as S
 from blockreach.operators import cities as ct, transit as tr
 from blockreach.operators.overlay import with_edges
-from blockreach.operators.proximity import radius_matches
+from blockreach.operators.proximity import radius_sets
 from blockreach.plans import carriers as C, space
 from blockreach.plans.registry import q6, query, r6, rounded
 
@@ -311,6 +311,5 @@ def _(spark, folder):
   SELECT block_id, count(DISTINCT route_key) AS n_routes FROM reach JOIN calls USING (px, py) WHERE d <= 800 GROUP BY block_id""")
 def _(spark, folder):
     reduced = service(spark, folder, "routes")
-    calls = tr.place_routes(reduced).join(reduced.places, ["px", "py"])
-    met = radius_matches(block_centres(spark, folder), "block_id", calls, "route_key", [800.0])
-    return met.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_routes"))
+    met = radius_sets(block_centres(spark, folder), "block_id", tr.route_words(reduced), ["mode", "word"], "bits", [800.0], lambda r: "within")
+    return met.where("word >= 0").groupBy("block_id").agg(F.sum(F.bit_count("within").cast("bigint")).alias("n_routes"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockreach.operators import graph as gr, proximity as px
+from blockreach.operators import graph as gr, proximity as px, transit as tr
 
 
 def by_heap(roads, start, limit):
@@ -57,3 +57,24 @@ def test_sets_of_words_equal_counted_labels(spark):
     for name, x, y in origins:
         want = tuple(len({n for u, v, n in spots if (u - x) ** 2 + (v - y) ** 2 <= r * r}) for r in (60, 200))
         assert got.get(name, (0, 0)) == want
+
+
+def test_cells_of_points_are_not_broadcast(spark):
+    """Their arrays count as one element in the size check, so they reached the driver whole."""
+    points = spark.range(600).selectExpr("cast(id % 20 as double) x", "cast(id div 20 as double) y", "cast(id % 3 as int) word", "1L bits")
+    tree = px.build_tree(points, ["word"], ["bits"], top_size=30.0, leaf_size=4, combine=F.bit_or)
+    groups = spark.createDataFrame([(i, i % 3, 2.0, 2.0, 9.0, 9.0) for i in range(6)], "gid long, word int, ominx double, ominy double, omaxx double, omaxy double")
+    plans = [met._jdf.queryExecution().executedPlan().toString() for met in px._group_levels(groups, tree, [5.0, 30.0])]
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans) and "Broadcast" not in tree.nodes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_route_of_two_modes_counts_once(spark):
+    calls = [("s1", 0.0, 0.0, "r1", "bus"), ("s1", 0.0, 0.0, "r1", "tram"), ("s2", 50.0, 0.0, "r2", "bus"), ("s2", 50.0, 0.0, "r1", "bus")]
+    by_route = spark.createDataFrame([(*c, 3, 1, 5.0, 9.0) for c in calls], "stop_key string, px double, py double, route_key string, mode string, departures long, peak long, first double, last double")
+    places = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0), (50.0, 0.0, 50.0, 0.0)], "px double, py double, x double, y double")
+    origins = spark.createDataFrame([("a", 10.0, 0.0), ("far", 9000.0, 0.0)], "block_id string, x double, y double")
+    rows = {r.block_id: r for r in tr.catchments(origins, tr.Service(places, places, by_route, None), [20, 100]).collect()}
+    a = rows["a"]
+    assert (a.pt_routes_within_20m, a.pt_bus_routes_within_20m, a.pt_tram_routes_within_20m) == (1.0, 1.0, 1.0)
+    assert (a.pt_routes_within_100m, a.pt_bus_routes_within_100m, a.pt_tram_routes_within_100m) == (2.0, 2.0, 1.0)
+    assert rows["far"].pt_routes_within_100m == 0.0

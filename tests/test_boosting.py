@@ -48,6 +48,21 @@ def test_blocks_add_up_to_the_same_trees(table):
         same(a, b)
 
 
+def test_a_table_of_a_million_rows_is_one_block(spark, monkeypatch):
+    """A level over several blocks is a Spark job, so 600 trees over 0.6 million rows were 2,400 jobs."""
+    monkeypatch.setattr(bt, "grow_over_blocks", lambda *more: pytest.fail("several blocks"))
+    df = spark.range(300_000).selectExpr("id node_id", "cast(id % 2 as double) a", "cast(id % 2 * 10 as double) y")
+    fitted = bt.fit_models(df, ["a"], "y", [bt.Boosting(trees=1, rate=1.0, depth=1, rows=1.0, l2=0.0)])[0]
+    assert fitted.predict(np.array([[0.0], [1.0]])).tolist() == pytest.approx([0.0, 10.0])
+
+
+def test_wide_tables_have_shorter_blocks(table, monkeypatch):
+    one = bt.fit_models(table, NAMES, "y", [SMALL])[0]
+    monkeypatch.setattr(bt, "BLOCK_CELLS", 1000)
+    monkeypatch.setattr(bt, "grow_in_block", lambda *more: pytest.fail("one block"))
+    same(one, bt.fit_models(table, NAMES, "y", [SMALL])[0])
+
+
 def test_a_held_out_group_has_no_part_in_the_fit(table):
     own = bt.fit_models(table.where("city <> 'city_1'"), NAMES, "y", [SMALL])[0]
     held = bt.fit_models(table, NAMES, "y", [SMALL], F.col("city"), ["city_1"])[0]

@@ -22,7 +22,7 @@ from blockreach.operators.metrics import top_per_group
 from blockreach.operators.boosting import BoostedTrees
 from blockreach.operators.quantiles import medians, quantiles, tied_ranks
 from blockreach.operators.tree_explain import tree_dependence
-from blockreach.session import cut_lineage
+from blockreach.session import cut_lineage, spread
 
 # Weights of the selection priority.
 SHAP_WEIGHT, GAIN_WEIGHT, PROTECTED_BONUS = 0.75, 0.25, 0.15
@@ -154,7 +154,8 @@ def partial_dependence(
     Boosted trees give a row's whole curve in one walk; other models score one copy of the row per point.
     """
     names = list(features)
-    rows = cut_lineage(reference.select(*names))
+    # Rows fan out below, and a merged partition of the model table holds up to millions of their copies.
+    rows = cut_lineage(spread(reference.select(*names)))
     long = rows.unpivot([], list(curve_features), "feature", "value")
     # Four numbers per curve.
     ends = {r["feature"]: r["q"] for r in quantiles(long, "value", ["feature"], [0.05, 0.95, 0.0, 1.0]).collect()}
@@ -167,9 +168,9 @@ def partial_dependence(
     if isinstance(model, BoostedTrees):
         return tree_dependence(model, rows, curve_features, grids, logged)
     curves = [F.struct(F.lit(f).alias("feature"), F.lit(v).alias("value")) for f, points in grids.items() for v in points]
-    spread = rows.withColumn("c", F.explode(F.array(*curves)))
+    copies = rows.withColumn("c", F.explode(F.array(*curves)))
     values = F.array([F.when(F.col("c.feature") == n, F.col("c.value")).otherwise(F.col(n)) for n in names])
-    scored = model.transform(spread.withColumn("features", array_to_vector(values)))
+    scored = model.transform(copies.withColumn("features", array_to_vector(values)))
     scored = cut_lineage(scored.select("c.feature", "c.value", "y_pred"))
     means = scored.groupBy("feature", "value").agg(F.avg("y_pred").alias("mean_prediction"))
     out = means.join(quantiles(scored, "y_pred", ["feature", "value"], [0.1, 0.9]), ["feature", "value"])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from blockreach.functions import numeric as N, schedule as S
 from blockreach.operators import checks, context as cx, dataset as ds, metrics as mt, quantiles as qt, splits as sp, target as tg, transit as tr, views as vw
+from blockreach.session import cut_lineage
 from blockreach.sources import text
 
 
@@ -186,3 +187,13 @@ def test_calendar_of_a_feed_without_a_weekday_column(spark):
     part = spark.createDataFrame([(1, "c", *["0"] * 4)], "feed_idx int, service_id string, " + ", ".join(f"{d} string" for d in days[:4]))
     both = whole.unionByName(part, allowMissingColumns=True)
     assert sorted(r["service_id"] for r in tr.active_services(both, trips).collect()) == ["a", "c", "d"]
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_quantiles_leave_the_values_where_they_are(spark, monkeypatch, few):
+    """Values behind an exploded array look small to the size check, which sent them to the driver."""
+    monkeypatch.setattr(qt, "FEW_GROUPS", few)
+    copies = spark.range(400).select("id", F.explode(F.array(*[F.lit(float(i)) for i in range(75)])).alias("g")).withColumn("v", F.col("id") * (F.col("g") + 1))
+    found = qt.quantiles(cut_lineage(copies), "v", ["g"], [0.1, 0.9])
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.g: r.q for r in found.collect()} == {float(i): pytest.approx([39.9 * (i + 1), 359.1 * (i + 1)]) for i in range(75)}
